@@ -71,6 +71,11 @@ def mark_skipped(staging: DataFrame, star: Star) -> DataFrame:
     }).drop("is_duplicate", "period_year", "period_month")
 
 
+def known_artists(staging: DataFrame, star: Star) -> DataFrame:
+    """Only rows whose artist exists."""
+    return staging.join(star.artists.select(F.col("artist_id").alias("userid")), "userid", "left_semi")
+
+
 def usable_platforms(star: Star) -> DataFrame:
     """Active configurations; one with share zero cannot be grossed up and is not usable."""
     return star.platforms.where("is_active AND revenue_share_percentage > 0")
@@ -203,25 +208,33 @@ def load_by_details(staging: DataFrame, star: Star) -> tuple[DataFrame, DataFram
     return facts, marked
 
 
-def one_row_per_key(facts: DataFrame, key: tuple[str, ...] = UPSERT_KEY) -> DataFrame:
-    """Facts added up to one row per key; the smallest artist id stands for the key."""
+def one_row_per_key(
+        facts: DataFrame, key: tuple[str, ...] = UPSERT_KEY, kept: tuple[str, ...] = ("artist_id",)) -> DataFrame:
+    """Facts added up to one row per key; of every kept column the smallest value stands for the key."""
     return facts.groupBy(*key).agg(
-        F.min("artist_id").alias("artist_id"), F.sum("total_plays").cast("int").alias("total_plays"),
+        *[F.min(name).alias(name) for name in kept], F.sum("total_plays").cast("int").alias("total_plays"),
         *[F.sum(name).cast("decimal(15,6)").alias(name) for name in _MEASURES[1:]])
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] = UPSERT_KEY) -> DataFrame:
+def upsert(
+        existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] = UPSERT_KEY,
+        kept: tuple[str, ...] = ("artist_id",)) -> DataFrame:
     """Existing rows with the incoming measures put over them, plus the new keys.
 
-    Both sides hold one row per key. A matched row keeps its old artist. A null inside a
-    key equals nothing, so such incoming rows are added as they are.
+    Both sides hold one row per key, so the join multiplies nothing. A matched row retains
+    its kept columns. A null inside a key equals nothing: such incoming rows are added.
     """
-    columns = [*key, "artist_id", *_MEASURES]
-    old = existing.select(*[F.col(c).alias(f"old_{c}") if c not in key else F.col(c) for c in columns],
-                          F.lit(True).alias("is_old"))
-    new = incoming.select(*[F.col(c).alias(f"new_{c}") if c not in key else F.col(c) for c in columns],
-                          F.lit(True).alias("is_new"))
-    merged = old.join(new, list(key), "full_outer")
-    measures = [F.when(F.col("is_new"), F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")).alias(c) for c in _MEASURES]
-    artist = F.when(F.col("is_old"), F.col("old_artist_id")).otherwise(F.col("new_artist_id")).alias("artist_id")
-    return merged.select(*key, artist, *measures)
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*key, F.struct(*kept, *_MEASURES).alias(name))
+
+    merged = side(existing, "old").join(side(incoming, "new"), list(key), "full_outer")
+    first = [F.when(F.col("old").isNotNull(), F.col(f"old.{c}")).otherwise(F.col(f"new.{c}")).alias(c) for c in kept]
+    last = [F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in _MEASURES]
+    return merged.select(*key, *first, *last)
+
+
+def upsert_source(facts: DataFrame, key: tuple[str, ...] = UPSERT_KEY) -> DataFrame:
+    """Incoming facts reduced for an upsert; rows with a null in the key stay as they are."""
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+    loose = facts.where(~complete).select(*key, "artist_id", *_MEASURES)
+    return one_row_per_key(facts.where(complete), key).unionByName(loose)

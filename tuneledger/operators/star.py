@@ -24,6 +24,11 @@ def as_measures(facts: DataFrame) -> DataFrame:
         F.col("created_at").alias("first_created"), F.col("created_at").alias("last_created"))
 
 
+def measures_of(star: Star) -> DataFrame:
+    """Measures of the star's fact, from the shared sums where these are present."""
+    return as_measures(star.facts) if star.summed is None else star.summed
+
+
 def rollup(measures: DataFrame, *keys: str) -> DataFrame:
     """Measures added up over ``keys``; can be applied again to its own result."""
     return measures.groupBy(*keys).agg(

@@ -8,7 +8,7 @@ from tuneledger.functions.columns import (
     check_artist, check_period, growth, month_number, narrowed, per_play, period_index, rate, total,
 )
 from tuneledger.operators.star import (
-    as_measures, created_range, distinct, revenue_per_play, rollup, royalty_rate, sums, with_artist,
+    created_range, distinct, measures_of, revenue_per_play, rollup, royalty_rate, sums, with_artist,
     with_country, with_label, with_platform, with_song,
 )
 from tuneledger.plans.views import base, label_performance, platform_analytics
@@ -144,7 +144,7 @@ def isrc_performance(star: Star) -> DataFrame:
 
 
 def _country_base(star: Star, *ids: str) -> DataFrame:
-    located = as_measures(star.facts).where(F.col("geography_id").isNotNull())
+    located = measures_of(star).where(F.col("geography_id").isNotNull())
     return rollup(located, "year", "month", "song_id", "geography_id", *ids)
 
 
@@ -185,7 +185,7 @@ def artist_platform_label_rates(star: Star) -> DataFrame:
 
 def isrc_geo_platform_share(star: Star) -> DataFrame:
     """Per song, region and platform, with its share of the song's revenue in the period."""
-    located = as_measures(star.facts).where(F.col("geography_id").isNotNull())
+    located = measures_of(star).where(F.col("geography_id").isNotNull())
     placed = with_platform(with_country(located, star, "region"), star, "platform_name", active=True)
     grouped = placed.groupBy("song_id", "region", "platform_name", "year", "month").agg(
         *sums("plays", "revenue", "royalties"), revenue_per_play("revenue_per_play"),
@@ -218,14 +218,13 @@ def latest_platform_metrics(star: Star) -> DataFrame:
                                     star, active=True), star)
     latest = shown.agg(F.max(F.struct("year", month_number("month"), "month")).alias("p")).select("p.year", "p.month")
     facts = star.facts.join(F.broadcast(latest), ["year", "month"], "left_semi")
-    newest = Star(facts, star.songs, star.artists, star.labels, star.platforms, star.countries)
-    return platform_trends(newest, ordered=False).drop("year", "month").orderBy(
+    return platform_trends(star.with_facts(facts), ordered=False).drop("year", "month").orderBy(
         F.desc("total_revenue"), "platform_name", "revenue_share_percentage")
 
 
 def artist_platform_rate(star: Star) -> DataFrame:
     """Per artist name and platform over all time."""
-    facts = rollup(as_measures(star.facts), "song_id", "platform_id")
+    facts = rollup(measures_of(star), "song_id", "platform_id")
     rows = with_platform(facts, star, "platform_name", active=True)
     rows = with_artist(with_song(rows, star, "song_artist"), star)
     return rows.groupBy("artist_name", "platform_name").agg(
@@ -235,7 +234,7 @@ def artist_platform_rate(star: Star) -> DataFrame:
 
 def artist_song_summary(star: Star, artist_id: int | None = None) -> DataFrame:
     """Per song title, artist and label over all time, for one artist or for all."""
-    facts = rollup(as_measures(star.facts), "song_id", "platform_id")
+    facts = rollup(measures_of(star), "song_id", "platform_id")
     songs = narrowed(with_song(facts, star, "title", "song_artist", "label_id"), song_artist=artist_id)
     rows = with_label(with_artist(songs, star), star)
     return rows.groupBy("title", "artist_name", "label_name").agg(

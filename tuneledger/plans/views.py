@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tuneledger.functions.columns import rate
 from tuneledger.operators.star import (
-    as_measures, created_range, distinct, revenue_per_play, rollup, royalty_rate, sums, with_artist,
+    as_measures, created_range, distinct, measures_of, revenue_per_play, rollup, royalty_rate, sums, with_artist,
     with_country, with_label, with_platform, with_song,
 )
 from tuneledger.sources.warehouse import Star
@@ -16,13 +16,13 @@ from tuneledger.sources.warehouse import Star
 SONG_PLATFORM = ("year", "month", "song_id", "platform_id")
 
 
-def base(star: Star, *extra: str) -> DataFrame:
-    """The fact added up to month, song and platform, plus any further ids."""
-    return rollup(as_measures(star.facts), *SONG_PLATFORM, *extra)
+def base(star: Star) -> DataFrame:
+    """The fact added up to month, song and platform."""
+    return rollup(measures_of(star), *SONG_PLATFORM)
 
 
 def song_base(star: Star) -> DataFrame:
-    return rollup(as_measures(star.facts), "year", "month", "song_id")
+    return rollup(measures_of(star), "year", "month", "song_id")
 
 
 def revenue_overview(star: Star) -> DataFrame:
@@ -52,7 +52,7 @@ def artist_dashboard(star: Star) -> DataFrame:
 
 def artist_dashboard_totals(star: Star) -> DataFrame:
     """Per artist named on the sheet and period."""
-    rows = with_song(base(star, "sheet_artist"), star)
+    rows = with_song(rollup(as_measures(star.facts), *SONG_PLATFORM, "sheet_artist"), star)
     grouped = rows.groupBy("sheet_artist", "year", "month").agg(
         *distinct(songs="song_id", platforms="platform_id"), *sums("plays", "revenue", "royalty"))
     return with_artist(grouped, star, "sheet_artist").select(
@@ -92,7 +92,7 @@ def platform_revenue(star: Star) -> DataFrame:
 
 def artist_performance(star: Star) -> DataFrame:
     """Per song and period: grouped on the song id, names looked up afterwards."""
-    grouped = as_measures(star.facts).groupBy("year", "month", "song_id").agg(
+    grouped = measures_of(star).groupBy("year", "month", "song_id").agg(
         *sums(), *distinct(platform_count="platform_id"))
     named = with_artist(with_song(grouped, star, "song_artist", "title", "isrc"), star)
     return named.select(
@@ -121,7 +121,7 @@ def artist_platform_label(star: Star) -> DataFrame:
 
 def isrc_geo_platform(star: Star) -> DataFrame:
     """Per song, country and platform name: one grouping on ids, names looked up afterwards."""
-    named = with_platform(as_measures(star.facts), star, "platform_name")
+    named = with_platform(measures_of(star), star, "platform_name")
     grouped = named.where(F.col("geography_id").isNotNull()).groupBy(
         "year", "month", "song_id", "geography_id", "platform_name").agg(*sums())
     rows = with_country(grouped, star, "country_code", "region")

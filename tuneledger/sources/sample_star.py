@@ -80,8 +80,8 @@ def platforms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schemas.PLATFORM)
 
 
-def staging(spark: SparkSession, folder: str) -> DataFrame:
-    """One pending staging row per line item."""
+def staging(spark: SparkSession, folder: str, *source_columns: str) -> DataFrame:
+    """One pending staging row per line item, with any columns of the source kept alongside."""
     line = table(spark, folder, "lineitem")
     order = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
@@ -113,6 +113,7 @@ def staging(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_suppkey") + F.when(broken_user, 1_000_000).otherwise(0)).cast("int").alias("userid"),
         F.lit(PENDING).alias("status"), F.lit(None).cast("string").alias("error_message"),
         (F.col("l_shipdate") + F.expr(f"INTERVAL {_YEARS_AHEAD} YEAR")).alias("created_at"),
+        *source_columns,
     )
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tuneledger import schemas
 from tuneledger.operators.load import load
 from tuneledger.session import fresh_dir
 from tuneledger.sources import sample_star
@@ -17,10 +16,6 @@ from tuneledger.sources.warehouse import Star, Warehouse
 _BUILT: dict[tuple[str, str], Warehouse] = {}
 
 
-def empty_facts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], schemas.FACT)
-
-
 def write_dimensions(warehouse: Warehouse, folder: str) -> None:
     spark = warehouse.spark
     warehouse.write("label", sample_star.labels(spark, folder))
@@ -30,14 +25,6 @@ def write_dimensions(warehouse: Warehouse, folder: str) -> None:
     warehouse.write("platform_config", sample_star.platforms(spark))
 
 
-def dimensions_only(warehouse: Warehouse) -> Star:
-    """The star before any load."""
-    return Star(
-        facts=empty_facts(warehouse.spark), songs=warehouse.read("song"), artists=warehouse.read("artist"),
-        labels=warehouse.read("label"), platforms=warehouse.read("platform_config"),
-        countries=warehouse.read("dim_geography"))
-
-
 def build(spark: SparkSession, folder: str) -> Warehouse:
     """Dimensions, staging, the loaded fact and the payment history, written once."""
     key = (spark.sparkContext.applicationId, folder.rstrip("/"))
@@ -45,16 +32,24 @@ def build(spark: SparkSession, folder: str) -> Warehouse:
         warehouse = Warehouse(spark, fresh_dir(spark, "warehouse"))
         write_dimensions(warehouse, folder)
         warehouse.write("stg_revenue_import", sample_star.staging(spark, folder))
-        warehouse.append_facts(load(warehouse.read("stg_revenue_import"), dimensions_only(warehouse)))
+        warehouse.append_facts(load(warehouse.read("stg_revenue_import"), warehouse.star()))
         paid = sample_star.payments(warehouse.read("fact_monthly_revenue"), warehouse.read("song"))
         paid.write.parquet(warehouse.path("payment_history"))
         _BUILT[key] = warehouse
     return _BUILT[key]
 
 
+def unloaded(warehouse: Warehouse) -> Star:
+    """The star before any load."""
+    star = warehouse.star()
+    return star.with_facts(star.facts.limit(0))
+
+
 def preloaded(warehouse: Warehouse) -> Star:
     """The star with only the facts of 2020 in place."""
     star = warehouse.star()
-    return Star(
-        facts=star.facts.where(F.col("year") == 2020), songs=star.songs, artists=star.artists,
-        labels=star.labels, platforms=star.platforms, countries=star.countries)
+    return star.with_facts(star.facts.where(F.col("year") == 2020))
+
+
+def payments(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(build(spark, folder).path("payment_history"))

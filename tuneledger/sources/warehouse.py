@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tuneledger import schemas
@@ -19,7 +20,11 @@ _SCHEMAS = {
 
 @dataclass(frozen=True)
 class Star:
-    """The tables a report reads."""
+    """The tables a report reads.
+
+    ``summed`` may hold the fact already added up to month, song, platform and country; the
+    refresh job sets it so that all views share one pass over the fact.
+    """
 
     facts: DataFrame
     songs: DataFrame
@@ -27,6 +32,10 @@ class Star:
     labels: DataFrame
     platforms: DataFrame
     countries: DataFrame
+    summed: DataFrame | None = None
+
+    def with_facts(self, facts: DataFrame, summed: DataFrame | None = None) -> Star:
+        return replace(self, facts=facts, summed=summed)
 
 
 def clustered_by_period(df: DataFrame, *within: str) -> DataFrame:
@@ -49,6 +58,14 @@ class Warehouse:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(_SCHEMAS[name]).parquet(self.path(name))
 
+    def read_if_present(self, name: str) -> DataFrame | None:
+        try:
+            return self.read(name)
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
     def write(self, name: str, df: DataFrame, mode: str = "append") -> None:
         """Store rows of a dimension or of the staging table in their declared column types."""
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[name].fields]
@@ -65,7 +82,10 @@ class Warehouse:
          .option("partitionOverwriteMode", "dynamic").partitionBy(*PERIOD).parquet(path))
 
     def star(self) -> Star:
+        facts = self.read_if_present("fact_monthly_revenue")
+        if facts is None:
+            facts = self.spark.createDataFrame([], schemas.FACT)
         return Star(
-            facts=self.read("fact_monthly_revenue"), songs=self.read("song"), artists=self.read("artist"),
+            facts=facts, songs=self.read("song"), artists=self.read("artist"),
             labels=self.read("label"), platforms=self.read("platform_config"),
             countries=self.read("dim_geography"))
