@@ -304,11 +304,11 @@ def _analytics(artist: int, year: int, month: str) -> dict[str, str]:
             SELECT isrc, title, artist_name, label_name, year, month, CAST(sum(p) AS BIGINT) AS total_plays,
                    CAST(sum(u) AS DOUBLE) / 1000000 AS total_revenue, CAST(sum(r) AS DOUBLE) / 1000000 AS total_royalties,
                    count(*) AS platform_count,
-                   CAST((2 * sum(v) + count(v) * 1000000) // (2 * nullif(count(v), 0) * 1000000) AS DOUBLE) / 1000000
+                   CAST((2 * sum(v) + count(v) * 1000000000000) // (2 * nullif(count(v), 0) * 1000000000000) AS DOUBLE) / 1000000
                      AS avg_revenue_per_play
             FROM (SELECT isrc, title, artist_name, label_name, year, month, platform_id, sum(plays) AS p,
                          sum(revenue) AS u, sum(royalty) AS r,
-                         (2 * sum(revenue) * 1000000 + sum(plays)) // (2 * nullif(sum(plays), 0)) AS v
+                         (2 * sum(revenue) * 1000000000000 + sum(plays)) // (2 * nullif(sum(plays), 0)) AS v
                   FROM released GROUP BY ALL)
             GROUP BY isrc, title, artist_name, label_name, year, month"""),
         "geographic_performance": _with(_grouped(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import sys
 import time
 
@@ -19,32 +18,23 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _key(row: tuple) -> tuple:
-    return tuple((value is None, str(type(value)), value if value is not None else 0) for value in row)
-
-
-def sql_rows(con: duckdb.DuckDBPyConnection, sql: str) -> tuple[list[str], list[tuple]]:
-    found = con.execute(sql)
-    names = [d[0] for d in found.description]
-    order = sorted(range(len(names)), key=names.__getitem__)
-    return [names[i] for i in order], sorted((tuple(r[i] for i in order) for r in found.fetchall()), key=_key)
-
-
-def spark_rows(df) -> tuple[list[str], list[tuple]]:
-    names = sorted(df.columns)
-    return names, sorted((tuple(r) for r in df.select(*names).collect()), key=_key)
-
-
-def difference(con, sql: str, df) -> str | None:
-    """None when equal, else a short description."""
-    expected_names, expected = sql_rows(con, sql)
-    names, rows = spark_rows(df)
-    if names != expected_names:
-        return f"columns {names} != {expected_names}"
-    if len(rows) != len(expected):
-        return f"{len(rows)} rows != {len(expected)} rows; {rows[:1]} / {expected[:1]}"
-    unlike = [(a, b) for a, b in zip(rows, expected) if a != b]
-    return f"{len(unlike)} of {len(rows)} rows differ, first {unlike[0][0]} != {unlike[0][1]}" if unlike else None
+def difference(con: duckdb.DuckDBPyConnection, sql: str, df) -> str | None:
+    """None when both hold the same columns and the same rows, repeats included; else a short description."""
+    con.execute(f"CREATE OR REPLACE TEMP TABLE expected AS {sql}")
+    actual = df.toArrow()
+    con.register("actual", actual)
+    names = sorted(d[0] for d in con.execute("SELECT * FROM expected LIMIT 0").description)
+    if sorted(actual.column_names) != names:
+        return f"columns {sorted(actual.column_names)} != {names}"
+    columns = ", ".join(f'"{name}"' for name in names)
+    left, right = f"SELECT {columns} FROM actual", f"SELECT {columns} FROM expected"
+    unlike = []
+    for label, one, other in (("only Spark", left, right), ("only SQL", right, left)):
+        rows = con.execute(f"SELECT * FROM ({one} EXCEPT ALL {other}) LIMIT 2").fetchall()
+        if rows:
+            total = con.execute(f"SELECT count(*) FROM ({one} EXCEPT ALL {other})").fetchone()[0]
+            unlike.append(f"{label}: {total} rows, {rows}")
+    return "; ".join(unlike) or None
 
 
 def main(folder: str, only: list[str]) -> None:

@@ -134,7 +134,7 @@ def label_rates(star: Star) -> DataFrame:
 def isrc_performance(star: Star) -> DataFrame:
     """Per song and period, with the mean over platforms of the revenue per play."""
     each = F.col("revenue").cast("decimal(25,6)") / F.nullif(F.col("plays").cast("decimal(20,0)"), F.lit(0))
-    per_song = base(star).withColumn("each", each.cast("decimal(28,12)")).groupBy("year", "month", "song_id").agg(
+    per_song = base(star).withColumn("each", each).groupBy("year", "month", "song_id").agg(
         *sums(), F.count("platform_id").alias("platform_count"),
         F.round(F.sum("each") / F.nullif(F.count("each"), F.lit(0)), 6).alias("avg_revenue_per_play"))
     rows = with_song(per_song, star, "isrc", "title", "song_artist", "label_id")

@@ -74,7 +74,7 @@ def artist_earnings(star: Star) -> DataFrame:
     rows = with_song(base(star), star, "song_artist")
     grouped = rows.groupBy("year", "month", "song_artist").agg(
         *sums(),
-        F.round(F.sum("pct_total").cast("decimal(38,12)") / F.nullif(F.sum("pct_rows"), F.lit(0)), 2)
+        F.round(F.sum("pct_total") / F.nullif(F.sum("pct_rows"), F.lit(0)), 2)
         .alias("avg_royalty_percentage"),
         *distinct(unique_songs="song_id", platform_count="platform_id"))
     return with_artist(grouped, star).select(

@@ -15,6 +15,7 @@ def build_session(cores: str = "8", app_name: str = "tuneledger", driver_memory:
         .appName(app_name)
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
