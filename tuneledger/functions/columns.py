@@ -46,6 +46,16 @@ def period_index(year: str = "year", month: str = "month") -> Column:
     return F.col(year) * 12 + month_number(month)
 
 
+def year_in(period: Column) -> Column:
+    """Year of a period number made by :func:`period_index`."""
+    return F.floor((period - 1) / 12).cast("int")
+
+
+def month_in(period: Column) -> Column:
+    """Month text of a period number made by :func:`period_index`."""
+    return F.element_at(F.array(*[F.lit(name) for name in MONTHS]), ((period - 1) % 12 + 1).cast("int"))
+
+
 def year_of(date: Column | str) -> Column:
     return F.year(date)
 

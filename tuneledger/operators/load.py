@@ -38,11 +38,12 @@ def month_text_to_period(df: DataFrame, column: str) -> DataFrame:
 
 def existing_keys(star: Star) -> DataFrame:
     """Distinct (code, platform name, period) already present in the fact."""
-    keys = star.facts.select("year", "month", "song_id", "platform_id").distinct()
-    named = keys.join(star.platforms.select("platform_id", "platform_name"), "platform_id")
-    return named.join(star.songs.select("song_id", "isrc"), "song_id").select(
+    named = star.facts.select("year", "month", "song_id", "platform_id").join(
+        star.platforms.select("platform_id", "platform_name"), "platform_id")
+    keys = named.select("year", "month", "song_id", "platform_name").distinct()
+    return keys.join(star.songs.select("song_id", "isrc"), "song_id").select(
         F.col("isrc").alias("known_isrc"), F.col("platform_name").alias("known_service"),
-        F.col("year").alias("known_year"), F.col("month").alias("known_month")).distinct()
+        F.col("year").alias("known_year"), F.col("month").alias("known_month"))
 
 
 def _flagged(df: DataFrame, keys: DataFrame, on: dict[str, str], flag: str) -> DataFrame:
@@ -56,6 +57,7 @@ def with_duplicates(staging: DataFrame, star: Star) -> DataFrame:
     """Adds ``is_duplicate``: the fact already holds this code, platform and period.
 
     Country is not compared, and rows of one batch never count as duplicates of each other.
+    Joined straight to the staging scan, the periods of the batch also prune the fact's folders.
     """
     on = {"isrc": "known_isrc", "service": "known_service",
           "period_year": "known_year", "period_month": "known_month"}
@@ -140,8 +142,8 @@ def classify(staging: DataFrame, star: Star, skip_existing: bool = True, window_
     With ``window_matters=False`` (the upsert form) a row outside its platform's dates
     still counts as PROCESSED although it yields no fact.
     """
-    rows = resolve(staging, star)
-    rows = with_duplicates(rows, star) if skip_existing else with_period(rows).withColumn("is_duplicate", F.lit(False))
+    rows = with_duplicates(staging, star) if skip_existing else with_period(staging).withColumn("is_duplicate", F.lit(False))
+    rows = resolve(rows, star)
     open_platform = F.col("platform_open") if window_matters else F.col("platform_known")
     loadable = F.coalesce(F.col("song_status") == "Released", F.lit(False)) & open_platform & F.col("artist_known")
     pending = F.col("status") == PENDING
@@ -221,20 +223,28 @@ def upsert(
         kept: tuple[str, ...] = ("artist_id",)) -> DataFrame:
     """Existing rows with the incoming measures put over them, plus the new keys.
 
-    Both sides hold one row per key, so the join multiplies nothing. A matched row retains
-    its kept columns. A null inside a key equals nothing: such incoming rows are added.
+    Both sides hold one row per complete key, so the join multiplies nothing and no key is
+    hot in it. A matched row retains its kept columns. A null inside a key equals nothing:
+    such rows bypass the join and are added as they are.
     """
+    columns = [*key, *kept, *_MEASURES]
+
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*key, F.struct(*kept, *_MEASURES).alias(name))
+        return df.where(_complete(key)).select(*key, F.struct(*kept, *_MEASURES).alias(name))
 
     merged = side(existing, "old").join(side(incoming, "new"), list(key), "full_outer")
     first = [F.when(F.col("old").isNotNull(), F.col(f"old.{c}")).otherwise(F.col(f"new.{c}")).alias(c) for c in kept]
     last = [F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in _MEASURES]
-    return merged.select(*key, *first, *last)
+    loose = existing.where(~_complete(key)).select(*columns).unionByName(
+        incoming.where(~_complete(key)).select(*columns))
+    return merged.select(*key, *first, *last).unionByName(loose)
+
+
+def _complete(key: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
 
 
 def upsert_source(facts: DataFrame, key: tuple[str, ...] = UPSERT_KEY) -> DataFrame:
     """Incoming facts reduced for an upsert; rows with a null in the key stay as they are."""
-    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
-    loose = facts.where(~complete).select(*key, "artist_id", *_MEASURES)
-    return one_row_per_key(facts.where(complete), key).unionByName(loose)
+    loose = facts.where(~_complete(key)).select(*key, "artist_id", *_MEASURES)
+    return one_row_per_key(facts.where(_complete(key)), key).unionByName(loose)

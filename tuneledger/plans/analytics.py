@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tuneledger.functions.columns import (
-    check_artist, check_period, growth, month_number, narrowed, per_play, period_index, rate, total,
+    check_artist, check_period, growth, month_in, month_number, narrowed, per_play, period_index, rate, total,
+    year_in,
 )
 from tuneledger.operators.star import (
     created_range, distinct, measures_of, revenue_per_play, rollup, royalty_rate, sums, with_artist,
@@ -216,7 +217,8 @@ def latest_platform_metrics(star: Star) -> DataFrame:
     """
     shown = with_song(with_platform(star.facts.select("year", "month", "song_id", "platform_id").distinct(),
                                     star, active=True), star)
-    latest = shown.agg(F.max(F.struct("year", month_number("month"), "month")).alias("p")).select("p.year", "p.month")
+    newest = shown.agg(F.max(period_index()).alias("period"))
+    latest = newest.select(year_in(F.col("period")).alias("year"), month_in(F.col("period")).alias("month"))
     facts = star.facts.join(F.broadcast(latest), ["year", "month"], "left_semi")
     return platform_trends(star.with_facts(facts), ordered=False).drop("year", "month").orderBy(
         F.desc("total_revenue"), "platform_name", "revenue_share_percentage")

@@ -77,7 +77,7 @@ def platforms(spark: SparkSession) -> DataFrame:
         (key, name, Decimal(share), dt.date(*start), dt.date(*end) if end else None, active)
         for key, name, share, start, end, active in PLATFORMS
     ]
-    return spark.createDataFrame(rows, schemas.PLATFORM)
+    return spark.createDataFrame(rows, schemas.PLATFORM).coalesce(1)
 
 
 def staging(spark: SparkSession, folder: str, *source_columns: str) -> DataFrame:

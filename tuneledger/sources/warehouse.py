@@ -76,10 +76,11 @@ class Warehouse:
         arranged = clustered_by_period(facts.select(*columns), "song_id")
         arranged.write.mode("append").partitionBy(*PERIOD).parquet(self.path("fact_monthly_revenue"))
 
-    def replace_periods(self, path: str, df: DataFrame, *within: str) -> None:
-        """Overwrite exactly the year/month folders that occur in ``df``."""
+    def replace_periods(self, path: str, df: DataFrame, *within: str, whole: bool = False) -> None:
+        """Overwrite exactly the year/month folders that occur in ``df``, or the whole table."""
         (clustered_by_period(df, *within).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(*PERIOD).parquet(path))
+         .option("partitionOverwriteMode", "static" if whole else "dynamic")
+         .partitionBy(*PERIOD).parquet(path))
 
     def star(self) -> Star:
         facts = self.read_if_present("fact_monthly_revenue")
