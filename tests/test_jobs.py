@@ -6,6 +6,7 @@ from test_intake import HEADER
 
 from tuneledger.plans import jobs, views
 from tuneledger.sources import sheets
+from tuneledger.sources.warehouse import clustered_by_period, parts_per_period
 
 SONG = "USUM71307667"
 
@@ -105,3 +106,13 @@ def test_only_the_periods_of_a_batch_are_read(warehouse):
     plan = facts._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [(((year" in plan
     assert set(rows_of(facts.select("year", "month").distinct())) == {(2023, "Apr"), (2023, "May"), (2024, "Jan")}
+
+
+def test_large_periods_are_written_in_song_parts(tiny, spark, star):
+    assert [parts_per_period(rows, 2) for rows in (0, 8_000_000, 8_000_001, 80_000_000)] == [1, 1, 2, 10]
+    target = tiny.warehouse()
+    target.append_facts(star.facts, song_parts=5)
+    columns = star.facts.columns
+    assert rows_of(target.read("fact_monthly_revenue"), *columns) == rows_of(star.facts, *columns)
+    text = clustered_by_period(star.facts, "song_id", song_parts=5)._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in text and "song_part" in text

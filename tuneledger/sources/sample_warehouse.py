@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tuneledger.operators.load import load
 from tuneledger.session import fresh_dir
 from tuneledger.sources import sample_star
-from tuneledger.sources.warehouse import Star, Warehouse
+from tuneledger.sources.warehouse import Star, Warehouse, parts_per_period
+
+# The supplied tables span seven years of shipping dates.
+_MONTHS_COVERED = 84
 
 _BUILT: dict[tuple[str, str], Warehouse] = {}
 
@@ -32,7 +35,8 @@ def build(spark: SparkSession, folder: str) -> Warehouse:
         warehouse = Warehouse(spark, fresh_dir(spark, "warehouse"))
         write_dimensions(warehouse, folder)
         warehouse.write("stg_revenue_import", sample_star.staging(spark, folder))
-        warehouse.append_facts(load(warehouse.read("stg_revenue_import"), warehouse.star()))
+        staged = warehouse.read("stg_revenue_import")
+        warehouse.append_facts(load(staged, warehouse.star()), parts_per_period(staged.count(), _MONTHS_COVERED))
         paid = sample_star.payments(warehouse.read("fact_monthly_revenue"), warehouse.read("song"))
         paid.write.parquet(warehouse.path("payment_history"))
         _BUILT[key] = warehouse

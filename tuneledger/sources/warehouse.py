@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
@@ -38,13 +39,29 @@ class Star:
         return replace(self, facts=facts, summed=summed)
 
 
-def clustered_by_period(df: DataFrame, *within: str) -> DataFrame:
+# Fact rows aimed at per file, some 150 MB of Parquet.
+ROWS_PER_FILE = 4_000_000
+
+
+def parts_per_period(rows: int, periods: int) -> int:
+    """Into how many parts to hash the songs of one period, so that a part fills about one file."""
+    return max(1, math.ceil(rows / (max(1, periods) * ROWS_PER_FILE)))
+
+
+def clustered_by_period(df: DataFrame, *within: str, song_parts: int = 1) -> DataFrame:
     """Rows arranged for a write by year and month.
 
-    The rebalance lets adaptive execution split a month that holds much of the data over
-    many tasks and join small months together, so files come out at an even size.
+    The rebalance lets adaptive execution split a month or song that holds much of the data
+    over many tasks and join small months together, so files come out at an even size. With
+    several song parts all rows of a song in a month lie in one file, next to each other,
+    where a later sum over them shrinks the data before its shuffle.
     """
-    return df.hint("rebalance", *PERIOD).sortWithinPartitions(*PERIOD, *within)
+    if song_parts == 1:
+        arranged = df.hint("rebalance", *PERIOD)
+    else:
+        part = F.pmod(F.xxhash64("song_id"), F.lit(song_parts))
+        arranged = df.withColumn("song_part", part).hint("rebalance", *PERIOD, "song_part").drop("song_part")
+    return arranged.sortWithinPartitions(*PERIOD, *within)
 
 
 @dataclass(frozen=True)
@@ -71,14 +88,15 @@ class Warehouse:
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[name].fields]
         df.select(*columns).write.mode(mode).parquet(self.path(name))
 
-    def append_facts(self, facts: DataFrame) -> None:
+    def append_facts(self, facts: DataFrame, song_parts: int = 1) -> None:
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.FACT.fields]
-        arranged = clustered_by_period(facts.select(*columns), "song_id")
+        arranged = clustered_by_period(facts.select(*columns), "song_id", song_parts=song_parts)
         arranged.write.mode("append").partitionBy(*PERIOD).parquet(self.path("fact_monthly_revenue"))
 
-    def replace_periods(self, path: str, df: DataFrame, *within: str, whole: bool = False) -> None:
+    def replace_periods(
+            self, path: str, df: DataFrame, *within: str, whole: bool = False, song_parts: int = 1) -> None:
         """Overwrite exactly the year/month folders that occur in ``df``, or the whole table."""
-        (clustered_by_period(df, *within).write.mode("overwrite")
+        (clustered_by_period(df, *within, song_parts=song_parts).write.mode("overwrite")
          .option("partitionOverwriteMode", "static" if whole else "dynamic")
          .partitionBy(*PERIOD).parquet(path))
 
