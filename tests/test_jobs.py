@@ -116,3 +116,17 @@ def test_large_periods_are_written_in_song_parts(tiny, spark, star):
     assert rows_of(target.read("fact_monthly_revenue"), *columns) == rows_of(star.facts, *columns)
     text = clustered_by_period(star.facts, "song_id", song_parts=5)._jdf.queryExecution().executedPlan().toString()
     assert "REBALANCE_PARTITIONS_BY_COL" in text and "song_part" in text
+
+
+def test_sync_makes_rows_loadable(tiny, spark):
+    warehouse = tiny.warehouse()
+    path = tiny.text([HEADER, "Spotify,2025-01-01,NEW000000001,p,Title,Ann,,Sony Music,f,US,10,7,50,a"])
+    assert rows_of(jobs.sync_dimensions(spark, warehouse, path)) == [("Artists", 4), ("Songs", 5)]
+    assert rows_of(jobs.sync_dimensions(spark, warehouse, path)) == [("Artists", 4), ("Songs", 5)]
+    assert jobs.backfill_countries(warehouse).count() == 19
+    assert jobs.backfill_countries(warehouse).count() == 0
+    ids = [r[0] for r in rows_of(warehouse.read("dim_geography"), "geography_id")]
+    assert ids == list(range(1, 22))
+    assert counts(jobs.import_revenue(spark, warehouse, path)) == {"PROCESSED": 1}
+    fact = warehouse.read("fact_monthly_revenue").first()
+    assert (fact.song_id, fact.artist_id) == (5, 50) and fact.geography_id is not None

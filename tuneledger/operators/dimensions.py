@@ -58,7 +58,7 @@ def with_song_ids(songs: DataFrame, existing: DataFrame) -> DataFrame:
     The codes are spread over ranges; each range numbers its own rows and starts where the
     counts of the ranges before it end.
     """
-    ranges = 64
+    ranges = 4096
     bucket = F.pmod(F.xxhash64("isrc"), F.lit(ranges))
     spread = songs.withColumn("bucket", bucket)
     counts = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))

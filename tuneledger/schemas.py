@@ -21,6 +21,12 @@ MSG_PLATFORM = "Invalid platform"
 MSG_ARTIST = "Invalid artist ID"
 MSG_SONG = "Song not released"
 
+# Outcome messages of an import.
+MSG_NO_DATA = "No valid data found in CSV file"
+MSG_NOT_STAGED = "Failed to stage revenue data"
+MSG_IMPORTED = "Revenue data imported successfully"
+MSG_NOT_REFRESHED = "Data imported but some views failed to refresh"
+
 # Fixed value: first year the reports accept.
 FIRST_YEAR = 2020
 
