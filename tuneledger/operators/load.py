@@ -57,7 +57,7 @@ def with_duplicates(staging: DataFrame, star: Star) -> DataFrame:
     """Adds ``is_duplicate``: the fact already holds this code, platform and period.
 
     Country is not compared, and rows of one batch never count as duplicates of each other.
-    Joined straight to the staging scan, the periods of the batch also prune the fact's folders.
+    The import job hands in a star that holds only the facts of the batch's periods.
     """
     on = {"isrc": "known_isrc", "service": "known_service",
           "period_year": "known_year", "period_month": "known_month"}
