@@ -314,16 +314,31 @@ def _registered() -> dict[str, Query]:
     }
 
 
+def _corpus():
+    """The module with the corpus queries, or None where that subpackage is not installed."""
+    try:
+        from tuneledger.llm import queries as corpus
+    except ModuleNotFoundError as missing:
+        if missing.name in ("tuneledger.llm", "tuneledger.llm.queries", "corpus_pipeline"):
+            return None
+        raise
+    return corpus
+
+
 def queries() -> dict[str, Query]:
     """Every registered query as (spark, folder) -> DataFrame."""
     def plain(query: Query) -> Query:
         return lambda spark, folder: _plain(query(spark, folder))
-    return {name: plain(query) for name, query in _registered().items()}
+    found = {name: plain(query) for name, query in _registered().items()}
+    corpus = _corpus()
+    return found if corpus is None else {**found, **corpus.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results as DuckDB SQL on the supplied tables."""
-    return oracles.all_sql(ARTIST, YEAR, MONTH, AS_OF)
+    found = oracles.all_sql(ARTIST, YEAR, MONTH, AS_OF)
+    corpus = _corpus()
+    return found if corpus is None else {**found, **corpus.oracle_sql()}
 
 
 def entry(spark: SparkSession) -> DataFrame:

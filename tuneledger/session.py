@@ -27,14 +27,15 @@ def build_session(cores: str = "8", app_name: str = "tuneledger", driver_memory:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only in local mode, when the setting is absent.
+    Only a local session without the setting gets a folder of its own, once per session.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="tuneledger-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tuneledger-"))
+        configured = context.getCheckpointDir()
     return configured.rstrip("/")
 
 
