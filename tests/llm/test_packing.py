@@ -1,0 +1,102 @@
+from __future__ import annotations
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from conftest_llm import EDGES, WORDS
+from tuneledger.llm import packing
+from tuneledger.session import fresh_dir
+
+
+def whole(plan: packing.Plan, counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
+    """Offsets and lengths by sequence."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for n, c in counts.items():
+        runs = [*plan.slots[n], (c, 0, 0)]
+        assert runs[0][0] == 0
+        for (since, first, at), (until, _, _) in zip(runs, runs[1:]):
+            for k in range(until - since):
+                found.setdefault(first + k, []).append((at, n))
+    return found
+
+
+def check(counts, capacity):
+    plan = packing.Plan(counts, capacity)
+    found = whole(plan, counts)
+    assert sorted(found) == list(range(plan.sequences))
+    for parts in found.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    assert Counter(n for parts in found.values() for _, n in parts) == Counter(counts)
+    return plan.sequences
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_plans_hold_every_piece_once(seed):
+    rnd = random.Random(seed)
+    capacity = rnd.choice([1, 7, 16, 100])
+    counts = {rnd.randint(1, capacity): rnd.randint(1, 9) for _ in range(rnd.randint(0, 30))}
+    used = check(counts, capacity)
+    assert used <= 2 * -(-sum(n * c for n, c in counts.items()) // capacity) + 1
+
+
+def test_gaps_are_filled_exactly():
+    assert check({60: 5, 40: 5}, 100) == 5
+    assert check({50: 3, 30: 3, 20: 3}, 100) == 3
+    assert check({40: 2, 30: 2, 20: 2, 10: 2}, 100) == 2
+    assert check({25: 8}, 100) == 2
+
+
+def test_best_fit_takes_the_fullest():
+    assert check({70: 1, 60: 1, 35: 1, 25: 1}, 100) == 2
+
+
+def placed(rows):
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    return len(by)
+
+
+def test_edges(spark, documents, vocabulary):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary(WORDS))
+    rows = packing.pack(spark, documents(EDGES), vocabulary(WORDS), fresh_dir).collect()
+    placed(rows)
+    want = Counter()
+    for k, t in EDGES:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        for i, at in enumerate(range(0, len(ids), 2048)):
+            want[k, i, at, len(ids[at:at + 2048]), zlib.crc32(ids[at:at + 2048].tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+
+
+def test_empty(spark, documents, vocabulary):
+    assert packing.pack(spark, documents([]), vocabulary(WORDS), fresh_dir).count() == 0
+
+
+def test_corpus_is_packed_tightly_and_sequences_hold_their_ids(spark, corpus, vocabulary):
+    folder = fresh_dir(spark, "pieces")
+    packing.cut(corpus, vocabulary(WORDS), with_ids=True).write.parquet(folder)
+    rows = packing.place(spark.read.parquet(folder), chunk_pieces=10)
+    got = rows.collect()
+    used, tokens = placed(got), sum(r["length"] for r in got)
+    assert used <= -(-tokens // 2048) + 1
+    crc = {(r["sequence_id"], r["offset"]): (r["length"], r["ids_crc32"]) for r in got}
+    for s in packing.sequences(rows).collect():
+        for at in s["offsets"]:
+            n, want = crc[s["sequence_id"], at]
+            assert zlib.crc32(np.array(s["ids"][at:at + n], "<u4").tobytes()) == want

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tuneledger.llm import token_store
+from tuneledger.llm import packing, quality, token_store
 from tuneledger.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,9 +23,19 @@ def op1_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumnRenamed("key", "doc_id")
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(spark, table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), fresh_dir)
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The measures that no contract names are read by rules only."""
+    return quality.judge(table(spark, folder, "documents")).drop(
+        "n_exclamations", "n_stop_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_token_store": op1_token_store}
+    return {"op1_token_store": op1_token_store, "op4_packing": op4_packing, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality": quality.sql()}
