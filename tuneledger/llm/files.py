@@ -19,7 +19,7 @@ def write_file(uri: str, *parts: bytes) -> int:
     """Write the parts one after the other, creating the folder; the number of bytes."""
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         return sum(out.write(part) for part in parts)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tuneledger.llm import packing, quality, token_store
+from tuneledger.llm import bpe_stream, packing, quality, token_store, warc
 from tuneledger.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,24 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(spark, table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), fresh_dir)
 
 
+def op5_bpe_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_stream.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive(spark, table(spark, folder, "pages"), fresh_dir).drop("url", "payload")
+
+
+OP6_SQL = """
+WITH pages_read AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+sized AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest FROM pages_read),
+best AS (SELECT payload_bytes, payload_digest, max(page_id) AS largest FROM sized WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT s.page_id, s.payload_bytes::BIGINT AS payload_bytes, s.payload_digest,
+    CASE WHEN b.largest <> s.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN b.largest <> s.page_id THEN b.largest END AS refers_to
+FROM sized s LEFT JOIN best b USING (payload_bytes, payload_digest)"""
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """The measures that no contract names are read by rules only."""
     return quality.judge(table(spark, folder, "documents")).drop(
@@ -34,8 +52,9 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_token_store": op1_token_store, "op4_packing": op4_packing, "op9_quality": op9_quality}
+    return {"op1_token_store": op1_token_store, "op4_packing": op4_packing, "op5_bpe_stream": op5_bpe_stream,
+            "op6_warc": op6_warc, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality": quality.sql()}
+    return {"op6_warc": OP6_SQL, "op9_quality": quality.sql()}
