@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tuneledger.llm import bpe_stream, packing, quality, token_store, warc
+from tuneledger.llm import bpe_stream, minhash_dedup, packing, quality, token_store, warc
 from tuneledger.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumnRenamed("key", "doc_id")
 
 
+def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_dedup.classes(spark, table(spark, folder, "documents"), fresh_dir, percent=85)
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(spark, table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), fresh_dir)
 
@@ -52,7 +56,7 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_token_store": op1_token_store, "op4_packing": op4_packing, "op5_bpe_stream": op5_bpe_stream,
+    return {"op1_token_store": op1_token_store, "op3_minhash_dedup": op3_minhash_dedup, "op4_packing": op4_packing, "op5_bpe_stream": op5_bpe_stream,
             "op6_warc": op6_warc, "op9_quality": op9_quality}
 
 
