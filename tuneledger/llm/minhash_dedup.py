@@ -12,7 +12,8 @@ Documents with equal sets are one class, which its least id stands for. Pairs ar
 First the least class of a bucket is compared with all others, and the components of the links found are
 computed. Then only classes of different components can matter: of those outside the largest component of
 their bucket, ``LEADERS`` per bucket and round are compared with the classes of other components, until none is
-left that has not been compared. Links are confirmed on whole sets of 64-bit shingle hashes. Every link of two
+left that has not been compared. Pairs whose sizes or sketch bits are too unlike for the threshold are ruled out
+within the join of a bucket. Links are confirmed on whole sets of 64-bit shingle hashes. Every link of two
 classes that share a band is thus found or implied by components, at a linear number of pairs per round.
 
 Defined results: words are cut at ASCII white space and A-Z are lower-cased; a text with fewer words than a
@@ -39,13 +40,16 @@ SHINGLE, PERCENT = 5, 80
 #: Coordinates of a band, and the greatest probability that a pair at the threshold shares no band.
 BAND, MISSED = 5, 1e-6
 #: Classes of a bucket that are compared with the others of their bucket in one round.
-LEADERS = 64
+LEADERS = 256
+#: Coordinates of which one bit each is compared before sets are, and the greatest probability that a pair at the
+#: threshold differs in more of these bits than ``most_unlike`` allows.
+BITS, UNLIKE = 128, 1e-9
 #: Words whose hashes a worker keeps; at more it starts anew.
 KEPT_WORDS = 500_000
 #: Shingles that are thrown together.
 THROWN = 400_000
 
-SKETCHED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+SKETCHED = "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, bands array<long>"
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -54,6 +58,18 @@ def n_bands(percent: int) -> int:
     return math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** BAND))
 
 
+def most_unlike(percent: int) -> int:
+    """Bits in which two sketches may differ: the tail of a binomial distribution, as coordinates are as concentrated.
+
+    Coordinates of a pair at the threshold differ with a probability of one minus the threshold, their bits with half of it.
+    """
+    n, p = min(BITS, n_bands(percent) * BAND), (1 - percent / 100) / 2
+    tail, most = 0.0, n
+    while most > 0 and tail + (at := math.comb(n, most) * p**most * (1 - p) ** (n - most)) < UNLIKE:
+        tail, most = tail + at, most - 1
+    return most
+
+
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = x ^ np.uint64((salt + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
@@ -138,13 +154,18 @@ def sketched(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def closed(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-            keys = bands_of(sketches(sets, bands * BAND)).view(np.int64)
+            sketch = sketches(sets, bands * BAND)
+            keys = bands_of(sketch).view(np.int64)
+            bits = np.zeros((len(sets), BITS), np.uint8)
+            bits[:, :min(BITS, sketch.shape[1])] = sketch[:, :BITS] & np.uint64(1)
+            bits = np.packbits(bits, axis=1).view(np.int64)
             digests = [_digest(s) for s in sets]
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
+                 pa.array(bits[:, 0]), pa.array(bits[:, 1]),
                  pa.array([k if len(s) else None for k, s in zip(keys, sets)], pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                ["doc_id", "n_shingles", "set_a", "set_b", "bits_a", "bits_b", "bands"])
 
         ids, sets, size = [], [], 0
         for batch in batches:
@@ -209,45 +230,54 @@ def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSess
     found = stored(sketched(docs, key, text, percent), "sketches")
     filled = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     least = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"))
-    keyed = filled.select("doc_id", "set_a", "set_b", "n_shingles", "bands").join(least, ["set_a", "set_b", "n_shingles"])
+    keyed = filled.select("doc_id", "set_a", "set_b", "n_shingles", "bits_a", "bits_b", "bands").join(least, ["set_a", "set_b", "n_shingles"])
     # One set per class id, also where a key comes with several texts.
-    chosen = keyed.where("doc_id = id").groupBy("id").agg(F.min(F.struct("set_a", "set_b", "n_shingles", "bands")).alias("of"))
-    bands = stored(chosen.select("id", "of.set_a", "of.set_b", F.col("of.n_shingles").alias("n"), F.col("of.bands").alias("bands")), "classes")
-    ids = bands.select("id", "set_a", "set_b")
-    bands = bands.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("first")).where("m > 1")
-    members = stored(bands.join(shared, "bucket").select(
-        "bucket", "id", "n", F.col("first.id").alias("leader"), F.col("first.n").alias("n_leader")), "buckets")
-
-    def alike(one: str, other: str):
-        return F.expr(f"100 * least({one}, {other}) >= {percent} * greatest({one}, {other})")
-
+    chosen = keyed.where("doc_id = id").groupBy("id").agg(F.min(
+        F.struct("set_a", "set_b", "n_shingles", "bits_a", "bits_b", "bands")).alias("of"))
+    bands = stored(chosen.select("id", "of.set_a", "of.set_b", F.col("of.n_shingles").alias("n"), "of.bits_a", "of.bits_b",
+                                 F.col("of.bands").alias("bands")), "classes")
+    ids, told = bands.select("id", "set_a", "set_b"), bands.select("id", "n", "bits_a", "bits_b")
+    bands = bands.select("id", F.explode("bands").alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("leader")).where("m > 1")
+    members = stored(bands.join(shared, "bucket").select("bucket", "id", "leader").join(told, "id"), "buckets")
     sets = stored(_sets(docs, key, text, ids.join(members.select("id").distinct(), "id", "left_semi")), "sets")
-    pairs = members.where((F.col("id") != F.col("leader")) & alike("n", "n_leader"))
-    links = stored(_confirmed(pairs.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets, percent), "links")
-    done = members.select("bucket", F.col("leader").alias("id")).distinct()
-    members, number = members.select("bucket", "id", "n"), 1
+    columns, limit = ("n", "bits_a", "bits_b"), most_unlike(percent)
+
+    def as_leader(frame: DataFrame, *more: str) -> DataFrame:
+        return frame.select("bucket", F.col("id").alias("one"), *[F.col(c).alias(f"{c}_one") for c in (*columns, *more)])
+
+    def confirmed(leaders: DataFrame, others: DataFrame, condition: str) -> DataFrame:
+        """Links of leaders with others of their bucket. Sizes and bits rule out pairs within the join."""
+        alike = F.expr(f"100 * least(n, n_one) >= {percent} * greatest(n, n_one) AND {condition} AND "
+                       f"bit_count(bits_a ^ bits_a_one) + bit_count(bits_b ^ bits_b_one) <= {limit}")
+        met = leaders.withColumnRenamed("bucket", "shared").join(others, (F.col("bucket") == F.col("shared")) & alike)
+        pairs = met.select(F.least("one", "id").alias("a"), F.greatest("one", "id").alias("b")).distinct()
+        return stored(_confirmed(pairs, sets, percent), "links")
+
+    leaders = members.where("id = leader")
+    links = confirmed(as_leader(leaders), members, "id <> one")
+    done, members, number = leaders.select("bucket", "id"), members.select("bucket", "id", *columns), 1
+    labels, new = components(spark, links, fresh_dir), True
     while True:
-        labels = components(spark, links, fresh_dir)
-        named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-            "bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-        sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
-        home = sizes.groupBy("bucket").agg(
-            F.max(F.struct("m", "component"))["component"].alias("home"), F.count(F.lit(1)).alias("parts"),
-            ).where("parts > 1").drop("parts")
-        members = stored(named.join(home, "bucket"), "buckets")  # buckets of one component are settled
+        if new:
+            named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+                "bucket", "id", *columns, F.coalesce("component", "id").alias("component"))
+            sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+            home = sizes.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("home"),
+                                               F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+            members = stored(named.join(home, "bucket"), "buckets")  # buckets of one component are settled
         waiting = members.where("component <> home").join(done, ["bucket", "id"], "left_anti")
         shares = waiting.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / LEADERS).alias("shares"))
-        leaders = stored(waiting.join(shares, "bucket").where(
-            F.pmod(F.xxhash64("id", F.lit(number)), F.col("shares")) == 0).select(
-            "bucket", F.col("id").alias("one"), F.col("n").alias("n_one"), F.col("component").alias("of_one")), "leaders")
+        leaders = stored(waiting.join(shares, "bucket").where(F.pmod(F.xxhash64("id", F.lit(number)), F.col("shares")) == 0).select(
+            "bucket", "id", *columns, "component"), "leaders")
         if leaders.isEmpty() and waiting.isEmpty():
             break
-        compared = leaders.join(members, "bucket").where((F.col("component") != F.col("of_one")) & alike("n", "n_one"))
-        compared = compared.select(F.least("one", "id").alias("a"), F.greatest("one", "id").alias("b")).distinct()
-        links = stored(links.union(_confirmed(compared, sets, percent)), "links")
-        done = stored(done.union(leaders.select("bucket", F.col("one").alias("id"))), "done")
-        members, number = members.select("bucket", "id", "n"), number + 1
+        found_links = confirmed(as_leader(leaders, "component"), members, "component <> component_one")
+        done, number = stored(done.union(leaders.select("bucket", "id")), "done"), number + 1
+        if new := not found_links.isEmpty():
+            links = links.union(found_links)
+            labels = components(spark, links, fresh_dir)
+            members = members.select("bucket", "id", *columns)
     # A document's class is its set; the component of a class is that of its least document.
     rows = found.join(least.withColumnRenamed("id", "least"), ["set_a", "set_b", "n_shingles"], "left")
     rows = rows.join(labels.withColumnRenamed("node", "least"), "least", "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tuneledger.llm import bpe_stream, minhash_dedup, packing, quality, token_store, warc
+from tuneledger.llm import bpe_stream, minhash_dedup, packing, pii, quality, token_store, toxicity, warc
 from tuneledger.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,15 @@ SELECT s.page_id, s.payload_bytes::BIGINT AS payload_bytes, s.payload_digest,
 FROM sized s LEFT JOIN best b USING (payload_bytes, payload_digest)"""
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(spark, table(spark, folder, "documents"), fresh_dir)
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """The measures that no contract names are read by rules only."""
     return quality.judge(table(spark, folder, "documents")).drop(
@@ -57,7 +66,7 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {"op1_token_store": op1_token_store, "op3_minhash_dedup": op3_minhash_dedup, "op4_packing": op4_packing, "op5_bpe_stream": op5_bpe_stream,
-            "op6_warc": op6_warc, "op9_quality": op9_quality}
+            "op6_warc": op6_warc, "op7_pii": op7_pii, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
