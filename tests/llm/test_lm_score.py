@@ -1,0 +1,85 @@
+from __future__ import annotations
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from conftest_llm import BYTES, EDGES
+from tuneledger.llm import lm_score
+from tuneledger.llm.bpe_stream import merges_of
+from tuneledger.llm.lm_score import Lattice
+from tuneledger.session import fresh_dir
+
+
+def readings(word, pieces):
+    """The sum over all segmentations, one by one."""
+    if not word:
+        return 1.0
+    return sum(math.exp(pieces[word[:n]]) * readings(word[n:], pieces) for n in range(1, len(word) + 1) if word[:n] in pieces)
+
+
+def test_all_readings_are_summed():
+    rnd = random.Random(1)
+    pieces = {bytes([b]): math.log(0.001) for b in range(256)}
+    pieces |= {bytes(rnd.choice(b"ab ") for _ in range(rnd.randint(2, 5))): math.log(rnd.random()) for _ in range(40)}
+    pieces[b"a" * 30] = math.log(0.5)
+    some = [b"", b"a", b"abba", b"ababababab", b"zz", "é".encode(), b"a" * 40, b"ab" * 20, b"a" * 3000]
+    lattice = Lattice(pieces)
+    found = lattice.scores(some)
+    for word, score in zip(some, found):
+        if len(word) <= 14:
+            assert math.isclose(score, math.log(readings(b" " + word, pieces)))
+        assert math.isclose(score, lattice._long(b" " + word), rel_tol=1e-9)
+
+
+def brute(rows):
+    def tokens(t):
+        return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "\n"]
+
+    def out(i):
+        return i is None or zlib.crc32(str(i).encode()) % 5 == 1
+    counts = Counter(w for i, t in rows if not out(i) for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    return counts, [(i, out(i), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n,
+                     sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))) for i, t in rows]
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 50_000])
+def test_edges_and_base(spark, documents, vocabulary, frequent):
+    agree(spark, documents(EDGES), EDGES, vocabulary, frequent)
+
+
+def agree(spark, frame, rows, vocabulary, frequent):
+    got = lm_score.score(spark, frame, vocabulary(BYTES), fresh_dir, frequent=frequent).collect()
+    counts, want = brute(rows)
+    assert len(got) == len(want)
+    order = lambda r: (str(r[0]), r[2], round(r[5], 3))
+    plain = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got]
+    for g, w in zip(sorted(plain, key=order), sorted(want, key=order)):
+        assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9) and g[6] < 0
+    return counts, {r["doc_id"]: r["score"] for r in got}
+
+
+def test_corpus_score_is_the_sum_over_words(spark, corpus, vocabulary):
+    rows = [(r["doc_id"], r["text"]) for r in corpus.collect()]
+    counts, scores = agree(spark, corpus, rows, vocabulary, 500)
+    merges, pieces = merges_of(vocabulary(BYTES)), Counter()
+    for word, n in counts.items():
+        if word != "\n":
+            for p in merges.encode(b" " + word.encode()):
+                pieces[p] += n
+    total = sum(pieces.values()) + 0.5 * len(merges.bytes_of)
+    log = {b: math.log((pieces[i] + 0.5) / total) for i, b in merges.bytes_of.items()}
+    lattice, whole = Lattice(log), sum(counts.values()) + 0.5 * (len(counts) + 1)
+    end = math.log10((counts["\n"] + 0.5) / whole)
+    for i, t in rows[:20]:
+        words = t.encode().lower().split()
+        want = end + sum(lattice.scores(words)) / math.log(10) + len(words) * math.log10(1 - 10**end)
+        assert math.isclose(scores[i], want, rel_tol=1e-9)
+
+
+def test_empty(spark, documents, vocabulary):
+    assert lm_score.score(spark, documents([]), vocabulary(BYTES), fresh_dir).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tuneledger.llm import bpe_stream, minhash_dedup, packing, pii, quality, token_store, toxicity, warc
+from tuneledger.llm import bpe_stream, embedding_dedup, lm_score, minhash_dedup, packing, pii, quality, token_store, toxicity, warc
 from tuneledger.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_token_store(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumnRenamed("key", "doc_id")
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.classes(spark, table(spark, folder, "embeddings"), fresh_dir)
+
+
 def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.classes(spark, table(spark, folder, "documents"), fresh_dir, percent=85)
 
@@ -64,9 +68,14 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
         "n_exclamations", "n_stop_words", "n_lines", "n_bullet_lines", "n_ellipsis_lines")
 
 
+def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.score(spark, table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), fresh_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_token_store": op1_token_store, "op3_minhash_dedup": op3_minhash_dedup, "op4_packing": op4_packing, "op5_bpe_stream": op5_bpe_stream,
-            "op6_warc": op6_warc, "op7_pii": op7_pii, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality}
+    return {"op1_token_store": op1_token_store, "op2_embedding_dedup": op2_embedding_dedup, "op3_minhash_dedup": op3_minhash_dedup, "op4_packing": op4_packing, "op5_bpe_stream": op5_bpe_stream,
+            "op6_warc": op6_warc, "op7_pii": op7_pii, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
+            "op10_lm_score": op10_lm_score}
 
 
 def oracle_sql() -> dict[str, str]:

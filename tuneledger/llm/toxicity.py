@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 #: Bounds of the model: labelled examples, and terms.
 EXAMPLES, TERMS = 6_000, 1_024
 #: A term is in so many examples, and tells so much of the label (log-likelihood ratio).
-LEAST_EXAMPLES, LEAST_TELLS = 5, 25.0
+LEAST_EXAMPLES, LEAST_TELLS = 5, 40.0
 NEIGHBOURS, BLOCK = 15, 64
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -106,7 +106,7 @@ class Index:
         if not query or not len(self.starts):
             return []
         which, weight = list(query), np.array(list(query.values()))
-        bounds = weight @ self.most[which]
+        bounds = self.most[:, which] @ weight
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
