@@ -34,7 +34,9 @@ from tuneledger.llm.components import components
 
 COSINE = 0.95
 #: Dimensions of a block; vectors a cell has on average; vectors of a cell that one group compares with as many others.
-BLOCK, CELL, CHUNK = 8, 2048, 1024
+BLOCK, CELL, CHUNK = 8, 2048, 4096
+#: Vectors of a chunk whose distances are computed together.
+STRIP = 512
 #: Widening of the ranges against rounding.
 SLACK = 1e-9
 
@@ -62,22 +64,24 @@ def _valid(vector: np.ndarray | None) -> bool:
     return vector is not None and len(vector) > 0 and bool(np.isfinite(vector).all()) and bool(vector.any())
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    vectors = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def _units(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision of vectors stored as ``kind``."""
+    vectors = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # keeps squares of tiny and huge values finite
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _visits(vectors: DataFrame, cosine: float, signs: int) -> DataFrame:
-    """A row for the cell of every vector and block, and one for each further cell that it visits."""
+def _visits(vectors: DataFrame, cosine: float, signs: int, kind: str, whole: bool = True) -> DataFrame:
+    """A row for the cell of every vector and block, and one for each further cell that it visits; without vectors if not ``whole``."""
+    names = ["width", "block", "cell", "home", "row", "vector"][:6 if whole else 4]
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by_width: dict[int, list[tuple[int, bytes]]] = {}
             for row, raw in zip(batch["row"].to_pylist(), batch["vector"].to_pylist()):
-                by_width.setdefault(len(raw) // 8, []).append((row, raw))
+                by_width.setdefault(len(raw) // np.dtype(kind).itemsize, []).append((row, raw))
             for width, some in by_width.items():
                 ids, raw = np.array([r for r, _ in some]), np.array([v for _, v in some], dtype=object)
-                turned = _units(list(raw)) @ rotation(width)
+                turned = _units(list(raw), kind) @ rotation(width)
                 for number, (block, share) in enumerate(zip(blocks(width), shares(width, cosine))):
                     part = turned[:, block][:, :signs]
                     used = part.shape[1]
@@ -92,12 +96,13 @@ def _visits(vectors: DataFrame, cosine: float, signs: int) -> DataFrame:
                             found.append((reached, to[reached], False))
                     for who, cells, home in found:
                         n = len(who)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, width, np.int32)), pa.array(np.full(n, number, np.int32)),
-                             pa.array(cells.astype(np.int32)), pa.array(np.full(n, home)), pa.array(ids[who]),
-                             pa.array(raw[who].tolist(), pa.binary())], ["width", "block", "cell", "home", "row", "vector"])
+                        columns = [pa.array(np.full(n, width, np.int32)), pa.array(np.full(n, number, np.int32)),
+                                   pa.array(cells.astype(np.int32)), pa.array(np.full(n, home))]
+                        if whole:
+                            columns += [pa.array(ids[who]), pa.array(raw[who].tolist(), pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names)
 
-    return vectors.mapInArrow(rows, ROWS)
+    return vectors.mapInArrow(rows, ROWS if whole else ROWS.rpartition(", row")[0])
 
 
 def _spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -125,11 +130,14 @@ def _linked(left: np.ndarray, right: np.ndarray, number: int, same: bool, cosine
     turn, parts, share = rotation(width), blocks(width), shares(width, cosine)
     a, b = left @ turn, right @ turn
     x, y = a[:, parts[number]], b[:, parts[number]]
-    apart = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
-    near = apart <= share[number] + SLACK
-    if same:
-        near = np.triu(near, 1)
-    i, j = np.nonzero(near)
+    found = []
+    for at in range(0, len(x), STRIP):
+        strip = x[at:at + STRIP]
+        apart = (strip * strip).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * strip @ y.T
+        i, j = np.nonzero(apart <= share[number] + SLACK)
+        i += at
+        found.append((i[i < j], j[i < j]) if same else (i, j))
+    i, j = (np.concatenate(side) for side in zip(*found))
     linked_i, linked_j = [], []
     for at in range(0, len(i), 1 << 16):
         some, other = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
@@ -145,7 +153,7 @@ def _linked(left: np.ndarray, right: np.ndarray, number: int, same: bool, cosine
     return np.concatenate(linked_i or [i]), np.concatenate(linked_j or [j])
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, kind: str):
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         home = rows[rows["home"]].drop_duplicates("row")
         other = rows[~rows["home"]].drop_duplicates("row")
@@ -157,7 +165,7 @@ def _compare(cosine: float):
             if one.empty or two.empty:
                 continue
             left, right = one["row"].to_numpy(), two["row"].to_numpy()
-            i, j = _linked(_units(list(one["vector"])), _units(list(two["vector"])), number, same, cosine)
+            i, j = _linked(_units(list(one["vector"]), kind), _units(list(two["vector"]), kind), number, same, cosine)
             for side, at in ((left, i), (right, j)):
                 for place, n in zip(*np.unique(at, return_counts=True)):
                     counts[side[place]] = counts.get(side[place], 0) + int(n)
@@ -178,24 +186,27 @@ def classes(spark: SparkSession, vectors: DataFrame, fresh_dir: Callable[[SparkS
         frame.write.parquet(folder)
         return spark.read.schema(frame.schema).parquet(folder)
 
+    kind = "<f4" if vectors.schema[vector].dataType.jsonValue().get("elementType") == "float" else "<f8"
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = []
             for one in batch["vector"]:
                 values = one.as_py()
-                found = np.array(values, "<f8") if values and None not in values else None
+                found = np.array(values, kind) if values and None not in values else None
                 raw.append(found.tobytes() if _valid(found) else None)
             yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["row"], pa.array(raw, pa.binary())], ["vec_id", "row", "vector"])
 
     numbered = vectors.select(F.col(key).cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("row"),
-                              F.col(vector).cast("array<double>").alias("vector"))
+                              F.col(vector).alias("vector"))
     every = stored(numbered.mapInArrow(read, "vec_id long, row long, vector binary"), "vectors")
     usable = every.where("vector IS NOT NULL")
     n = usable.count()
     signs = min(BLOCK, max(1, math.ceil(math.log2(max(1, n) / CELL))))
-    visits = stored(_visits(usable.select("row", "vector"), cosine, signs), "visits")
+    # Made twice rather than stored: once as counts, once with the vectors.
+    visits = _visits(usable.select("row", "vector"), cosine, signs, kind)
     cell = ["width", "block", "cell"]
-    sizes = visits.groupBy(*cell).agg(F.ceil(F.sum(F.col("home").cast("long")) / CHUNK).cast("int").alias("homes"),
+    sizes = _visits(usable.select("row", "vector"), cosine, signs, kind, whole=False).groupBy(*cell).agg(F.ceil(F.sum(F.col("home").cast("long")) / CHUNK).cast("int").alias("homes"),
                                       F.ceil(F.sum((~F.col("home")).cast("long")) / CHUNK).cast("int").alias("others"))
     sized = visits.join(F.broadcast(sizes), cell)  # at most 2**BLOCK cells for a block of a width
     # Chunk pairs of a cell: homes with homes of a chunk not before their own, and homes with visitors.
@@ -213,7 +224,7 @@ def classes(spark: SparkSession, vectors: DataFrame, fresh_dir: Callable[[SparkS
     dealt = dealt.select(*cell, "row", "vector", "meeting.*").withColumn("pair", F.col("among") & (F.col("one") == F.col("two")))
     dealt = dealt.withColumnRenamed("left", "home")
     schema = "a long, b long, n long"
-    found = stored(dealt.groupBy(*cell, "one", "two", "among").applyInPandas(_compare(cosine), schema), "found")
+    found = stored(dealt.groupBy(*cell, "one", "two", "among").applyInPandas(_compare(cosine, kind), schema), "found")
     counts = found.where("b < 0").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n_links"))
     joint = components(spark, found.where("b >= 0").select("a", "b"), fresh_dir)
     named = stored(every.select("vec_id", "row").join(joint.withColumnRenamed("node", "row"), "row", "left").join(

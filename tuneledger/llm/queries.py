@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -75,7 +76,7 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {"op1_token_store": op1_token_store, "op2_embedding_dedup": op2_embedding_dedup, "op3_minhash_dedup": op3_minhash_dedup, "op4_packing": op4_packing, "op5_bpe_stream": op5_bpe_stream,
             "op6_warc": op6_warc, "op7_pii": op7_pii, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
-            "op10_lm_score": op10_lm_score}
+            "op10_lm_score": op10_lm_score, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
