@@ -127,3 +127,19 @@ def test_missing_countries(tiny):
     found = rows_of(dimensions.missing_countries(tiny.star().countries))
     assert len(found) == 19 and ("US", "United States", "Unknown") in found
     assert not {"CA", "DE"} & {code for code, _, _ in found}
+
+
+def test_a_long_line_with_an_empty_id_is_usable(tiny, spark):
+    line = 'Spotify,2025-01-01,USUM71307667,p,"Title, live",Artist,,Label,f,CA,10,7,1,'
+    kept, rejected = sheets.intake_revenue(spark, tiny.text([HEADER, f"{line},extra", line.rsplit(",", 2)[0]]))
+    assert rows_of(kept, "id", "song_name", "userid") == [("", "Title, live", 1)]
+    assert rows_of(rejected, "fault") == [("missing field",)]
+
+
+def test_files_with_another_header_order_fail_the_read(tiny, spark):
+    first = tiny.text(["platform_name,revenue_share_percentage,effective_from", "Tidal,70,2025-01-01"])
+    other = tiny.text(["effective_from,platform_name,revenue_share_percentage", "2025-01-01,Deezer,60"])
+    for path in (first, other):
+        assert sheets.intake_platforms(spark, path)[0].count() == 1
+    with pytest.raises(Exception, match="header"):
+        sheets.intake_platforms(spark, [first, other])[0].collect()

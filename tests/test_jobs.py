@@ -4,9 +4,10 @@ import pytest
 from conftest import rows_of
 from test_intake import HEADER
 
+from tuneledger.operators import load
 from tuneledger.plans import jobs, views
 from tuneledger.sources import sheets
-from tuneledger.sources.warehouse import clustered_by_period, parts_per_period
+from tuneledger.sources.warehouse import Warehouse, clustered_by_period, parts_per_period
 
 SONG = "USUM71307667"
 
@@ -130,3 +131,96 @@ def test_sync_makes_rows_loadable(tiny, spark):
     assert counts(jobs.import_revenue(spark, warehouse, path)) == {"PROCESSED": 1}
     fact = warehouse.read("fact_monthly_revenue").first()
     assert (fact.song_id, fact.artist_id) == (5, 50) and fact.geography_id is not None
+
+
+def upserted(spark, tiny, warehouse, *lines):
+    kept, _ = sheets.intake_revenue(spark, tiny.text([HEADER, *lines]))
+    return jobs.upsert_batch(warehouse, jobs.stage_revenue(warehouse, sheets.to_staging(kept)))
+
+
+def test_upsert_leaves_other_keys_alone(tiny, spark, monkeypatch):
+    for name in list(views.STORED)[2:]:
+        monkeypatch.delitem(views.STORED, name)
+    warehouse = tiny.warehouse()
+    columns = ("revenue_id", "song_id", "geography_id", "revenue_amount")
+    jobs.import_revenue(spark, warehouse, tiny.text([
+        HEADER, sheet_line("a"), sheet_line("b", country="DE"), sheet_line("c", country="XX"), sheet_line("d")]))
+    before = rows_of(warehouse.read("fact_monthly_revenue"), *columns)
+    upserted(spark, tiny, warehouse, sheet_line("e", isrc="GBAYE0601498", royalty="40"))
+    assert rows_of(warehouse.read("fact_monthly_revenue"), *columns) == sorted([*before, ("e", 2, 1, D(40))])
+    # One key per country, the unknown one too; the rows of a key become one.
+    upserted(spark, tiny, warehouse, sheet_line("f", country="XX", royalty="5"), sheet_line("g", royalty="6"),
+             sheet_line("h", royalty="1"))
+    assert {r[0]: r[3] for r in rows_of(warehouse.read("fact_monthly_revenue"), *columns)} == {
+        "a": D(7), "b": D(10), "c": D(5), "e": D(40)}
+    for name, view in views.STORED.items():
+        columns = sorted(view(warehouse.star()).columns)
+        assert rows_of(spark.read.parquet(warehouse.path(f"views/{name}")), *columns) == rows_of(
+            view(warehouse.star()), *columns), name
+
+
+def test_upsert_refuses_an_unclean_batch(tiny, spark):
+    warehouse = tiny.warehouse()
+    with pytest.raises(ValueError, match="staging_id_unique"):
+        upserted(spark, tiny, warehouse, sheet_line("a"), sheet_line("a"))
+
+
+def test_share_zero_pays_no_royalty_in_the_forward_forms(tiny, spark):
+    star = tiny.star(platforms=[(1, "Spotify", "0.00", "2025-01-01", None, True)])
+    warehouse = tiny.warehouse(star)
+    upserted(spark, tiny, warehouse, sheet_line("a", royalty="7"))
+    assert rows_of(warehouse.read("fact_monthly_revenue"), "revenue_amount", "royalty_amount") == [(D(7), D(0))]
+    staging = tiny.staging([("b", "Spotify", "2025-01-01", SONG, "CA", "10", "7", 1)])
+    assert rows_of(load.load_by_details(staging, star)[0], "revenue_amount", "royalty_amount") == [(D(7), D(0))]
+
+
+@pytest.mark.parametrize("step", ["append", "half an append", "refresh", "publish"])
+def test_a_broken_import_ends_as_an_unbroken_one(tiny, spark, monkeypatch, step):
+    for name in list(views.STORED)[2:]:
+        monkeypatch.delitem(views.STORED, name)
+    sheet = tiny.text([HEADER, sheet_line("a"), sheet_line("b", country="DE"), sheet_line("c", month="Feb/25"),
+                       sheet_line("d", isrc="X")])
+    whole, broken = tiny.warehouse(), tiny.warehouse()
+    jobs.import_revenue(spark, whole, sheet)
+
+    def stop(*_, **__):
+        raise RuntimeError("driver lost")
+
+    append = Warehouse.append_facts
+    with monkeypatch.context() as patch:
+        if step == "append":
+            patch.setattr(Warehouse, "append_facts", stop)
+        elif step == "half an append":
+            def half(self, facts, song_parts=1):
+                append(self, facts.where("revenue_id = 'a'"), song_parts)
+                stop()
+            patch.setattr(Warehouse, "append_facts", half)
+        else:
+            patch.setattr(jobs, "refresh_views" if step == "refresh" else "publish", stop)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            jobs.import_revenue(spark, broken, sheet)
+    again = jobs.import_revenue(spark, broken, sheet)
+    assert again.success and again.refreshed.where("refreshed").count() == len(views.STORED)
+    for table, columns in (("fact_monthly_revenue", ("revenue_id", "geography_id", "month", "revenue_amount")),
+                           ("stg_revenue_import", ("id", "status", "error_message"))):
+        assert rows_of(broken.read(table), *columns) == rows_of(whole.read(table), *columns)
+    for name in views.STORED:
+        stored = [spark.read.parquet(w.path(f"views/{name}")) for w in (broken, whole)]
+        columns = sorted(c for c, kind in stored[0].dtypes if not kind.startswith("timestamp"))  # times of two imports
+        assert rows_of(stored[0], *columns) == rows_of(stored[1], *columns), name
+
+
+def test_sums_that_fail_are_reported_per_view(tiny, spark, monkeypatch):
+    def broken(*_):
+        raise RuntimeError("no space")
+
+    monkeypatch.setattr(jobs, "rollup", broken)
+    result = jobs.import_revenue(spark, tiny.warehouse(), tiny.text([HEADER, sheet_line("a")]))
+    assert result.success and result.message == "Data imported but some views failed to refresh"
+    assert result.refreshed.where("NOT refreshed").count() == len(views.STORED)
+
+
+def test_one_wide_share_fails_alone(tiny, spark):
+    warehouse = tiny.warehouse()
+    path = tiny.text(["platform_name,revenue_share_percentage,effective_from", "Wide,1500,2025-01-01", "Tidal,70,2025-01-01"])
+    assert rows_of(jobs.import_platforms(spark, warehouse, path)) == [("Tidal", True), ("Wide", False)]

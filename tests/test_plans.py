@@ -47,3 +47,13 @@ def test_latest_period_prunes_the_fact(star):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_filters_on_names_come_before_the_sum(star):
+    for df in (reports.revenue_by_platform(star, 2023, "Apr", platform_name="BUILDING"),
+               reports.label_performance_period(star, 2023, "Apr", label_id=3),
+               reports.geographic_analysis(star, 2023, country_code="AB"),
+               reports.platform_label_matrix(star, platform_name="BUILDING", label_name="Brand#13"),
+               analytics.artist_song_summary(star, artist_id=7)):
+        below = plan(df).split("partial_sum(plays")[-1]  # the plan prints inputs below their users
+        assert "LeftSemi" in below

@@ -88,9 +88,9 @@ def missing_countries(countries: DataFrame) -> DataFrame:
 
 
 def platform_rows(sheet: DataFrame, existing: DataFrame) -> DataFrame:
-    """Configurations of a platform sheet as active rows with new ids; names may repeat."""
+    """Configurations of a platform sheet as active rows with new ids; names may repeat, a share out of range is null."""
     parsed = sheet.select(
-        "platform_name", F.col("revenue_share_percentage").cast("decimal(5,2)").alias("revenue_share_percentage"),
+        "platform_name", F.col("revenue_share_percentage").try_cast("decimal(5,2)").alias("revenue_share_percentage"),
         F.try_to_date("effective_from", "yyyy-MM-dd").alias("effective_from"),
         F.lit(None).cast("date").alias("effective_to"), F.lit(True).alias("is_active"))
     return numbered_after(parsed, existing, "platform_id", "platform_name", "effective_from", "revenue_share_percentage")

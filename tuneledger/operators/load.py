@@ -88,13 +88,14 @@ def in_window(date: str = "month"):
     return (day >= F.col("effective_from")) & (F.col("effective_to").isNull() | (day <= F.col("effective_to")))
 
 
-def effective_platforms(staging: DataFrame, star: Star, usable_only: bool = True) -> DataFrame:
+def effective_platforms(staging: DataFrame, star: Star, zero_share: bool = False) -> DataFrame:
     """Interval join: platform name, and the date inside the configuration's window.
 
     The equi key is the name; the window is a residual condition. Overlapping windows
-    give one row each.
+    give one row each. With ``zero_share`` active configurations of share zero match, too:
+    no revenue can be told from a royalty there, but the royalty of a revenue is zero.
     """
-    platforms = usable_platforms(star) if usable_only else star.platforms
+    platforms = star.platforms.where("is_active AND revenue_share_percentage >= 0") if zero_share else usable_platforms(star)
     return staging.join(platforms, (F.col("service") == F.col("platform_name")) & in_window())
 
 
@@ -167,7 +168,7 @@ def facts_of(classified: DataFrame, star: Star, forward: bool = False) -> DataFr
     one named on the sheet.
     """
     loaded = classified.where("newly_loaded")
-    matched = with_geography(effective_platforms(loaded, star), star)
+    matched = with_geography(effective_platforms(loaded, star, zero_share=forward), star)
     share, amount = F.col("revenue_share_percentage"), F.col("royalty")
     return matched.select(
         F.col("id").alias("revenue_id"), "song_id", "platform_id", "geography_id",
@@ -200,7 +201,7 @@ def load_by_details(staging: DataFrame, star: Star) -> tuple[DataFrame, DataFram
     """
     details = song_details(star).select("isrc", "song_id", F.col("artist_id").alias("song_artist"))
     pending = with_period(staging.where(F.col("status") == PENDING))
-    matched = effective_platforms(pending.join(details, "isrc"), star)
+    matched = effective_platforms(pending.join(details, "isrc"), star, zero_share=True)
     facts = matched.select(
         F.col("id").alias("revenue_id"), F.col("period_year").alias("year"), F.col("period_month").alias("month"),
         "song_id", "platform_id", F.col("song_artist").alias("artist_id"),
@@ -240,6 +241,32 @@ def upsert(
     return merged.select(*key, *first, *last).unionByName(loose)
 
 
+def replaced(existing: DataFrame, incoming: DataFrame, key: tuple[str, ...] = (*UPSERT_KEY, "geography_id")) -> DataFrame:
+    """Existing facts with the incoming ones in the place of those that share their key; nulls in a key are equal.
+
+    Facts whose key does not come in stay as they are, row by row. Incoming facts of a key are added up; the row
+    takes id, artist and date of the key's existing fact with the least id, or of the incoming one if the key is new.
+    """
+    identity = ("revenue_id", "artist_id", "created_at")
+
+    def least(df: DataFrame, name: str, *sums: Column) -> DataFrame:
+        return df.groupBy(*key).agg(F.min(F.struct(*identity)).alias(name), *sums)
+
+    def same(right: dict[str, str]) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(other)) for c, other in right.items()])
+
+    new = least(incoming, "new", F.sum("total_plays").cast("int").alias("total_plays"),
+                *[F.sum(name).cast("decimal(15,6)").alias(name) for name in _MEASURES[1:]])
+    others = {c: f"_{c}" for c in key}
+    keys = new.select(*[F.col(c).alias(other) for c, other in others.items()])
+    untouched = existing.join(keys, same(others), "left_anti")
+    old = least(existing.join(keys, same(others), "left_semi"), "old").withColumnsRenamed(others)
+    put = new.join(old, same(others), "left").withColumn("kept", F.coalesce("old", "new"))
+    columns = (*key, *identity, *_MEASURES)
+    return untouched.select(*columns).unionByName(
+        put.select(*key, *[F.col(f"kept.{c}").alias(c) for c in identity], *_MEASURES))
+
+
 def _complete(key: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
 

@@ -24,6 +24,11 @@ def as_measures(facts: DataFrame) -> DataFrame:
         F.col("created_at").alias("first_created"), F.col("created_at").alias("last_created"))
 
 
+def only(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    """Facts of the dimension's ids: a filter on a name, put before the sum and its shuffle."""
+    return facts.join(dimension.select(key), key, "left_semi")
+
+
 def measures_of(star: Star) -> DataFrame:
     """Measures of the star's fact, from the shared sums where these are present."""
     return as_measures(star.facts) if star.summed is None else star.summed

@@ -9,7 +9,7 @@ from tuneledger.functions.columns import (
     year_in,
 )
 from tuneledger.operators.star import (
-    created_range, distinct, measures_of, revenue_per_play, rollup, royalty_rate, sums, with_artist,
+    created_range, distinct, measures_of, only, revenue_per_play, rollup, royalty_rate, sums, with_artist,
     with_country, with_label, with_platform, with_song,
 )
 from tuneledger.plans.views import base, label_performance, platform_analytics
@@ -215,8 +215,8 @@ def latest_platform_metrics(star: Star) -> DataFrame:
     The latest period is found first on the ids alone; the one-row result then restricts
     the fact through its partition columns.
     """
-    shown = with_song(with_platform(star.facts.select("year", "month", "song_id", "platform_id").distinct(),
-                                    star, active=True), star)
+    ids = star.facts.select("year", "month", "song_id", "platform_id")  # a maximum ignores repeats
+    shown = with_song(with_platform(ids, star, active=True), star)
     newest = shown.agg(F.max(period_index()).alias("period"))
     latest = newest.select(year_in(F.col("period")).alias("year"), month_in(F.col("period")).alias("month"))
     facts = star.facts.join(F.broadcast(latest), ["year", "month"], "left_semi")
@@ -236,8 +236,10 @@ def artist_platform_rate(star: Star) -> DataFrame:
 
 def artist_song_summary(star: Star, artist_id: int | None = None) -> DataFrame:
     """Per song title, artist and label over all time, for one artist or for all."""
-    facts = rollup(measures_of(star), "song_id", "platform_id")
-    songs = narrowed(with_song(facts, star, "title", "song_artist", "label_id"), song_artist=artist_id)
+    facts = measures_of(star)
+    if artist_id is not None:
+        facts = only(facts, narrowed(star.songs, artist_id=artist_id), "song_id")
+    songs = with_song(rollup(facts, "song_id", "platform_id"), star, "title", "song_artist", "label_id")
     rows = with_label(with_artist(songs, star), star)
     return rows.groupBy("title", "artist_name", "label_name").agg(
         *sums(), *distinct(platform_count="platform_id"), royalty_rate("royalty_percentage"),

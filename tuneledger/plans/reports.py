@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tuneledger.functions.columns import check_artist, check_period, month_number, narrowed
 from tuneledger.operators.star import (
-    as_measures, distinct, rollup, royalty_rate, sums, with_artist, with_country, with_label, with_platform,
+    as_measures, distinct, only, rollup, royalty_rate, sums, with_artist, with_country, with_label, with_platform,
     with_song,
 )
 from tuneledger.plans import views
@@ -83,8 +83,10 @@ def revenue_by_platform(
         star: Star, year: int | None = None, month: str | None = None, platform_name: str | None = None) -> DataFrame:
     """Per platform in a period, the current one by default; songs of any status."""
     year, month = _defaulted(year, month)
-    rows = rollup(_period_facts(star, year, month), "song_id", "platform_id")
-    rows = narrowed(with_platform(rows, star, "platform_name"), platform_name=platform_name)
+    facts = _period_facts(star, year, month)
+    if platform_name is not None:
+        facts = only(facts, narrowed(star.platforms, platform_name=platform_name), "platform_id")
+    rows = with_platform(rollup(facts, "song_id", "platform_id"), star, "platform_name")
     rows = with_song(rows, star, "isrc", released=False)
     return rows.groupBy("platform_name").agg(*sums(), *distinct(unique_tracks="isrc"))
 
@@ -103,8 +105,11 @@ def top_artists(star: Star, year: int, month: str, n: int = 10) -> DataFrame:
 def label_performance_period(
         star: Star, year: int | None = None, month: str | None = None, label_id: int | None = None) -> DataFrame:
     year, month = _defaulted(year, month)
-    rows = with_song(rollup(_period_facts(star, year, month), "song_id"), star, "song_artist", "label_id", released=False)
-    grouped = narrowed(rows, label_id=label_id).groupBy("label_id").agg(
+    facts = _period_facts(star, year, month)
+    if label_id is not None:
+        facts = only(facts, narrowed(star.songs, label_id=label_id), "song_id")
+    rows = with_song(rollup(facts, "song_id"), star, "song_artist", "label_id", released=False)
+    grouped = rows.groupBy("label_id").agg(
         *distinct(total_artists="song_artist", total_songs="song_id"), *sums())
     return with_label(grouped, star).select(
         "label_id", "label_name", "total_artists", "total_songs", "total_plays", "total_revenue", "total_royalties"
@@ -120,11 +125,13 @@ def geographic_analysis(
     facts = facts.where(F.col("geography_id").isNotNull())
     if isrc is not None:
         # A code is one song: the lookup of its id prunes the fact before the sum.
-        facts = facts.join(narrowed(star.songs, isrc=isrc).select("song_id"), "song_id", "left_semi")
+        facts = only(facts, narrowed(star.songs, isrc=isrc), "song_id")
+    if country_code is not None:
+        facts = only(facts, narrowed(star.countries, country_code=country_code), "geography_id")
     # Artist names need not be unique and are part of the report's group, hence the second sum.
     sums_by_id = rollup(facts, "year", "month", "song_id", "geography_id", "platform_name", "sheet_artist")
     rows = with_country(sums_by_id, star, "country_code", "region")
-    rows = with_song(narrowed(rows, country_code=country_code), star, "isrc", "title", released=False)
+    rows = with_song(rows, star, "isrc", "title", released=False)
     grouped = with_artist(rows, star, "sheet_artist").groupBy(
         "year", "month", "isrc", F.col("title").alias("song_name"), "artist_name", "country_code", "region",
         "platform_name").agg(*sums())
@@ -137,10 +144,12 @@ def platform_label_matrix(
     """Per platform, label, sheet artist and period."""
     check_period(year, month)
     facts = narrowed(_period_facts(star, year, month), sheet_artist=artist_id)
-    rows = rollup(facts, *views.SONG_PLATFORM, "sheet_artist")
-    rows = narrowed(with_platform(rows, star, "platform_name"), platform_name=platform_name)
-    rows = with_song(rows, star, "label_id", released=False)
-    rows = narrowed(with_label(rows, star), label_name=label_name)
+    if platform_name is not None:
+        facts = only(facts, narrowed(star.platforms, platform_name=platform_name), "platform_id")
+    if label_name is not None:
+        facts = only(facts, only(star.songs, narrowed(star.labels, label_name=label_name), "label_id"), "song_id")
+    rows = with_platform(rollup(facts, *views.SONG_PLATFORM, "sheet_artist"), star, "platform_name")
+    rows = with_label(with_song(rows, star, "label_id", released=False), star)
     grouped = rows.groupBy("year", "month", "platform_name", "label_id", "label_name", "sheet_artist").agg(
         *distinct(unique_songs="song_id"), *sums())
     return with_artist(grouped, star, "sheet_artist").select(
