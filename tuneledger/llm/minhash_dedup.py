@@ -40,16 +40,18 @@ SHINGLE, PERCENT = 5, 80
 #: Coordinates of a band, and the greatest probability that a pair at the threshold shares no band.
 BAND, MISSED = 5, 1e-6
 #: Classes of a bucket that are compared with the others of their bucket in one round.
-LEADERS = 256
+LEADERS = 1024
 #: Coordinates of which one bit each is compared before sets are, and the greatest probability that a pair at the
 #: threshold differs in more of these bits than ``most_unlike`` allows.
-BITS, UNLIKE = 128, 1e-9
+BITS, UNLIKE = 512, 1e-9
+#: Columns of 64 such bits each.
+BIT_COLUMNS = [f"bits_{k}" for k in range(BITS // 64)]
 #: Words whose hashes a worker keeps; at more it starts anew.
 KEPT_WORDS = 500_000
-#: Shingles that are thrown together.
+#: Shingles and coordinates that are worked on together.
 THROWN = 400_000
 
-SKETCHED = "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, bands array<long>"
+SKETCHED = ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "set_a", "set_b", *BIT_COLUMNS)) + ", bands array<long>"
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -63,7 +65,7 @@ def most_unlike(percent: int) -> int:
 
     Coordinates of a pair at the threshold differ with a probability of one minus the threshold, their bits with half of it.
     """
-    n, p = min(BITS, n_bands(percent) * BAND), (1 - percent / 100) / 2
+    n, p = BITS, (1 - percent / 100) / 2
     tail, most = 0.0, n
     while most > 0 and tail + (at := math.comb(n, most) * p**most * (1 - p) ** (n - most)) < UNLIKE:
         tail, most = tail + at, most - 1
@@ -127,7 +129,7 @@ def sketches(sets: list[np.ndarray], bins: int) -> np.ndarray:
         into = (thrown % np.uint64(bins)).astype(np.int64) if number < bins else number - bins
         value = np.uint64(number << 52) | (_mixed(thrown, 3) >> np.uint64(12))
         np.minimum.at(flat, owner * bins + into, value)
-        if number >= bins // 8 or number % 2:
+        if number % 8 == 7:
             open_bins[live] = (found[live] == _FULL).sum(axis=1)
             live = live[open_bins[live] > 0]
             if not len(live):
@@ -150,29 +152,28 @@ def bands_of(sketch: np.ndarray) -> np.ndarray:
 
 def sketched(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """Set size, a 128-bit digest of the set, and band keys of every document."""
-    bands = n_bands(percent)
+    banded = n_bands(percent) * BAND
+    bins = max(BITS, banded)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def closed(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-            sketch = sketches(sets, bands * BAND)
-            keys = bands_of(sketch).view(np.int64)
-            bits = np.zeros((len(sets), BITS), np.uint8)
-            bits[:, :min(BITS, sketch.shape[1])] = sketch[:, :BITS] & np.uint64(1)
-            bits = np.packbits(bits, axis=1).view(np.int64)
+            sketch = sketches(sets, bins)
+            keys = bands_of(sketch[:, :banded]).view(np.int64)
+            bits = np.packbits((sketch[:, :BITS] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
             digests = [_digest(s) for s in sets]
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                 pa.array(bits[:, 0]), pa.array(bits[:, 1]),
+                 *[pa.array(bits[:, k]) for k in range(len(BIT_COLUMNS))],
                  pa.array([k if len(s) else None for k, s in zip(keys, sets)], pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bits_a", "bits_b", "bands"])
+                ["doc_id", "n_shingles", "set_a", "set_b", *BIT_COLUMNS, "bands"])
 
         ids, sets, size = [], [], 0
         for batch in batches:
             for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 ids.append(i)
                 sets.append(shingles(t))
-                size += len(sets[-1])
+                size += len(sets[-1]) + bins
                 if size > THROWN:
                     yield closed(ids, sets)
                     ids, sets, size = [], [], 0
@@ -230,18 +231,19 @@ def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSess
     found = stored(sketched(docs, key, text, percent), "sketches")
     filled = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
     least = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"))
-    keyed = filled.select("doc_id", "set_a", "set_b", "n_shingles", "bits_a", "bits_b", "bands").join(least, ["set_a", "set_b", "n_shingles"])
+    keyed = filled.select("doc_id", "set_a", "set_b", "n_shingles", *BIT_COLUMNS, "bands").join(least, ["set_a", "set_b", "n_shingles"])
     # One set per class id, also where a key comes with several texts.
     chosen = keyed.where("doc_id = id").groupBy("id").agg(F.min(
-        F.struct("set_a", "set_b", "n_shingles", "bits_a", "bits_b", "bands")).alias("of"))
-    bands = stored(chosen.select("id", "of.set_a", "of.set_b", F.col("of.n_shingles").alias("n"), "of.bits_a", "of.bits_b",
-                                 F.col("of.bands").alias("bands")), "classes")
-    ids, told = bands.select("id", "set_a", "set_b"), bands.select("id", "n", "bits_a", "bits_b")
+        F.struct("set_a", "set_b", "n_shingles", *BIT_COLUMNS, "bands")).alias("of"))
+    bands = stored(chosen.select("id", "of.set_a", "of.set_b", F.col("of.n_shingles").alias("n"),
+                                 *[f"of.{c}" for c in BIT_COLUMNS], F.col("of.bands").alias("bands")), "classes")
+    ids, told = bands.select("id", "set_a", "set_b"), bands.select("id", "n", *BIT_COLUMNS)
     bands = bands.select("id", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("leader")).where("m > 1")
     members = stored(bands.join(shared, "bucket").select("bucket", "id", "leader").join(told, "id"), "buckets")
     sets = stored(_sets(docs, key, text, ids.join(members.select("id").distinct(), "id", "left_semi")), "sets")
-    columns, limit = ("n", "bits_a", "bits_b"), most_unlike(percent)
+    columns, limit = ("n", *BIT_COLUMNS), most_unlike(percent)
+    unlike = " + ".join(f"bit_count({c} ^ {c}_one)" for c in BIT_COLUMNS)
 
     def as_leader(frame: DataFrame, *more: str) -> DataFrame:
         return frame.select("bucket", F.col("id").alias("one"), *[F.col(c).alias(f"{c}_one") for c in (*columns, *more)])
@@ -249,7 +251,7 @@ def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSess
     def confirmed(leaders: DataFrame, others: DataFrame, condition: str) -> DataFrame:
         """Links of leaders with others of their bucket. Sizes and bits rule out pairs within the join."""
         alike = F.expr(f"100 * least(n, n_one) >= {percent} * greatest(n, n_one) AND {condition} AND "
-                       f"bit_count(bits_a ^ bits_a_one) + bit_count(bits_b ^ bits_b_one) <= {limit}")
+                       f"{unlike} <= {limit}")
         met = leaders.withColumnRenamed("bucket", "shared").join(others, (F.col("bucket") == F.col("shared")) & alike)
         pairs = met.select(F.least("one", "id").alias("a"), F.greatest("one", "id").alias("b")).distinct()
         return stored(_confirmed(pairs, sets, percent), "links")
@@ -257,8 +259,8 @@ def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSess
     leaders = members.where("id = leader")
     links = confirmed(as_leader(leaders), members, "id <> one")
     done, members, number = leaders.select("bucket", "id"), members.select("bucket", "id", *columns), 1
-    labels, new = components(spark, links, fresh_dir), True
-    while True:
+    labels, new, left = components(spark, links, fresh_dir), True, LEADERS + 1
+    while left > LEADERS:
         if new:
             named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
                 "bucket", "id", *columns, F.coalesce("component", "id").alias("component"))
@@ -267,17 +269,22 @@ def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSess
                                                F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
             members = stored(named.join(home, "bucket"), "buckets")  # buckets of one component are settled
         waiting = members.where("component <> home").join(done, ["bucket", "id"], "left_anti")
-        shares = waiting.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / LEADERS).alias("shares"))
-        leaders = stored(waiting.join(shares, "bucket").where(F.pmod(F.xxhash64("id", F.lit(number)), F.col("shares")) == 0).select(
-            "bucket", "id", *columns, "component"), "leaders")
-        if leaders.isEmpty() and waiting.isEmpty():
+        counts = waiting.groupBy("bucket").agg(F.count(F.lit(1)).alias("waiting"))
+        due = F.pmod(F.xxhash64("id", F.lit(number)), F.ceil(F.col("waiting") / LEADERS)) == 0
+        counted = stored(waiting.join(counts, "bucket").select(
+            "bucket", "id", *columns, "component", "waiting", due.alias("due")), "leaders")
+        # The most that wait in a bucket: if they are no more than one round takes, this round is the last.
+        left, leaders = counted.agg(F.coalesce(F.max("waiting"), F.lit(0))).first()[0], counted.where("due")
+        if left == 0:
             break
         found_links = confirmed(as_leader(leaders, "component"), members, "component <> component_one")
-        done, number = stored(done.union(leaders.select("bucket", "id")), "done"), number + 1
         if new := not found_links.isEmpty():
             links = links.union(found_links)
             labels = components(spark, links, fresh_dir)
-            members = members.select("bucket", "id", *columns)
+        if left > LEADERS:
+            done, number = stored(done.union(leaders.select("bucket", "id")), "done"), number + 1
+            if new:
+                members = members.select("bucket", "id", *columns)
     # A document's class is its set; the component of a class is that of its least document.
     rows = found.join(least.withColumnRenamed("id", "least"), ["set_a", "set_b", "n_shingles"], "left")
     rows = rows.join(labels.withColumnRenamed("node", "least"), "least", "left")
