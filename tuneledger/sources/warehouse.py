@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tuneledger import schemas
 
@@ -16,6 +16,8 @@ _SCHEMAS = {
     "label": schemas.LABEL, "artist": schemas.ARTIST, "song": schemas.SONG,
     "dim_geography": schemas.GEOGRAPHY, "platform_config": schemas.PLATFORM,
     "stg_revenue_import": schemas.STAGING, "fact_monthly_revenue": schemas.FACT,
+    # Ids whose facts a run has begun to append; those of a broken run are known by them.
+    "loading": T.StructType([T.StructField("revenue_id", T.StringType())]),
 }
 
 
