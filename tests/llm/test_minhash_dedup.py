@@ -126,3 +126,21 @@ def test_components(spark, seed):
     got = {r["node"]: r["component"] for r in components(spark, spark.createDataFrame(links, "a long, b long"), fresh_dir).collect()}
     assert got == least_names(nodes, links)
     assert components(spark, spark.createDataFrame([], "a long, b long"), fresh_dir).count() == 0
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_classes_left_out_have_no_link(spark, percent):
+    rnd = random.Random(percent)
+    base = [f"b{i}" for i in range(150)]
+    texts = [edited(rnd, base[:rnd.randint(135, 150)], rnd.randint(0, 8)) for _ in range(80)]
+    found = {i: minhash_dedup.shingles(t) for i, t in enumerate(texts)}
+    sets = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in found.items()], "id long, hashes binary")
+    members = spark.createDataFrame([(b, i, len(s)) for i, s in found.items() for b in (1, 2 + i % 2)], "bucket long, id long, n long")
+    left = {r["id"] for r in minhash_dedup.may_link(members, sets, percent).collect()}
+    linked = set()
+    for a in found:
+        for b in range(a):
+            both = len(np.intersect1d(found[a], found[b]))
+            if 100 * both >= percent * (len(found[a]) + len(found[b]) - both):
+                linked |= {a, b}
+    assert linked <= left < set(found)

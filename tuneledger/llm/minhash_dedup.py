@@ -12,7 +12,9 @@ Documents with equal sets are one class, which its least id stands for. Pairs ar
 First the least class of a bucket is compared with all others, and the components of the links found are
 computed. Then only classes of different components can matter: of those outside the largest component of
 their bucket, ``LEADERS`` per bucket and round are compared with the classes of other components, until none is
-left that has not been compared. Pairs whose sizes or sketch bits are too unlike for the threshold are ruled out
+left that has not been compared. Before that, classes that can have no link are left out: similar sets share so
+many shingles that a class with too many of its own, which no other class in question holds, is similar to none.
+This takes two sums over shingles, no pairs, and is exact. Pairs whose sizes or sketch bits are too unlike for the threshold are ruled out
 within the join of a bucket. Links are confirmed on whole sets of 64-bit shingle hashes. Every link of two
 classes that share a band is thus found or implied by components, at a linear number of pairs per round.
 
@@ -44,6 +46,8 @@ LEADERS = 1024
 #: Coordinates of which one bit each is compared before sets are, and the greatest probability that a pair at the
 #: threshold differs in more of these bits than ``most_unlike`` allows.
 BITS, UNLIKE = 512, 1e-9
+#: Times that classes with too many shingles of their own are looked for; leaving some out gives others more of their own.
+PRUNED = 2
 #: Columns of 64 such bits each.
 BIT_COLUMNS = [f"bits_{k}" for k in range(BITS // 64)]
 #: Words whose hashes a worker keeps; at more it starts anew.
@@ -220,6 +224,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
+def _own(sets: DataFrame) -> DataFrame:
+    """``id, own``: how many shingles of a class no other class of ``sets`` has; classes without such are absent."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed(ids: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), [len(f) for f in found])),
+                                               pa.array(np.concatenate(found))], ["id", "hash"])
+
+        ids, found, size = [], [], 0
+        for batch in batches:
+            for i, x in zip(batch["id"].to_pylist(), batch["hashes"]):
+                ids.append(i)
+                found.append(np.frombuffer(x.as_buffer(), np.int64))
+                size += len(found[-1])
+                if size > THROWN:
+                    yield closed(ids, found)
+                    ids, found, size = [], [], 0
+        if ids:
+            yield closed(ids, found)
+
+    held = sets.select("id", "hashes").mapInArrow(rows, "id long, hash long")
+    once = held.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id")).where("m = 1")
+    return once.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def may_link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``members`` (``bucket, id, n, ...``) whose class can be similar to another class in one of its buckets.
+
+    Sets of sizes n and m at the threshold share at least percent / (100 + percent) of n + m shingles, and m is no less
+    than the least size in the bucket, nor than percent of n.
+    """
+    least = members.groupBy("bucket").agg(F.min("n").alias("m"))
+    ids = members.join(least, "bucket").groupBy("id").agg(F.first("n").alias("n"), F.min("m").alias("m"))
+    own = _own(sets.join(ids.select("id"), "id", "left_semi"))
+    able = ids.join(own, "id", "left").where(
+        f"100 * (100 + {percent}) * (n - coalesce(own, 0)) >= {percent} * (100 * n + greatest({percent} * n, 100 * m))")
+    return members.join(able.select("id"), "id", "left_semi")
+
+
 def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSession, str], str], key: str = "doc_id",
             text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id, kept``."""
@@ -256,6 +298,13 @@ def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSess
         pairs = met.select(F.least("one", "id").alias("a"), F.greatest("one", "id").alias("b")).distinct()
         return stored(_confirmed(pairs, sets, percent), "links")
 
+    def unsettled(named: DataFrame) -> DataFrame:
+        """The buckets that hold classes of several components, with the largest of these as ``home``."""
+        sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+        home = sizes.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("home"),
+                                           F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+        return named.join(home, "bucket")
+
     leaders = members.where("id = leader")
     links = confirmed(as_leader(leaders), members, "id <> one")
     done, members, number = leaders.select("bucket", "id"), members.select("bucket", "id", *columns), 1
@@ -264,10 +313,9 @@ def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSess
         if new:
             named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
                 "bucket", "id", *columns, F.coalesce("component", "id").alias("component"))
-            sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
-            home = sizes.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("home"),
-                                               F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-            members = stored(named.join(home, "bucket"), "buckets")  # buckets of one component are settled
+            members = stored(unsettled(named), "buckets")
+            for _ in range(PRUNED):
+                members = stored(unsettled(may_link(members.drop("home"), sets, percent)), "buckets")
         waiting = members.where("component <> home").join(done, ["bucket", "id"], "left_anti")
         counts = waiting.groupBy("bucket").agg(F.count(F.lit(1)).alias("waiting"))
         due = F.pmod(F.xxhash64("id", F.lit(number)), F.ceil(F.col("waiting") / LEADERS)) == 0
