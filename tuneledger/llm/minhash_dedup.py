@@ -290,10 +290,10 @@ def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSess
     def as_leader(frame: DataFrame, *more: str) -> DataFrame:
         return frame.select("bucket", F.col("id").alias("one"), *[F.col(c).alias(f"{c}_one") for c in (*columns, *more)])
 
-    def confirmed(leaders: DataFrame, others: DataFrame, condition: str) -> DataFrame:
-        """Links of leaders with others of their bucket. Sizes and bits rule out pairs within the join."""
+    def confirmed(leaders: DataFrame, others: DataFrame, condition: str, last: str = "true") -> DataFrame:
+        """Links of leaders with others of their bucket. Sizes and bits rule out pairs within the join, before ``last`` is asked."""
         alike = F.expr(f"100 * least(n, n_one) >= {percent} * greatest(n, n_one) AND {condition} AND "
-                       f"{unlike} <= {limit}")
+                       f"{unlike} <= {limit} AND {last}")
         met = leaders.withColumnRenamed("bucket", "shared").join(others, (F.col("bucket") == F.col("shared")) & alike)
         pairs = met.select(F.least("one", "id").alias("a"), F.greatest("one", "id").alias("b")).distinct()
         return stored(_confirmed(pairs, sets, percent), "links")
@@ -316,23 +316,27 @@ def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSess
             members = stored(unsettled(named), "buckets")
             for _ in range(PRUNED):
                 members = stored(unsettled(may_link(members.drop("home"), sets, percent)), "buckets")
+            # At most one bucket per band. A pair meets in several; the least of those they share is where it is compared.
+            shared = members.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
+            members = stored(members.join(shared, "id"), "buckets")
         waiting = members.where("component <> home").join(done, ["bucket", "id"], "left_anti")
         counts = waiting.groupBy("bucket").agg(F.count(F.lit(1)).alias("waiting"))
         due = F.pmod(F.xxhash64("id", F.lit(number)), F.ceil(F.col("waiting") / LEADERS)) == 0
         counted = stored(waiting.join(counts, "bucket").select(
-            "bucket", "id", *columns, "component", "waiting", due.alias("due")), "leaders")
+            "bucket", "id", *columns, "component", "buckets", "waiting", due.alias("due")), "leaders")
         # The most that wait in a bucket: if they are no more than one round takes, this round is the last.
         left, leaders = counted.agg(F.coalesce(F.max("waiting"), F.lit(0))).first()[0], counted.where("due")
         if left == 0:
             break
-        found_links = confirmed(as_leader(leaders, "component"), members, "component <> component_one")
+        found_links = confirmed(as_leader(leaders, "component", "buckets"), members, "component <> component_one",
+                                "array_min(array_intersect(buckets, buckets_one)) = bucket")
         if new := not found_links.isEmpty():
             links = links.union(found_links)
             labels = components(spark, links, fresh_dir)
         if left > LEADERS:
             done, number = stored(done.union(leaders.select("bucket", "id")), "done"), number + 1
             if new:
-                members = members.select("bucket", "id", *columns)
+                members = members.select("bucket", "id", *columns)  # components and buckets have changed
     # A document's class is its set; the component of a class is that of its least document.
     rows = found.join(least.withColumnRenamed("id", "least"), ["set_a", "set_b", "n_shingles"], "left")
     rows = rows.join(labels.withColumnRenamed("node", "least"), "least", "left")
