@@ -23,6 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Arguments of the parameterised reports; the SQL counterparts use the same values.
 ARTIST, YEAR, MONTH, AS_OF = 7, 2023, "Apr", dt.date(2023, 6, 15)
+#: The platform whose sheets come a second time in the upsert job.
+CORRECTED = "BUILDING"
 
 _SHEETS: dict[tuple[str, str, str], str] = {}
 
@@ -168,6 +170,15 @@ def load_upsert(spark: SparkSession, folder: str, key: tuple[str, ...] = load.UP
     return load.upsert(existing, incoming, key)
 
 
+def upsert_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole fact after one platform has sent all its sheets anew: its facts are replaced, all others stay row by row."""
+    built, warehouse = sample_warehouse.build(spark, folder), _fresh_warehouse(spark, folder)
+    warehouse.append_facts(built.read("fact_monthly_revenue"))
+    sent = built.read("stg_revenue_import").where(F.col("service") == CORRECTED)
+    jobs.upsert_batch(warehouse, jobs.stage_revenue(warehouse, sent))
+    return warehouse.read("fact_monthly_revenue")
+
+
 def load_lateral(spark: SparkSession, folder: str) -> DataFrame:
     warehouse = sample_warehouse.build(spark, folder)
     return load.load_by_details(warehouse.read("stg_revenue_import"), warehouse.star())[0]
@@ -258,6 +269,7 @@ def _registered() -> dict[str, Query]:
         "load_artist_guard": _on_staging(lambda s, star: load.known_artists(s, star).select("id", "userid")),
         "load_upsert": load_upsert,
         "load_upsert_by_country": lambda spark, folder: load_upsert(spark, folder, (*load.UPSERT_KEY, "geography_id")),
+        "upsert_job": upsert_job,
         "load_upsert_classify": _on_staging(lambda s, star: load.classify(
             s, star, skip_existing=False, window_matters=False).select(*status)),
         "import_status_counts": import_status_counts,
@@ -336,7 +348,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The same results as DuckDB SQL on the supplied tables."""
-    found = oracles.all_sql(ARTIST, YEAR, MONTH, AS_OF)
+    found = oracles.all_sql(ARTIST, YEAR, MONTH, AS_OF, CORRECTED)
     corpus = _corpus()
     return found if corpus is None else {**found, **corpus.oracle_sql()}
 

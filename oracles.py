@@ -454,7 +454,21 @@ def _upsert(key: str) -> str:
         FULL OUTER JOIN {side('royalty', 'net_u', 'true')} n ON {same}"""
 
 
-def _load() -> dict[str, str]:
+def _upsert_job(platform: str) -> str:
+    """All facts, those of one platform put together per key with the sheet's amounts as revenues."""
+    return f"""
+        SELECT id AS revenue_id, song_id, platform_id, geography_id, sheet_artist AS artist_id, plays AS total_plays,
+               CAST(revenue AS DOUBLE) / 1000000 AS revenue_amount, CAST(royalty AS DOUBLE) / 1000000 AS royalty_amount,
+               created_at, year, month
+        FROM fact WHERE service <> '{platform}'
+        UNION ALL
+        SELECT min(id), song_id, platform_id, geography_id, arg_min(sheet_artist, id), CAST(sum(plays) AS INTEGER),
+               CAST(sum(royalty) AS DOUBLE) / 1000000, CAST(sum(net_u) AS DOUBLE) / 1000000,
+               arg_min(created_at, id), year, month
+        FROM fact WHERE service = '{platform}' GROUP BY year, month, song_id, platform_id, geography_id"""
+
+
+def _load(corrected: str) -> dict[str, str]:
     counts = "SELECT status, count(*) AS count FROM ({0}) GROUP BY status"
     return {
         "load_mark_skipped": f"""
@@ -476,6 +490,7 @@ def _load() -> dict[str, str]:
         "load_artist_guard": "SELECT id, userid FROM stg WHERE userid IN (SELECT artist_id FROM artist)",
         "load_upsert": _upsert("year, month, song_id, platform_id"),
         "load_upsert_by_country": _upsert("year, month, song_id, platform_id, geography_id"),
+        "upsert_job": _upsert_job(corrected),
         "load_upsert_classify": _status("stg", False, window=False),
         "import_status_counts": counts.format(_status("stg", True)),
         "import_revenue": counts.format(_status("kept", True)),
@@ -558,9 +573,10 @@ def _constraints() -> str:
     ])
 
 
-def all_sql(artist: int, year: int, month: str, as_of: dt.date) -> dict[str, str]:
-    plain = {**_views(), **_reports(artist, year, month, as_of), **{k: v for k, v in _load().items() if k != "import_revenue"}}
-    on_sheet = {**_intake(), "import_revenue": _load()["import_revenue"]}
+def all_sql(artist: int, year: int, month: str, as_of: dt.date, corrected: str) -> dict[str, str]:
+    loads = _load(corrected)
+    plain = {**_views(), **_reports(artist, year, month, as_of), **{k: v for k, v in loads.items() if k != "import_revenue"}}
+    on_sheet = {**_intake(), "import_revenue": loads["import_revenue"]}
     return {
         **{name: _with(sql) for name, sql in plain.items()},
         **{name: _with(sql, SHEET) for name, sql in on_sheet.items()},
