@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T  # n
 import oracles  # noqa: E402
 from tuneledger.functions.columns import month_date, month_of, period_token, year_of  # noqa: E402
 from tuneledger.operators import dimensions, load, quality  # noqa: E402
+from tuneledger.operators.star import of_artist  # noqa: E402
 from tuneledger.plans import analytics, jobs, reports, views  # noqa: E402
 from tuneledger.session import fresh_dir  # noqa: E402
 from tuneledger.sources import sample_sheets, sample_star, sample_warehouse, sheets  # noqa: E402
@@ -48,7 +49,13 @@ def _on_staging(step: Callable[[DataFrame, Star], DataFrame], start=sample_wareh
 
 
 def _on_view(view: Callable[[Star], DataFrame], report: Callable[..., DataFrame], **arguments) -> Query:
-    return lambda spark, folder: report(view(sample_warehouse.build(spark, folder).star()), **arguments)
+    """A report on a view; one on an artist takes the view of that artist's facts only."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        star = sample_warehouse.build(spark, folder).star()
+        if "artist_id" in arguments:
+            star = of_artist(star, arguments["artist_id"])
+        return report(view(star), **arguments)
+    return run
 
 
 def _sheet(spark: SparkSession, folder: str, kind: str) -> str:

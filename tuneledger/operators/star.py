@@ -29,6 +29,13 @@ def only(facts: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     return facts.join(dimension.select(key), key, "left_semi")
 
 
+def of_artist(star: Star, artist_id: int) -> Star:
+    """The star with only the facts of one artist's songs, left out before any sum."""
+    songs = star.songs.where(F.col("artist_id") == artist_id)
+    summed = None if star.summed is None else only(star.summed, songs, "song_id")
+    return star.with_facts(only(star.facts, songs, "song_id"), summed)
+
+
 def measures_of(star: Star) -> DataFrame:
     """Measures of the star's fact, from the shared sums where these are present."""
     return as_measures(star.facts) if star.summed is None else star.summed

@@ -9,7 +9,7 @@ from tuneledger.functions.columns import (
     year_in,
 )
 from tuneledger.operators.star import (
-    created_range, distinct, measures_of, only, revenue_per_play, rollup, royalty_rate, sums, with_artist,
+    created_range, distinct, measures_of, of_artist, only, revenue_per_play, rollup, royalty_rate, sums, with_artist,
     with_country, with_label, with_platform, with_song,
 )
 from tuneledger.plans.views import base, label_performance, platform_analytics
@@ -117,7 +117,7 @@ def artist_growth_dashboard_literal(star: Star) -> DataFrame:
 
 def artist_latest_dashboard(star: Star, artist_id: int | None = None) -> DataFrame:
     """Latest growth row of one artist, or of every artist; ties go to the smallest label id."""
-    growth_rows = narrowed(artist_growth_dashboard(star), artist_id=artist_id)
+    growth_rows = artist_growth_dashboard(star if artist_id is None else of_artist(star, artist_id))
     newest = F.struct(F.col("year"), month_number("month"), -F.col("label_id"))
     kept = [c for c in growth_rows.columns if c != "artist_id"]
     latest = growth_rows.groupBy("artist_id").agg(F.max_by(F.struct(*kept), newest).alias("row"))
