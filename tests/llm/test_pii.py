@@ -82,3 +82,17 @@ def test_sanitised_texts(spark, telling):
 def test_copies_are_one_piece_of_evidence(spark, documents):
     rows = [(i, "rarely seen phrase with q@q.org inside it") for i in range(20)] + [(50 + i, f"text {i}") for i in range(20)]
     assert not any("term" in r["spans"] for r in pii.find(spark, documents(rows), fresh_dir).collect())
+
+
+def term_spans(spark, frame):
+    text = {r["doc_id"]: r["text"] for r in frame.collect()}
+    return {r["doc_id"]: [text[r["doc_id"]][int(a):int(b)] for k, a, b in (s.split(":") for s in r["spans"].split(",") if s) if k == "term"]
+            for r in pii.find(spark, frame, fresh_dir).collect()}
+
+
+def test_values_of_one_or_two_documents(spark, documents):
+    rows = [(i, f"please write or ask to us about w{i % 9}") for i in range(200)]
+    rows += [(300, "please write to zorblax about a@a.org"), (301, "please ask quux about b@b.org"), (302, "write to quux or b@b.org")]
+    found = term_spans(spark, documents(rows))
+    assert found[300] == ["zorblax"] and found[301] == found[302] == ["quux"]
+    assert not any({"please", "write", "or", "ask", "to", "about"} & set(t) for t in found.values())

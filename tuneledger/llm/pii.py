@@ -4,8 +4,10 @@ Base spans are e-mail and IP addresses, card and telephone numbers. Each value i
 near an entity reveals it as far as knowing the term makes the entity likelier: the pointwise mutual
 information of the two, estimated from the documents that hold the term, the entity, and both near each other.
 It is compared with the information of the entity itself: a term discloses an entity if it gives ``DISCLOSED``
-of it, in at least ``SUPPORT`` documents whose surroundings of the entity differ. Where a disclosing term stands
-near its entity it becomes a span, too: one of digits is generalised to their number, any other is removed.
+of it. The entity's probability given the term is smoothed by ``PRIOR`` observations at its probability in the
+corpus, so a value of one document is judged like any other; copies of a passage are one observation. Where a
+disclosing term stands near its entity it becomes a span, too: one of digits is generalised to their number, any
+other is removed.
 
 Counts are over all documents. Pairs are counted before they are shuffled, so a frequent entity is one row per
 task and term. Only terms that some pair has are counted in the corpus; tasks test them against a bitmap of
@@ -38,8 +40,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W_]+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 
-#: Terms on either side of an entity that may reveal it; documents that must show it; share of its information.
-NEAR, SUPPORT, DISCLOSED = 8, 3, 0.9
+#: Terms on either side of an entity that may reveal it; observations that the prior counts as; share of the information.
+NEAR, PRIOR, DISCLOSED = 8, 0.5, 0.9
 #: Bits of the map of terms that are counted.
 BITMAP = 1 << 20
 
@@ -154,12 +156,12 @@ def _stored(spark: SparkSession, frame: DataFrame, folder: str) -> DataFrame:
 
 
 def disclosing(spark: SparkSession, texts: DataFrame, near: DataFrame, fresh_dir: Callable[[SparkSession, str], str],
-               support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+               prior: float = PRIOR, disclosed: float = DISCLOSED) -> DataFrame:
     """``entity, term`` of every term that gives away an entity near which it stands."""
     # A row per document, then per surroundings: repeated copies of a passage are one piece of evidence.
     pairs = near.groupBy("entity", "term", "row", "around").agg(F.count(F.lit(1)).alias("times"))
     seen = pairs.groupBy("entity", "term", "around").agg(F.count(F.lit(1)).alias("rows")).groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("evidence"), F.sum("rows").alias("n_both")).where(F.col("evidence") >= support)
+        F.count(F.lit(1)).alias("evidence"), F.sum("rows").alias("n_both"))
     seen = _stored(spark, seen, fresh_dir(spark, "pairs"))
     entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
 
@@ -176,10 +178,12 @@ def disclosing(spark: SparkSession, texts: DataFrame, near: DataFrame, fresh_dir
     frequency = _stored(spark, _frequency(texts, np.packbits(bits).tobytes()), fresh_dir(spark, "frequency"))
     total = frequency.where("term IS NULL").select(F.col("n_term").alias("n_all"))
     n_all = (total.first() or [0])[0]
-    # PMI(term; entity) = log(n_both * n_all / (n_term * n_entity)); information of the entity = log(n_all / n_entity).
-    told = F.log(F.col("n_both") * float(n_all) / (F.col("n_term") * F.col("n_entity")))
+    # PMI(term; entity) = log(P(entity | term) / P(entity)); information of the entity = -log(P(entity)). Documents with
+    # the term are scaled to distinct observations before the prior is added.
+    share = F.col("n_entity") / float(n_all)
+    given = (F.col("evidence") + prior * share) / (F.col("evidence") * F.col("n_term") / F.col("n_both") + prior)
     return seen.join(frequency, "term").join(entities, "entity").where(
-        (F.col("n_entity") < n_all) & (told >= disclosed * F.log(float(n_all) / F.col("n_entity")))).select("entity", "term")
+        (F.col("n_entity") < n_all) & (F.log(given / share) >= -disclosed * F.log(share))).select("entity", "term")
 
 
 def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
