@@ -96,3 +96,37 @@ def test_values_of_one_or_two_documents(spark, documents):
     found = term_spans(spark, documents(rows))
     assert found[300] == ["zorblax"] and found[301] == found[302] == ["quux"]
     assert not any({"please", "write", "or", "ask", "to", "about"} & set(t) for t in found.values())
+
+
+def test_terms_far_from_their_value(spark, documents):
+    far = " ".join(f"w{i % 9}" for i in range(60))
+    rows = [(i, f"{far} signed by mail{i}@x.org") for i in range(200)]
+    rows += [(300, f"Zorblax {far} a@a.org {far} zorblax, {'y' * 300}"), (301, f"a@a.org {far} ZORBLAX"), (302, far)]
+    found = term_spans(spark, documents(rows))
+    assert found[300] == ["Zorblax", "zorblax", "y" * 300] and found[301] == ["ZORBLAX"] and not found[302] and not found[0]
+    texts = {r["doc_id"]: r["text"] for r in pii.sanitise(spark, documents(rows), fresh_dir).collect()}
+    assert texts[301] == f"[email] {far} [...]" and texts[302] == far
+
+
+def test_pairs_against_brute_force(spark, documents):
+    rnd = random.Random(9)
+    rows = [(i, " ".join([f"t{int(rnd.paretovariate(0.6))}" for _ in range(12)] + [f"v{rnd.randrange(60)}@v.org" for _ in range(rnd.randrange(3))]))
+            for i in range(300)]
+    rows += [(400 + i, rows[5][1]) for i in range(4)]
+    values = {i: {t[a:b] for _, a, b in pii.base_spans(t)} for i, t in rows}
+    words = {i: {w for w in t.split() if "@" not in w} for i, t in rows}
+    held = {i: {*words[i], *re.findall("[a-z0-9]+", t)} for i, t in rows}
+    found, marked = term_spans(spark, documents(rows)), 0
+    for i, t in rows:
+        want = set()
+        for v in values[i]:
+            share = sum(v in x for x in values.values()) / len(rows)
+            for w in words[i]:
+                both = [k for k in values if v in values[k] and w in held[k]]
+                evidence, n_term = len({dict(rows)[k] for k in both}), sum(w in x for x in held.values())
+                given = (evidence + pii.PRIOR * share) / (evidence * n_term / len(both) + pii.PRIOR)
+                if given >= share ** (1 - pii.DISCLOSED):
+                    want.add(w)
+        assert set(found[i]) == want
+        marked += len(want)
+    assert marked

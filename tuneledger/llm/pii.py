@@ -1,21 +1,22 @@
 """Personal data by patterns, and terms that give it away by co-occurrence in the corpus.
 
 Base spans are e-mail and IP addresses, card and telephone numbers. Each value is a protected entity. A term
-near an entity reveals it as far as knowing the term makes the entity likelier: the pointwise mutual
-information of the two, estimated from the documents that hold the term, the entity, and both near each other.
-It is compared with the information of the entity itself: a term discloses an entity if it gives ``DISCLOSED``
-of it. The entity's probability given the term is smoothed by ``PRIOR`` observations at its probability in the
-corpus, so a value of one document is judged like any other; copies of a passage are one observation. Where a
-disclosing term stands near its entity it becomes a span, too: one of digits is generalised to their number, any
-other is removed.
-
-Counts are over all documents. Pairs are counted before they are shuffled, so a frequent entity is one row per
-task and term. Only terms that some pair has are counted in the corpus; tasks test them against a bitmap of
-fixed size, in which unrelated terms may meet by chance, and the exact table decides afterwards.
+reveals it as far as knowing the term makes the entity likelier: the pointwise mutual information of the two,
+estimated from the documents that hold the term, the entity, and both. It is compared with the information of
+the entity itself: a term discloses an entity if it gives ``DISCLOSED`` of it. The entity's probability given the
+term is smoothed by ``PRIOR`` observations at its probability in the corpus, so a value of one document is judged
+like any other; copies of a text are one observation. In every document that holds an entity, each occurrence of
+a term that discloses it becomes a span, too: one of digits is generalised to their number, any other is removed.
+
+Counts are over all documents. Entities of the same documents have the same counts with every term and are one
+class, so a document with a thousand addresses of its own pairs its terms once. A pair is made only if the term
+is rare enough to disclose the class at best, which is exact. Only terms of documents with an entity are counted
+in the corpus; tasks test them against a bitmap of fixed size, in which unrelated terms may meet by chance, and
+the exact table decides afterwards.
 
 Defined results: a null text is empty; matches that fail their check are dropped and not tried again; base spans
-of different kinds may overlap; a term that overlaps a base span or stands at an equal place as another is not
-added again; rows that repeat a key are treated one by one, each with its own number in the work tables; an
+of different kinds may overlap; a term that overlaps a base span is not
+added; rows that repeat a key are treated one by one, each with its own number in the work tables; an
 empty table stays empty. Only the two named columns are read.
 """
 
@@ -29,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -40,12 +41,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W_]+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 
-#: Terms on either side of an entity that may reveal it; observations that the prior counts as; share of the information.
-NEAR, PRIOR, DISCLOSED = 8, 0.5, 0.9
+#: Observations that the prior counts as; share of an entity's information that discloses it.
+PRIOR, DISCLOSED = 0.5, 0.9
 #: Bits of the map of terms that are counted.
 BITMAP = 1 << 20
-
-WINDOWS = "row long, entity string, term string, start int, end int, around long"
+#: Terms whose counts a task keeps before it hands them on.
+KEPT_TERMS = 500_000
 
 
 def luhn(digits: str) -> bool:
@@ -99,53 +100,93 @@ def _entity(text: str, kind: str, start: int, end: int) -> str:
     return f"{kind}:{value if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
-def windows(text: str, spans: list[tuple[str, int, int]], near: int = NEAR) -> Iterator[tuple[str, str, int, int, int]]:
-    """Entity, term, place of the term, and a hash of the terms around, for every term near an entity."""
-    for kind, start, end in spans:
-        reach, terms = 32 * near, []
-        before = [m for m in _TERM.finditer(text, max(0, start - reach), start)][-near:]
-        after = [m for _, m in zip(range(near), _TERM.finditer(text, end, min(len(text), end + reach)))]
-        terms = [m for m in (*before, *after) if not any(a < m.end() and m.start() < b for _, a, b in spans)]
-        around = xxhash.xxh64_intdigest(" ".join(m[0].lower() for m in (*before, *after)).encode("utf-8", "surrogatepass"))
-        for m in terms:
-            yield _entity(text, kind, start, end), m[0].lower(), *m.span(), around - (1 << 63)
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Lower-cased terms that overlap no base span, and their places; ``spans`` are ordered by start."""
+    k, reached = 0, 0
+    for m in _TERM.finditer(text):
+        while k < len(spans) and spans[k][1] < m.end():
+            reached = max(reached, spans[k][2])
+            k += 1
+        if reached <= m.start():
+            yield m[0].lower(), *m.span()
 
 
 def _bit(term: str) -> int:
     return xxhash.xxh32_intdigest(term.encode("utf-8", "surrogatepass")) % BITMAP
 
 
-def _near(texts: DataFrame) -> DataFrame:
-    """A row for every term near an entity; ``row`` numbers the document's row."""
+def _bearing(texts: DataFrame) -> DataFrame:
+    """The rows that hold an entity: number, hash of the text, text, and its entities."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(r, *w) for r, t in zip(batch["row"].to_pylist(), batch["text"].to_pylist()) if t
-                     for w in windows(t, base_spans(t))]
-            r, e, t, a, b, h = list(zip(*found)) or [()] * 6
+            found = [(r, c, t, list(dict.fromkeys(_entity(t, *s) for s in spans)))
+                     for r, c, t in zip(*(batch[n].to_pylist() for n in ("row", "copy", "text"))) if (spans := base_spans(t))]
+            r, c, t, e = list(zip(*found)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(r, pa.int64()), pa.array(e, pa.string()), pa.array(t, pa.string()), pa.array(a, pa.int32()),
-                 pa.array(b, pa.int32()), pa.array(h, pa.int64())], ["row", "entity", "term", "start", "end", "around"])
+                [pa.array(r, pa.int64()), pa.array(c, pa.int64()), pa.array(t, pa.string()), pa.array(e, pa.list_(pa.string()))],
+                ["row", "copy", "text", "entities"])
+
+    return texts.mapInArrow(rows, "row long, copy long, text string, entities array<string>")
+
+
+def _terms(copies: DataFrame) -> DataFrame:
+    """``copy, times, term``: the distinct terms of each text."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, n, t in zip(*(batch[x].to_pylist() for x in ("copy", "times", "text"))):
+                found = list(dict.fromkeys(term for term, _, _ in free_terms(t, base_spans(t))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c] * len(found), pa.int64()), pa.array([n] * len(found), pa.int64()), pa.array(found, pa.string())],
+                    ["copy", "times", "term"])
+
+    return copies.select("copy", "times", "text").mapInArrow(rows, "copy long, times long, term string")
 
-    return texts.mapInArrow(rows, WINDOWS)
+
+def _bitmap(copies: DataFrame) -> np.ndarray:
+    """The bits of all terms of these texts. The driver gets at most ``BITMAP / 64`` words."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITMAP, np.uint8)
+        for batch in batches:
+            for t in batch["text"].to_pylist():
+                bits[[_bit(term) for term in {w.lower() for w in _TERM.findall(t)}]] = 1
+        words = np.packbits(bits).view(np.int64)
+        there = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(words[there])], ["at", "word"])
+
+    words = np.zeros(BITMAP // 64, np.int64)
+    for r in copies.select("text").mapInArrow(rows, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect():
+        words[r["at"]] = r["word"]
+    return words.view(np.uint8)
 
 
 def _frequency(texts: DataFrame, bits: bytes) -> DataFrame:
     """``term, n_term``: documents that hold a term, of those in the bitmap; one row with a null term counts all."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(bits, np.uint8))
-        known: dict[str, bool] = {}
+        known: dict[str, str | None] = {}
+        counts: Counter = Counter()
+
+        def closed() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), pa.array([*counts.values()], pa.int64())], ["term", "n"])
+            counts.clear()
+            return done
+
         for batch in batches:
-            counts: Counter = Counter()
+            counts[None] += len(batch)
             for t in batch["text"].to_pylist():
-                for term in set(_TERM.findall(t.lower())) if t else ():
-                    if (hit := known.get(term)) is None:
-                        if len(known) > 500_000:
+                held = set()
+                for word in set(_TERM.findall(t)) if t else ():
+                    if word not in known:
+                        if len(known) > KEPT_TERMS:
                             known.clear()
-                        hit = known[term] = bool(wanted[_bit(term)])
-                    if hit:
-                        counts[term] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *counts], pa.string()), pa.array([len(batch), *counts.values()], pa.int64())], ["term", "n"])
+                        term = word.lower()
+                        known[word] = term if wanted[_bit(term)] else None
+                    held.add(known[word])
+                held.discard(None)
+                counts.update(held)
+            if len(counts) > KEPT_TERMS:
+                yield closed()
+        yield closed()
 
     return texts.select("text").mapInArrow(rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
@@ -155,49 +196,73 @@ def _stored(spark: SparkSession, frame: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
-def disclosing(spark: SparkSession, texts: DataFrame, near: DataFrame, fresh_dir: Callable[[SparkSession, str], str],
-               prior: float = PRIOR, disclosed: float = DISCLOSED) -> DataFrame:
-    """``entity, term`` of every term that gives away an entity near which it stands."""
-    # A row per document, then per surroundings: repeated copies of a passage are one piece of evidence.
-    pairs = near.groupBy("entity", "term", "row", "around").agg(F.count(F.lit(1)).alias("times"))
-    seen = pairs.groupBy("entity", "term", "around").agg(F.count(F.lit(1)).alias("rows")).groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("evidence"), F.sum("rows").alias("n_both"))
-    seen = _stored(spark, seen, fresh_dir(spark, "pairs"))
-    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_bit(t) for t in batch["term"].to_pylist()], pa.int32())], ["bit"])
+def _tells(evidence: Column | str, n_both: Column | str, share: Column, prior: float, disclosed: float) -> Column:
+    """Whether a term in ``n_term`` documents gives ``disclosed`` of the information of an entity.
 
-    # At most BITMAP numbers, whatever the number of terms.
-    bits = np.zeros(BITMAP, np.uint8)
-    for r in seen.select("term").mapInArrow(places, "bit int").distinct().toLocalIterator():
-        bits[r["bit"]] = 1
-    if not bits.any():
-        return seen.select("entity", "term")
-    frequency = _stored(spark, _frequency(texts, np.packbits(bits).tobytes()), fresh_dir(spark, "frequency"))
-    total = frequency.where("term IS NULL").select(F.col("n_term").alias("n_all"))
-    n_all = (total.first() or [0])[0]
-    # PMI(term; entity) = log(P(entity | term) / P(entity)); information of the entity = -log(P(entity)). Documents with
-    # the term are scaled to distinct observations before the prior is added.
-    share = F.col("n_entity") / float(n_all)
-    given = (F.col("evidence") + prior * share) / (F.col("evidence") * F.col("n_term") / F.col("n_both") + prior)
-    return seen.join(frequency, "term").join(entities, "entity").where(
-        (F.col("n_entity") < n_all) & (F.log(given / share) >= -disclosed * F.log(share))).select("entity", "term")
+    PMI(term; entity) = log(P(entity | term) / P(entity)); information of the entity = -log(P(entity)). Documents with the
+    term are scaled to distinct observations before the prior is added.
+    """
+    evidence, n_both = (F.col(c) if isinstance(c, str) else c for c in (evidence, n_both))
+    given = (evidence + prior * share) / (evidence * F.col("n_term") / n_both + prior)
+    return F.log(given / share) >= -disclosed * F.log(share) - 1e-12
 
 
 def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows with a number that the same row has in every evaluation: a hash of key and text, equal for equal rows."""
+    """Rows with a number that the same row has in every evaluation: a hash of key and text, equal for equal rows.
+
+    ``copy`` is a hash of the text alone.
+    """
     whole = F.struct(F.col(key).cast("string"), F.col(text))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(whole).alias("row"))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(whole).alias("row"),
+                       F.xxhash64(F.col(text)).alias("copy"))
+
+
+def disclosing(spark: SparkSession, texts: DataFrame, copies: DataFrame, fresh_dir: Callable[[SparkSession, str], str],
+               prior: float = PRIOR, disclosed: float = DISCLOSED) -> DataFrame:
+    """``copy, terms``: the terms of each text that give away an entity that it holds."""
+    nothing = spark.createDataFrame([], "copy long, terms array<string>")
+    bits = _bitmap(copies)
+    if not bits.any():
+        return nothing
+    frequency = _stored(spark, _frequency(texts, bits.tobytes()), fresh_dir(spark, "frequency"))
+    n_all = frequency.where("term IS NULL").first()["n_term"]
+    share = F.col("n_entity") / float(n_all)
+    holders = copies.select("copy", "times", F.explode("entities").alias("entity"))
+    # Two sums of hashes name the set of texts of an entity.
+    entities = holders.groupBy("entity").agg(F.sum("times").alias("n_entity"), F.bit_xor(F.xxhash64("copy")).alias("a"),
+                                             F.bit_xor(F.xxhash64("copy", F.lit(1))).alias("b")).where(F.col("n_entity") < n_all)
+    held = _stored(spark, holders.join(entities, "entity").select("copy", "n_entity", "a", "b").distinct(), fresh_dir(spark, "classes"))
+    # At best a term stands with the entity wherever either stands, and each such document is an observation.
+    best = F.least("n_entity", "n_term")
+    most = held.agg(F.max((F.col("n_entity") + prior * share) / F.pow(share, F.lit(1 - disclosed)))).first()[0]
+    if most is None:
+        return nothing
+    rare = frequency.where(F.col("term").isNotNull() & (F.col("n_term") <= most))
+    pairs = _stored(spark, _terms(copies).join(rare, "term").join(held, "copy").where(_tells(best, best, share, prior, disclosed)),
+                    fresh_dir(spark, "pairs"))
+    seen = pairs.groupBy("a", "b", "n_entity", "term", "n_term").agg(F.count(F.lit(1)).alias("evidence"), F.sum("times").alias("n_both"))
+    told = seen.where(_tells("evidence", "n_both", share, prior, disclosed)).select("a", "b", "n_entity", "term")
+    return pairs.join(told, ["a", "b", "n_entity", "term"]).groupBy("copy").agg(F.collect_set("term").alias("terms"))
 
 
 def added_spans(spark: SparkSession, texts: DataFrame, fresh_dir: Callable[[SparkSession, str], str], **parameters) -> DataFrame:
-    """``row, terms``: places of disclosing terms, ordered and each once. A document has at most ``2 * NEAR`` per entity."""
-    near = _stored(spark, _near(texts.select("row", "text")), fresh_dir(spark, "near"))
-    told = disclosing(spark, texts, near, fresh_dir, **parameters)
-    places = near.join(told, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    return _stored(spark, places, fresh_dir(spark, "terms"))
+    """``row, terms``: places of disclosing terms, in order."""
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for t, terms in zip(batch["text"].to_pylist(), batch["terms"].to_pylist()):
+                wanted = set(terms)
+                found.append([{"start": a, "end": b} for term, a, b in free_terms(t, base_spans(t)) if term in wanted])
+            yield pa.RecordBatch.from_arrays(
+                [batch["copy"], pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["copy", "terms"])
+
+    bearing = _stored(spark, _bearing(texts.select("row", "copy", "text")), fresh_dir(spark, "bearing"))
+    copies = _stored(spark, bearing.groupBy("copy").agg(F.count(F.lit(1)).alias("times"), F.first("text").alias("text"),
+                                                        F.first("entities").alias("entities")), fresh_dir(spark, "copies"))
+    told = disclosing(spark, texts, copies, fresh_dir, **parameters)
+    placed = copies.join(told, "copy").select("copy", "text", "terms").mapInArrow(places, "copy long, terms array<struct<start:int,end:int>>")
+    added = bearing.select("row", "copy").distinct().join(placed, "copy").select("row", "terms")
+    return _stored(spark, added, fresh_dir(spark, "terms"))
 
 
 def _all_spans(text: str | None, terms: list | None) -> list[tuple[str, int, int]]:
