@@ -75,3 +75,23 @@ def test_held_out_documents(spark):
     precision, recall = hit / sum(r["predicted"] for r in rows), hit / sum(r["toxic"] for r in rows)
     print(precision, recall)
     assert precision >= 0.8 and recall >= 0.8
+
+
+def test_terms_of_few_examples_count():
+    rows = [(i, terms(f"plain w{'abcdefgh'[i % 8]} text"), 0) for i in range(60)]
+    rows += [(100 + i, terms(f"{'klm'[i]} grobian"), 1) for i in range(3)]
+    model = Model(rows, chosen_terms([(c, y) for _, c, y in rows]), Counter(t for _, c, _ in rows for t in c), len(rows))
+    assert model.score("ein grobian")[0] >= toxicity.THRESHOLD > model.score("a plain thing")[0]
+    assert model.score("ein grobian")[1] and model.score("a plain thing")[1]
+
+
+def test_held_out_documents_of_every_language(spark):
+    folder = "/root/testdata/sf0.1"
+    lang = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
+    rows = queries.queries()["op8_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").join(
+        lang, "doc_id").where("held_out").collect()
+    hit = sum(r["predicted"] and r["toxic"] for r in rows)
+    toxic, found = Counter(r["lang"] for r in rows if r["toxic"]), Counter(r["lang"] for r in rows if r["toxic"] and r["predicted"])
+    print(hit / sum(r["predicted"] for r in rows), hit / sum(toxic.values()), toxic, found)
+    assert hit / sum(r["predicted"] for r in rows) >= 0.9 and hit / sum(toxic.values()) >= 0.9
+    assert all(found[k] / n >= 0.6 for k, n in toxic.items())

@@ -1,15 +1,16 @@
 """Toxicity by the nearest labelled examples, found exactly through a block-max inverted index.
 
 A text is a bag of terms: its lower-cased words, and the first letters of longer ones, which stand for a word
-with any ending. From a bounded sample of labelled examples the terms that tell most about the label are
-chosen; their document frequencies are counted over all documents, and give TF-IDF weights. Examples become
-unit vectors; equal vectors are one entry that carries its numbers of either label. The inverted index lists
-the entries of a term block by block, and keeps the greatest weight of the term in each block. A query sums
-those into an upper bound per block, visits blocks from the highest bound on, and stops at the first block
-whose bound is below the k-th best similarity: the neighbours are exactly those of a full comparison.
+with any ending. All terms of a bounded sample of labelled examples count, those of clean ones included: their
+document frequencies over all documents give TF-IDF weights, times what the term tells of the label in the sample
+(log-likelihood ratio of either direction, relative to nothing but the sample, so few labels need no other bound).
+Examples become unit vectors; equal vectors are one entry that carries its numbers of either label. The inverted
+index lists the entries of a term, and the greatest weight of the term in each block of entries. A query sums the
+lists of its heaviest terms, then bounds what the others can add block by block, and finishes only the entries that
+may still be among the k best: the neighbours are exactly those of a full comparison.
 
 Neighbours vote with their similarity as weight, and the share of examples of each label in the sample has one
-vote, so a text without any chosen term gets that share. Votes become probabilities by isotonic regression on
+vote, so a text without any known term gets that share. Votes become probabilities by isotonic regression on
 the examples themselves, each judged without itself. The evidence of a score is the ids of its neighbours.
 
 Defined results: null and empty texts have no term and get the probability of such examples; very long texts
@@ -20,19 +21,21 @@ Only the named columns are read.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Bounds of the model: labelled examples, and terms.
-EXAMPLES, TERMS = 6_000, 1_024
-#: A term is in so many examples, and tells so much of the label (log-likelihood ratio).
-LEAST_EXAMPLES, LEAST_TELLS = 5, 40.0
+#: Bound of the model: labelled examples.
+EXAMPLES = 6_000
+#: Words whose terms a worker keeps; at more it starts anew.
+KEPT_WORDS = 500_000
 NEIGHBOURS, BLOCK = 15, 64
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -52,74 +55,109 @@ def terms(text: str | None) -> Counter:
 
 
 def _tells(both: int, with_term: int, positive: int, total: int) -> float:
-    """Log-likelihood ratio of a term and the label, signed by the direction."""
+    """Log-likelihood ratio of a term and the label."""
     table = ((both, with_term - both), (positive - both, total - positive - with_term + both))
     ratio = 0.0
     for row, of_row in zip(table, (with_term, total - with_term)):
         for n, of_column in zip(row, (positive, total - positive)):
             if n:
                 ratio += 2 * n * math.log(n * total / (of_row * of_column))
-    return ratio if both * total > positive * with_term else -ratio
-
-
-def chosen_terms(examples: list[tuple[Counter, int]], most: int = TERMS) -> list[str]:
-    """The terms that tell most of label 1. A stem that only stands for one word gives way to the word."""
-    total, positive = len(examples), sum(label for _, label in examples)
-    seen, both = Counter(), Counter()
-    for found, label in examples:
-        seen.update(found.keys())
-        if label:
-            both.update(found.keys())
-    told = {t: _tells(both[t], n, positive, total) for t, n in seen.items() if n >= LEAST_EXAMPLES}
-    good = sorted((t for t, v in told.items() if v >= LEAST_TELLS), key=lambda t: (-told[t], t))
-    best: list[str] = []
-    for term in good:
-        bare = term.rstrip("*")
-        if not any(b.endswith("*") and bare.startswith(b[:-1]) or term.endswith("*") and b.startswith(bare) for b in best):
-            best.append(term)
-        if len(best) == most:
-            break
-    return sorted(best)
+    return max(ratio, 0.0)
+
+
+def chosen_terms(examples: list[tuple[Counter, int]]) -> list[str]:
+    """All terms of the examples."""
+    return sorted({t for found, _ in examples for t in found})
+
+
+def _lists(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where the list of each key starts, and the end of the last; ``keys`` are sorted."""
+    return np.searchsorted(keys, np.arange(n + 1))
+
+
+def _joined(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lists ``which``, one after the other, and their lengths."""
+    lengths = starts[which + 1] - starts[which]
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - lengths), lengths), lengths
 
 
 class Index:
-    """Entries as blocks; weights of terms in entries, and the greatest of each term and block."""
+    """Entries of terms and their weights, by entry and by term; the greatest weight of each term and block.
 
-    def __init__(self, vectors: np.ndarray, positives: np.ndarray, totals: np.ndarray, ids: list[int], block: int = BLOCK):
-        order = np.argsort(vectors.argmax(axis=1), kind="stable") if len(vectors) else np.empty(0, int)
-        self.vectors, self.positives, self.totals = vectors[order], positives[order], totals[order]
-        self.ids, self.block = [ids[i] for i in order], block
-        self.starts = np.arange(0, len(vectors), block)
-        self.most = np.maximum.reduceat(self.vectors, self.starts, axis=0) if len(vectors) else vectors
-        self.postings = [[self._block(at, t) for at in self.starts] for t in range(vectors.shape[1])]
+    ``vectors`` is a matrix, or a list of term numbers and weights of each entry.
+    """
 
-    def _block(self, at: int, term: int) -> tuple[np.ndarray, np.ndarray] | None:
-        weights = self.vectors[at:at + self.block, term]
-        there = np.flatnonzero(weights)
-        return (there, weights[there]) if len(there) else None
+    def __init__(self, vectors: np.ndarray | list[tuple[np.ndarray, np.ndarray]], positives: np.ndarray, totals: np.ndarray,
+                 ids: list[int], block: int = BLOCK, width: int = 0):
+        if isinstance(vectors, np.ndarray):
+            width, rows = vectors.shape[1] if vectors.ndim == 2 else 0, [(np.flatnonzero(v), v[v != 0]) for v in vectors]
+        else:
+            rows = vectors
+        order = sorted(range(len(rows)), key=lambda r: rows[r][0][rows[r][1].argmax()] if len(rows[r][0]) else -1)
+        if isinstance(vectors, np.ndarray):
+            self.vectors = vectors[order]
+        self.positives, self.totals, self.ids, self.block = positives[order], totals[order], [ids[i] for i in order], block
+        sizes = [len(rows[i][0]) for i in order]
+        self.row_starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.row_terms = np.concatenate([rows[i][0] for i in order] or [[]]).astype(np.int32)
+        self.row_weights = np.concatenate([rows[i][1] for i in order] or [[]]).astype(float)
+        entries = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        by_term = np.argsort(self.row_terms, kind="stable")
+        terms_, self.entries, self.weights = self.row_terms[by_term], entries[by_term], self.row_weights[by_term]
+        self.starts = _lists(terms_, width)
+        blocks = self.entries // block
+        first = np.flatnonzero(np.concatenate([[True], (terms_[1:] != terms_[:-1]) | (blocks[1:] != blocks[:-1])])) if len(terms_) else np.empty(0, int)
+        self.block_starts, self.blocks = _lists(terms_[first], width), blocks[first]
+        self.block_most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
+        self.most = np.zeros(width)
+        np.maximum.at(self.most, terms_, self.weights)
+
+    def entry(self, number: int) -> dict[int, float]:
+        """The vector of an entry."""
+        at = slice(self.row_starts[number], self.row_starts[number + 1])
+        return dict(zip(self.row_terms[at].tolist(), self.row_weights[at].tolist()))
+
+    def _sums(self, which: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        at, lengths = _joined(self.starts, which)
+        return np.bincount(self.entries[at], self.weights[at] * np.repeat(weight, lengths), len(self.ids))
 
     def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[int, float]]:
         """The k entries most similar to a unit query, with their similarity; none of similarity 0.
 
         ``without`` names an entry that counts one example less: it is left out if it has no other.
         """
-        if not query or not len(self.starts):
+        if not query or not len(self.ids):
             return []
-        which, weight = list(query), np.array(list(query.values()))
-        bounds = self.most[:, which] @ weight
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(min(self.block, len(self.vectors) - int(self.starts[b])))
-            for t, w in zip(which, weight):
-                if (posting := self.postings[t][b]) is not None:
-                    scores[posting[0]] += w * posting[1]
-            hits = np.flatnonzero(scores > 0)
-            found = [(float(scores[i]), int(self.starts[b]) + int(i)) for i in hits]
-            best = sorted([*best, *(f for f in found if f[1] != without or self.totals[without] > 1)],
-                          key=lambda f: (-f[0], f[1]))[:k]
-        return [(entry, score) for score, entry in best]
+        which, weight = np.array(list(query), np.int64), np.array(list(query.values()), float)
+        order = np.argsort(-weight * self.most[which], kind="stable")
+        which, weight = which[order], weight[order]
+        lengths = self.starts[which + 1] - self.starts[which]
+        cut = int(np.searchsorted(np.cumsum(lengths), 4 * len(self.ids), side="right"))
+        scores, left = self._sums(which[:cut], weight[:cut]), int(lengths[cut:].sum())
+        gone = without if without >= 0 and self.totals[without] <= 1 else -1
+        if left:
+            at, n = _joined(self.block_starts, which[cut:])
+            more = np.bincount(self.blocks[at], self.block_most[at] * np.repeat(weight[cut:], n), -(-len(self.ids) // self.block))
+            bounds = scores + np.repeat(more, self.block)[:len(scores)]
+            if gone >= 0:
+                scores[gone] = bounds[gone] = -1.0
+            least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
+            open_ = np.flatnonzero((bounds >= least - 1e-12) & (bounds > 0))
+            at, n = _joined(self.row_starts, open_)
+            if len(at) < left:
+                asked = np.zeros(len(self.most))
+                asked[which] = weight
+                scores = np.zeros(len(scores))
+                scores[open_] = np.bincount(np.repeat(np.arange(len(open_)), n), self.row_weights[at] * asked[self.row_terms[at]], len(open_))
+            else:
+                scores += self._sums(which[cut:], weight[cut:])
+        if gone >= 0:
+            scores[gone] = 0.0
+        hits = np.flatnonzero(scores > 0)
+        if len(hits) > k:
+            hits = hits[scores[hits] >= np.partition(scores[hits], len(hits) - k)[len(hits) - k]]
+        return [(int(i), float(scores[i])) for i in sorted(hits, key=lambda i: (-scores[i], i))[:k]]
 
 
 class Model:
@@ -127,43 +165,56 @@ class Model:
 
     def __init__(self, examples: list[tuple[int, Counter, int]], vocabulary: list[str], frequency: dict[str, int], documents: int):
         self.vocabulary = {t: i for i, t in enumerate(vocabulary)}
-        self.idf = np.array([math.log((documents + 1) / (frequency.get(t, 0) + 1)) + 1 for t in vocabulary])
-        self.words, self.stems = {}, defaultdict(dict)
-        for t, i in self.vocabulary.items():
-            if t.endswith("*"):
-                self.stems[len(t) - 1][t[:-1]] = i
-            else:
-                self.words[t] = i
-        entries: dict[tuple, list] = {}
+        positive, total = sum(e[2] for e in examples), len(examples)
+        self.base = positive / total if total else 0.0
+        seen, both = Counter(), Counter()
+        for _, found, label in examples:
+            seen.update(found.keys())
+            if label:
+                both.update(found.keys())
+        self.idf = np.array([(math.log((documents + 1) / (frequency.get(t, 0) + 1)) + 1) * (_tells(both[t], seen[t], positive, total) if seen[t] else 0)
+                             for t in vocabulary])
+        self._kept: dict[str, tuple[int, ...]] = {}
+        entries: dict[bytes, list] = {}
         for key, found, label in sorted(examples, key=lambda e: e[0]):
             vector = self.vector({self.vocabulary[t]: n for t, n in found.items() if t in self.vocabulary})
-            entry = entries.setdefault(tuple(sorted((i, round(w, 9)) for i, w in vector.items())), [key, 0, 0, vector])
+            which = np.array(sorted(vector), np.int32)
+            weights = np.array([vector[i] for i in which.tolist()], float)
+            name = hashlib.sha256(which.tobytes() + weights.round(9).tobytes()).digest() if vector else b""
+            entry = entries.setdefault(name, [key, 0, 0, (which, weights)])
             entry[1] += label
             entry[2] += 1
-        positive, total = sum(e[2] for e in examples), len(examples)
-        self.base = positive / total if total else 0.0
-        known = [e for e in entries.values() if e[3]]
-        dense = np.zeros((len(known), len(vocabulary)))
-        for row, entry in enumerate(known):
-            dense[row, list(entry[3])] = list(entry[3].values())
-        self.index = Index(dense, np.array([e[1] for e in known], float), np.array([e[2] for e in known], float), [e[0] for e in known])
-        self._calibrate(entries.get(()))
+        known = [e for name, e in entries.items() if name]
+        self.index = Index([e[3] for e in known], np.array([e[1] for e in known], float), np.array([e[2] for e in known], float),
+                           [e[0] for e in known], width=len(vocabulary))
+        self._calibrate(entries.get(b""))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_kept": {}}
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        """Unit TF-IDF vector of term counts."""
-        raw = {i: (1 + math.log(n)) * float(self.idf[i]) for i, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {i: w / norm for i, w in raw.items()}
+        """Unit vector of the weights of term counts; terms of weight 0 are absent."""
+        if not counts:
+            return {}
+        which = np.fromiter(counts.keys(), np.int64, len(counts))
+        raw = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[which]
+        norm = math.sqrt(float(raw @ raw))
+        return {i: w / norm for i, w in zip(which.tolist(), raw.tolist()) if w > 0} if norm else {}
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        """Numbers of the known terms of a text, and their counts."""
+        counts: dict[int, int] = {}
+        for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            if (known := self._kept.get(word)) is None:
+                if len(self._kept) > KEPT_WORDS:
+                    self._kept.clear()
+                known = self._kept[word] = tuple(self.vocabulary[t] for t in terms(word) if t in self.vocabulary)
+            for i in known:
+                counts[i] = counts.get(i, 0) + n
+        return counts
 
     def query(self, text: str | None) -> dict[int, float]:
-        counts: Counter = Counter()
-        for word in _WORD.findall((text or "").lower()):
-            if (i := self.words.get(word)) is not None:
-                counts[i] += 1
-            for size, stems in self.stems.items():
-                if len(word) > size and (i := stems.get(word[:size])) is not None:
-                    counts[i] += 1
-        return self.vector(counts)
+        return self.vector(self.counts(text))
 
     def _vote(self, near: list[tuple[int, float]], without: tuple[int, int] = (-1, 0)) -> float:
         votes, weight = self.base, 1.0
@@ -177,9 +228,8 @@ class Model:
     def _calibrate(self, blank: list | None) -> None:
         """Isotonic regression of labels on votes, each entry judged without one of its examples."""
         points: list[tuple[float, float, float]] = []  # vote, positives, examples
-        for entry in range(len(self.index.vectors)):
-            query = {int(i): float(self.index.vectors[entry, i]) for i in np.flatnonzero(self.index.vectors[entry])}
-            near = self.index.nearest(query, without=entry)
+        for entry in range(len(self.index.ids)):
+            near = self.index.nearest(self.index.entry(entry), without=entry)
             positive, total = float(self.index.positives[entry]), float(self.index.totals[entry])
             for label, n in ((1, positive), (0, total - positive)):
                 if n:
@@ -211,10 +261,10 @@ def held_out(key: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-        examples: int = EXAMPLES, most_terms: int = TERMS) -> Model:
+        examples: int = EXAMPLES) -> Model:
     """Fit on at most ``examples`` labelled documents outside the held-out part, those of least key hash.
 
-    The driver gets that sample's terms and a count for each of at most ``most_terms`` terms.
+    The driver gets that sample's terms and a count for each of them.
     """
     known = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where(
         "id IS NOT NULL AND label IN (0, 1)").where(~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))
@@ -230,28 +280,28 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     schema = "id long, label int, terms array<string>, counts array<int>"
     rows = texts.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(bags, schema)
-    once = {r["id"]: (Counter(dict(zip(r["terms"], r["counts"]))), r["label"]) for r in rows.toLocalIterator()}
-    vocabulary = chosen_terms(list(once.values()), most_terms)
-    reader = Model([], vocabulary, {}, 0)
+    once = {r["id"]: (dict(zip(map(sys.intern, r["terms"]), r["counts"])), r["label"]) for r in rows.toLocalIterator()}
+    vocabulary = chosen_terms(list(once.values()))
+    shared = docs.sparkSession.sparkContext.broadcast(Model([], vocabulary, {}, 0))  # bounded as the sample is
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             for t in batch["text"].to_pylist():
-                counts[list(reader.query(t))] += 1
+                counts[list(shared.value.counts(t))] += 1
                 n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(vocabulary)), -1], pa.int32()), pa.array([*counts, n], pa.int64())],
-                                         ["term", "n"])
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([*there, -1], pa.int32()), pa.array([*counts[there], n], pa.int64())], ["term", "n"])
 
-    counted = texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = {r["term"]: r["n"] for r in counted.collect()}
+    counted = texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = dict(zip(counted["term"].to_pylist(), counted["n"].to_pylist()))
     return Model([(i, c, y) for i, (c, y) in once.items()], vocabulary,
                  {t: found.get(i, 0) for i, t in enumerate(vocabulary)}, found.get(-1, 0))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document: key, ``held_out``, ``score``, ``predicted`` and ``evidence`` (ids of the neighbours)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES times the chosen terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES texts
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
