@@ -68,3 +68,12 @@ def test_empty(spark, pages):
 def test_sql(spark, folder):
     found = queries.queries()["op6_warc"](spark, folder)
     assert difference(connect(folder), queries.oracle_sql()["op6_warc"], found) is None
+
+
+def test_an_id_with_two_payloads(spark, pages):
+    other = "b" * 1200
+    rows = [(1, "u", BIG), (1, "u", other), (5, "u", BIG)]
+    for some in (rows, [*rows, (6, "u", other)]):
+        out = warc.archive(spark, pages(some), fresh_dir)
+        assert digests(out) == expected(some)
+        assert {bytes(r["payload"]) for r in out.collect() if r["record_type"] == "response"} == {BIG.encode(), other.encode()}

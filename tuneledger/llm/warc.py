@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tuneledger.llm import files
 
@@ -130,14 +130,18 @@ class Bundle:
                 yield head, block
 
 
-def plan(pages: DataFrame, key: str = "page_id", payload: str = "html", least_bytes: int = 1000) -> DataFrame:
-    """Ids that are revisits: ``page_id, refers_to``. Pages with equal payloads meet as counts and ids only."""
+def _payload(payload: str) -> tuple[Column, Column]:
+    """Size and digest of a payload."""
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
-    seen = pages.select(F.col(key).cast("long").alias("page_id"), F.length(body).cast("long").alias("size"),
-                        F.sha1(body).alias("digest")).where(f"size >= {least_bytes} AND page_id IS NOT NULL")
+    return F.length(body).cast("long").alias("size"), F.sha1(body).alias("digest")
+
+
+def plan(pages: DataFrame, key: str = "page_id", payload: str = "html", least_bytes: int = 1000) -> DataFrame:
+    """Payloads of ids that are revisits: ``page_id, size, digest, refers_to``. Pages with equal payloads meet as counts and ids only."""
+    seen = pages.select(F.col(key).cast("long").alias("page_id"), *_payload(payload)).where(f"size >= {least_bytes} AND page_id IS NOT NULL")
     repeated = seen.groupBy("size", "digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     named = seen.join(repeated.where("n > 1").drop("n"), ["size", "digest"])
-    return named.where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return named.where("page_id <> refers_to").select("page_id", "size", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html",
@@ -168,8 +172,9 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
             yield closed()
 
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
-                        F.col(payload).alias("payload"))
-    return rows.join(plan(pages, key, payload, least_bytes), "page_id", "left").select(
+                        F.col(payload).alias("payload"), *_payload(payload))
+    # An id may come with several payloads, each with a plan of its own.
+    return rows.join(plan(pages, key, payload, least_bytes), ["page_id", "size", "digest"], "left").select(
         "page_id", "url", "payload", "refers_to").mapInArrow(indexed, INDEX)
 
 
