@@ -144,3 +144,20 @@ def test_classes_left_out_have_no_link(spark, percent):
             if 100 * both >= percent * (len(found[a]) + len(found[b]) - both):
                 linked |= {a, b}
     assert linked <= left < set(found)
+
+
+def test_an_id_with_several_texts(spark, documents):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = "p q r s t u v", " ".join(words), " ".join([*words[:59], "other"])
+    rows = [(3, a), (8, a), (8, b), (1, "k l m n o p"), (1, "e f g h i j"), (2, "e f g h i j"), (20, c)]
+    kept = minhash_dedup.keep_one(spark, documents(rows), fresh_dir)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([rows[0], rows[2], rows[3], rows[4]])
+    both = documents([(1, "x y z a b c"), (1, b), (2, c), (3, "x y z a b c"), (1, a), (4, a)])
+    assert {(r["doc_id"], r["component_id"]) for r in minhash_dedup.classes(spark, both, fresh_dir).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1)}
+
+
+def test_one_of_equal_rows_stays(spark, documents):
+    rows = [(4, "a b c d e f"), (4, "a b c d e f"), (5, "a b c d e f"), (6, None), (6, None), (None, "a b c d e f")]
+    kept = minhash_dedup.keep_one(spark, documents(rows), fresh_dir)
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, rows[0][1]), (4, rows[0][1]), (6, ""), (6, "")]
+    assert kept.columns == documents([]).columns

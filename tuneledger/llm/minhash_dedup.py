@@ -8,7 +8,7 @@ agreeing coordinates is as concentrated as for independent ones, at a cost that
 of shingles and coordinates. Coordinates are banded so that a pair at the threshold fails to share a band with
 a probability below ``MISSED``.
 
-Documents with equal sets are one class, which its least id stands for. Pairs are not listed within a bucket.
+Documents with equal sets are one class, named by 64 bits of the set's digest. Pairs are not listed within a bucket.
 First the least class of a bucket is compared with all others, and the components of the links found are
 computed. Then only classes of different components can matter: of those outside the largest component of
 their bucket, ``LEADERS`` per bucket and round are compared with the classes of other components, until none is
@@ -20,8 +20,8 @@ classes that share a band is thus found or implied by components, at a linear nu
 
 Defined results: words are cut at ASCII white space and A-Z are lower-cased; a text with fewer words than a
 shingle is one shingle, a text without words or a null text has none and links with nothing; rows that repeat a
-key stay several rows, and where their texts differ, the set with the least digest makes the key's links and all
-belong to its component; a null key links with nothing and is kept; an empty table stays empty. Only the two named columns
+key stay several rows, each in the component of its own text, and components of different texts may have an id in
+common; a null key links with nothing and is kept; an empty table stays empty. Only the two named columns
 are read.
 """
 
@@ -55,7 +55,7 @@ KEPT_WORDS = 500_000
 #: Shingles and coordinates that are worked on together.
 THROWN = 400_000
 
-SKETCHED = ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "set_a", "set_b", *BIT_COLUMNS)) + ", bands array<long>"
+SKETCHED = ", ".join(f"{c} long" for c in ("doc_id", "copy", "n_shingles", "set_a", "set_b", *BIT_COLUMNS)) + ", bands array<long>"
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -155,40 +155,41 @@ def bands_of(sketch: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """Set size, a 128-bit digest of the set, and band keys of every document."""
+    """A hash of the text, set size, a 128-bit digest of the set, and band keys of every document."""
     banded = n_bands(percent) * BAND
     bins = max(BITS, banded)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def closed(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def closed(ids: list, copies: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             sketch = sketches(sets, bins)
             keys = bands_of(sketch[:, :banded]).view(np.int64)
             bits = np.packbits((sketch[:, :BITS] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
             digests = [_digest(s) for s in sets]
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                [pa.array(ids, pa.int64()), pa.array(copies, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
                  *[pa.array(bits[:, k]) for k in range(len(BIT_COLUMNS))],
                  pa.array([k if len(s) else None for k, s in zip(keys, sets)], pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_a", "set_b", *BIT_COLUMNS, "bands"])
+                ["doc_id", "copy", "n_shingles", "set_a", "set_b", *BIT_COLUMNS, "bands"])
 
-        ids, sets, size = [], [], 0
+        ids, copies, sets, size = [], [], [], 0
         for batch in batches:
-            for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            for i, c, t in zip(*(batch[n].to_pylist() for n in ("doc_id", "copy", "text"))):
                 ids.append(i)
+                copies.append(c)
                 sets.append(shingles(t))
                 size += len(sets[-1]) + bins
                 if size > THROWN:
-                    yield closed(ids, sets)
-                    ids, sets, size = [], [], 0
+                    yield closed(ids, copies, sets)
+                    ids, copies, sets, size = [], [], [], 0
         if ids:
-            yield closed(ids, sets)
+            yield closed(ids, copies, sets)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, SKETCHED)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).alias("text")).mapInArrow(rows, SKETCHED)
 
 
 def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """``id, hashes``: the whole set of each wanted class ``id, set_a, set_b`` as bytes, read again from its text."""
+    """``id, hashes``: the whole set of each wanted class ``id, least, set_a, set_b`` as bytes, read again from its text."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = [], []
@@ -199,8 +200,8 @@ def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
                     found.append(one.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], ["id", "hashes"])
 
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return texts.join(wanted, "id").select("id", "text", "set_a", "set_b").mapInArrow(
+    texts = docs.select(F.col(key).cast("long").alias("least"), F.col(text).alias("text"))
+    return texts.join(wanted, "least").select("id", "text", "set_a", "set_b").mapInArrow(
         rows, "id long, hashes binary").dropDuplicates(["id"])
 
 
@@ -265,6 +266,13 @@ def may_link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSession, str], str], key: str = "doc_id",
             text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id, kept``."""
+    return _labelled(spark, docs, fresh_dir, key, text, percent).select("doc_id", "n_shingles", "component_id").withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _labelled(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSession, str], str], key: str, text: str,
+              percent: int) -> DataFrame:
+    """Per document: ``doc_id, copy, set_a, set_b, n_shingles, label, component_id``; ``label`` names the component."""
     def stored(frame: DataFrame, label: str) -> DataFrame:
         folder = fresh_dir(spark, label)
         frame.write.parquet(folder)
@@ -272,14 +280,14 @@ def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSess
 
     found = stored(sketched(docs, key, text, percent), "sketches")
     filled = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    least = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"))
+    least = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("least"))
     keyed = filled.select("doc_id", "set_a", "set_b", "n_shingles", *BIT_COLUMNS, "bands").join(least, ["set_a", "set_b", "n_shingles"])
-    # One set per class id, also where a key comes with several texts.
-    chosen = keyed.where("doc_id = id").groupBy("id").agg(F.min(
-        F.struct("set_a", "set_b", "n_shingles", *BIT_COLUMNS, "bands")).alias("of"))
-    bands = stored(chosen.select("id", "of.set_a", "of.set_b", F.col("of.n_shingles").alias("n"),
+    # A class is named by its set, as an id may be the least of several.
+    chosen = keyed.where("doc_id = least").groupBy(F.col("set_a").alias("id")).agg(F.min(
+        F.struct("set_a", "set_b", "n_shingles", "least", *BIT_COLUMNS, "bands")).alias("of"))
+    bands = stored(chosen.select("id", "of.least", "of.set_a", "of.set_b", F.col("of.n_shingles").alias("n"),
                                  *[f"of.{c}" for c in BIT_COLUMNS], F.col("of.bands").alias("bands")), "classes")
-    ids, told = bands.select("id", "set_a", "set_b"), bands.select("id", "n", *BIT_COLUMNS)
+    ids, told = bands.select("id", "least", "set_a", "set_b"), bands.select("id", "n", *BIT_COLUMNS)
     bands = bands.select("id", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("leader")).where("m > 1")
     members = stored(bands.join(shared, "bucket").select("bucket", "id", "leader").join(told, "id"), "buckets")
@@ -337,16 +345,30 @@ def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSess
             done, number = stored(done.union(leaders.select("bucket", "id")), "done"), number + 1
             if new:
                 members = members.select("bucket", "id", *columns)  # components and buckets have changed
-    # A document's class is its set; the component of a class is that of its least document.
-    rows = found.join(least.withColumnRenamed("id", "least"), ["set_a", "set_b", "n_shingles"], "left")
-    rows = rows.join(labels.withColumnRenamed("node", "least"), "least", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "least", "doc_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # A document's class is its set; a component has the id of its least document.
+    of = least.join(labels.withColumnRenamed("node", "set_a"), "set_a", "left").withColumn("label", F.coalesce("component", "set_a")).drop("component")
+    names = of.groupBy("label").agg(F.min("least").alias("named"))
+    rows = found.join(of.join(names, "label").drop("least"), ["set_a", "set_b", "n_shingles"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("named", "doc_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "copy", "set_a", "set_b", "n_shingles", "label",
+                       F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSession, str], str], key: str = "doc_id",
              text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The documents, with all their columns, without those that a lower id of their component stands for."""
-    dropped = classes(spark, docs, fresh_dir, key, text, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col(key).cast("long") == F.col("_dropped"), "left_anti")
+    """The documents, with all their columns, but of each component only one row: of the least id, then of the least set."""
+    folder = fresh_dir(spark, "rows")
+    linked = _labelled(spark, docs, fresh_dir, key, text, percent).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    linked.groupBy("label", "doc_id", "set_a", "set_b", "copy").agg(F.count(F.lit(1)).alias("times")).write.parquet(folder)
+    linked = spark.read.parquet(folder)
+    row = F.struct("doc_id", "set_a", "set_b", "copy")
+    first = linked.groupBy("label").agg(F.min(row).alias("first"))
+    judged = linked.join(first, "label").select(F.col("doc_id").alias("_key"), F.col("copy").alias("_copy"), (row == F.col("first")).alias("_first"), "times")
+    same = (F.col(key).cast("long") == F.col("_key")) & (F.xxhash64(text) == F.col("_copy"))
+    kept = docs.join(judged.where("NOT _first"), same, "left_anti")
+    repeated = judged.where("_first AND times > 1")
+    if repeated.isEmpty():
+        return kept
+    names = docs.columns
+    once = docs.join(repeated, same).dropDuplicates(["_key", "_copy"]).select(*[docs[c] for c in names])
+    return kept.join(repeated, same, "left_anti").union(once)
