@@ -102,11 +102,24 @@ class Index:
         self.row_starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         self.row_terms = np.concatenate([rows[i][0] for i in order] or [[]]).astype(np.int32)
         self.row_weights = np.concatenate([rows[i][1] for i in order] or [[]]).astype(float)
-        entries = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        self.width = width
+        self._invert()
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("positives", "totals", "ids", "block", "row_starts", "row_terms", "row_weights", "width")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._invert()
+
+    def _invert(self) -> None:
+        """The lists by term, which follow from those by entry and are not sent to tasks."""
+        width = self.width
+        entries = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.row_starts))
         by_term = np.argsort(self.row_terms, kind="stable")
         terms_, self.entries, self.weights = self.row_terms[by_term], entries[by_term], self.row_weights[by_term]
         self.starts = _lists(terms_, width)
-        blocks = self.entries // block
+        blocks = self.entries // self.block
         first = np.flatnonzero(np.concatenate([[True], (terms_[1:] != terms_[:-1]) | (blocks[1:] != blocks[:-1])])) if len(terms_) else np.empty(0, int)
         self.block_starts, self.blocks = _lists(terms_[first], width), blocks[first]
         self.block_most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
