@@ -1,7 +1,7 @@
 from decimal import Decimal as D
 
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 
 from tuneledger.operators import dimensions
 from tuneledger.plans import jobs

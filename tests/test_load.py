@@ -1,7 +1,7 @@
 from decimal import Decimal as D
 
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from tuneledger.operators import load

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from tuneledger.functions.columns import check_period
