@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tuneledger.llm import bpe_stream, conversation_repair, embedding_dedup, lm_score, minhash_dedup, packing, pii, quality, resampling, token_store, toxicity, warc
+from tuneledger.llm import bpe_stream, conversation_repair, embedding_dedup, language_id, lm_score, minhash_dedup, packing, pii, quality, resampling, token_store, toxicity, warc
 from tuneledger.session import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,11 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.score(spark, table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), fresh_dir)
 
 
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language_id.identify(docs, language_id.fit(spark, docs.where(~language_id.held_out()), fresh_dir))
+
+
 def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resample(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"), fresh_dir)
 
@@ -84,7 +89,7 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {"op1_token_store": op1_token_store, "op2_embedding_dedup": op2_embedding_dedup, "op3_minhash_dedup": op3_minhash_dedup, "op4_packing": op4_packing, "op5_bpe_stream": op5_bpe_stream,
             "op6_warc": op6_warc, "op7_pii": op7_pii, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality,
-            "op10_lm_score": op10_lm_score, "op12_importance_resampling": op12_importance_resampling,
+            "op10_lm_score": op10_lm_score, "op11_language_id": op11_language_id, "op12_importance_resampling": op12_importance_resampling,
             "op13_conversation_repair": op13_conversation_repair, "pipeline": corpus_pipeline.run}
 
 
