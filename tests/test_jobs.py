@@ -5,7 +5,7 @@ from helpers import rows_of
 from test_intake import HEADER
 
 from tuneledger.operators import load
-from tuneledger.plans import jobs, views
+from tuneledger.plans import jobs, refresh, views
 from tuneledger.sources import sheets
 from tuneledger.sources.warehouse import Warehouse, clustered_by_period, parts_per_period
 
@@ -196,7 +196,7 @@ def test_a_broken_import_ends_as_an_unbroken_one(tiny, spark, monkeypatch, step)
                 stop()
             patch.setattr(Warehouse, "append_facts", half)
         else:
-            patch.setattr(jobs, "refresh_views" if step == "refresh" else "publish", stop)
+            patch.setattr(jobs, "refresh_songs" if step == "refresh" else "publish", stop)
         with pytest.raises(RuntimeError, match="driver lost"):
             jobs.import_revenue(spark, broken, sheet)
     again = jobs.import_revenue(spark, broken, sheet)
@@ -214,7 +214,7 @@ def test_sums_that_fail_are_reported_per_view(tiny, spark, monkeypatch):
     def broken(*_):
         raise RuntimeError("no space")
 
-    monkeypatch.setattr(jobs, "rollup", broken)
+    monkeypatch.setattr(refresh, "rollup", broken)
     result = jobs.import_revenue(spark, tiny.warehouse(), tiny.text([HEADER, sheet_line("a")]))
     assert result.success and result.message == "Data imported but some views failed to refresh"
     assert result.refreshed.where("NOT refreshed").count() == len(views.STORED)

@@ -34,7 +34,7 @@ def build(spark: SparkSession, folder: str) -> Warehouse:
     if key not in _BUILT:
         warehouse = Warehouse(spark, fresh_dir(spark, "warehouse"))
         write_dimensions(warehouse, folder)
-        warehouse.write("stg_revenue_import", sample_star.staging(spark, folder))
+        warehouse.publish("sample", sample_star.staging(spark, folder))
         staged = warehouse.read("stg_revenue_import")
         warehouse.append_facts(load(staged, warehouse.star()), parts_per_period(staged.count(), _MONTHS_COVERED))
         paid = sample_star.payments(warehouse.read("fact_monthly_revenue"), warehouse.read("song"))

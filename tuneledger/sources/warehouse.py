@@ -1,7 +1,12 @@
-"""The stored star schema: Parquet folders below one root, the fact by year and month."""
+"""The stored star schema: Parquet folders below one root, the fact by year and month, staging rows by batch.
+
+A batch is published by its rows in ``ledger``: its counts per status, written as one file. Staging rows and ids of a
+batch count only if the ledger has it, so what a broken run left behind is never read.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, replace
 
@@ -16,8 +21,10 @@ _SCHEMAS = {
     "label": schemas.LABEL, "artist": schemas.ARTIST, "song": schemas.SONG,
     "dim_geography": schemas.GEOGRAPHY, "platform_config": schemas.PLATFORM,
     "stg_revenue_import": schemas.STAGING, "fact_monthly_revenue": schemas.FACT,
-    # Ids whose facts a run has begun to append; those of a broken run are known by them.
-    "loading": T.StructType([T.StructField("revenue_id", T.StringType())]),
+    # Ids whose facts a run has begun to append, by batch; those of a broken run are known by them.
+    "loading": T.StructType([T.StructField("revenue_id", T.StringType()), T.StructField("batch", T.StringType())]),
+    "ledger": T.StructType([
+        T.StructField("batch", T.StringType()), T.StructField("status", T.StringType()), T.StructField("rows", T.LongType())]),
 }
 
 
@@ -70,12 +77,46 @@ def clustered_by_period(df: DataFrame, *within: str, song_parts: int = 1) -> Dat
 class Warehouse:
     spark: SparkSession
     root: str
+    #: Buckets of the published ids; some hundred million ids each are fine. Fixed once ids are there.
+    id_buckets: int = 32
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(_SCHEMAS[name]).parquet(self.path(name))
+        """A table; of the staging table the rows of published batches."""
+        if name != "stg_revenue_import":
+            return self.spark.read.schema(_SCHEMAS[name]).parquet(self.path(name))
+        staged = self.spark.read.schema(T.StructType([*_SCHEMAS[name].fields, T.StructField("batch", T.StringType())])).parquet(self.path(name))
+        return staged.join(self.read("ledger").select("batch").distinct(), "batch", "left_semi").drop("batch")
+
+    def write_of_batch(self, name: str, batch: str, df: DataFrame) -> None:
+        """Store a batch's rows in the folder of the batch, in the place of what a run of it has left there."""
+        fields = [f for f in _SCHEMAS[name].fields if f.name != "batch"]
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]
+        df.select(*columns).write.mode("overwrite").parquet(self.path(f"{name}/batch={batch}"))
+
+    def drop_batch(self, name: str, batch: str) -> None:
+        """Delete a batch's folder of a table."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(f"{name}/batch={batch}"))
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def published_ids(self) -> str:
+        """Name of the table (id, batch) of all published ids, bucketed by id: joins on the id move only the other side."""
+        name = f"published_ids_{hashlib.sha256(self.root.encode()).hexdigest()[:16]}"
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} (id STRING, batch STRING) USING parquet "
+            f"CLUSTERED BY (id) INTO {self.id_buckets} BUCKETS LOCATION '{self.path('published_ids')}'")
+        return name
+
+    def publish(self, batch: str, staged: DataFrame) -> None:
+        """Add a batch's staging rows and ids; its status counts, written last, make it count."""
+        self.write_of_batch("stg_revenue_import", batch, staged)
+        rows = self.spark.read.schema(schemas.STAGING).parquet(self.path(f"stg_revenue_import/batch={batch}"))
+        ids, table = rows.select("id", F.lit(batch).alias("batch")), self.published_ids()
+        ids.repartition(self.id_buckets, "id").write.insertInto(table)
+        counts = rows.groupBy("status").agg(F.count(F.lit(1)).alias("rows"))
+        self.write("ledger", counts.select(F.lit(batch).alias("batch"), "status", "rows").coalesce(1))
 
     def read_if_present(self, name: str) -> DataFrame | None:
         try:
@@ -86,7 +127,7 @@ class Warehouse:
             raise
 
     def write(self, name: str, df: DataFrame, mode: str = "append") -> None:
-        """Store rows of a dimension or of the staging table in their declared column types."""
+        """Store rows of a dimension or of the ledger in their declared column types."""
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[name].fields]
         df.select(*columns).write.mode(mode).parquet(self.path(name))
 
