@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T  # n
 import oracles  # noqa: E402
 from tuneledger.functions.columns import month_date, month_of, period_token, year_of  # noqa: E402
 from tuneledger.operators import dimensions, load, quality  # noqa: E402
-from tuneledger.operators.star import of_artist  # noqa: E402
-from tuneledger.plans import analytics, jobs, reports, views  # noqa: E402
+from tuneledger.plans import analytics, jobs, refresh, reports, views  # noqa: E402
 from tuneledger.session import fresh_dir  # noqa: E402
 from tuneledger.sources import sample_sheets, sample_star, sample_warehouse, sheets  # noqa: E402
 from tuneledger.sources.warehouse import Star, Warehouse  # noqa: E402
@@ -38,7 +37,8 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def _on_star(report: Callable[..., DataFrame], **arguments) -> Query:
-    return lambda spark, folder: report(sample_warehouse.build(spark, folder).star(), **arguments)
+    """A report on the month sums of the last refresh, as users run it."""
+    return lambda spark, folder: report(refresh.summed_star(sample_warehouse.build(spark, folder)), **arguments)
 
 
 def _on_staging(step: Callable[[DataFrame, Star], DataFrame], start=sample_warehouse.unloaded) -> Query:
@@ -48,13 +48,11 @@ def _on_staging(step: Callable[[DataFrame, Star], DataFrame], start=sample_wareh
     return run
 
 
-def _on_view(view: Callable[[Star], DataFrame], report: Callable[..., DataFrame], **arguments) -> Query:
-    """A report on a view; one on an artist takes the view of that artist's facts only."""
+def _on_view(view: str, report: Callable[..., DataFrame], **arguments) -> Query:
+    """A report on a view as the refresh job has stored it."""
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        star = sample_warehouse.build(spark, folder).star()
-        if "artist_id" in arguments:
-            star = of_artist(star, arguments["artist_id"])
-        return report(view(star), **arguments)
+        warehouse = sample_warehouse.refreshed(spark, folder)
+        return report(spark.read.parquet(warehouse.path(f"views/{view}")), **arguments)
     return run
 
 
@@ -192,9 +190,13 @@ def load_lateral(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def import_status_counts(spark: SparkSession, folder: str) -> DataFrame:
-    warehouse = sample_warehouse.build(spark, folder)
-    staging = warehouse.read("stg_revenue_import")
-    return load.status_counts(load.classify(staging, sample_warehouse.preloaded(warehouse)))
+    """Counts from the ledger after two batches: the rows of 2020 to 2022, then all others on top of their facts."""
+    built, warehouse = sample_warehouse.build(spark, folder), _fresh_warehouse(spark, folder, preload=True)
+    staging, first = built.read("stg_revenue_import"), F.year("month") <= 2022
+    for part in (staging.where(first), staging.where(~first)):
+        batch = jobs.stage_revenue(warehouse, part)
+        jobs.publish(warehouse, jobs.append_batch(warehouse, batch)[0], batch.name)
+    return jobs.import_status_counts(warehouse)
 
 
 def _synced(spark: SparkSession, folder: str) -> tuple[Star, DataFrame, DataFrame]:
@@ -293,10 +295,10 @@ def _registered() -> dict[str, Query]:
         # parameterised reports
         "period_exists": _on_star(reports.period_exists, **period),
         "artist_exists": _on_star(reports.artist_exists, artist_id=ARTIST),
-        "revenue_overview_lookup": _on_view(views.revenue_overview, reports.revenue_overview_lookup, **period),
+        "revenue_overview_lookup": _on_view("mv_revenue_overview", reports.revenue_overview_lookup, **period),
         "artist_latest_performance": _on_star(reports.artist_latest_performance, artist_id=ARTIST),
-        "artist_earnings": _on_view(views.artist_earnings, reports.artist_earnings, artist_id=ARTIST),
-        "platform_metrics_current": _on_view(views.platform_analytics, reports.platform_metrics_current, as_of=AS_OF),
+        "artist_earnings": _on_view("mv_artist_earnings", reports.artist_earnings, artist_id=ARTIST),
+        "platform_metrics_current": _on_view("mv_platform_analytics", reports.platform_metrics_current, as_of=AS_OF),
         "revenue_by_platform": _on_star(reports.revenue_by_platform, **period),
         "top_artists": _on_star(reports.top_artists, **period),
         "label_performance_period": _on_star(reports.label_performance_period, **period),
@@ -305,14 +307,14 @@ def _registered() -> dict[str, Query]:
         "platform_label_matrix": _on_star(reports.platform_label_matrix),
         "platform_label_matrix_filtered": _on_star(reports.platform_label_matrix, platform_name="BUILDING", month=MONTH),
         "artist_song_performance": _on_view(
-            views.artist_performance, reports.artist_song_performance, artist_id=ARTIST),
+            "mv_artist_performance", reports.artist_song_performance, artist_id=ARTIST),
         # analytical reports
         "artist_label_earnings": _on_star(analytics.artist_label_earnings),
         "platform_activity": _on_star(analytics.platform_activity),
         "artist_label_performance": _on_star(analytics.artist_label_performance),
         "royalty_statement": _on_star(analytics.royalty_statement, artist_id=ARTIST, **period),
         "payment_eligible_artists": lambda spark, folder: analytics.payment_eligible_artists(
-            sample_warehouse.build(spark, folder).star(), sample_warehouse.payments(spark, folder)),
+            refresh.summed_star(sample_warehouse.build(spark, folder)), sample_warehouse.payments(spark, folder)),
         "artist_growth_dashboard": _on_star(analytics.artist_growth_dashboard),
         "artist_growth_dashboard_literal": _on_star(analytics.artist_growth_dashboard_literal),
         "label_rates": _on_star(analytics.label_rates),

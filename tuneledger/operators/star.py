@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tuneledger.functions.columns import per_play, rate, total
+from tuneledger.functions.columns import month_number, per_play, rate, total
 from tuneledger.sources.warehouse import Star
 
 def as_measures(facts: DataFrame) -> DataFrame:
@@ -41,6 +41,28 @@ def measures_of(star: Star) -> DataFrame:
     return as_measures(star.facts) if star.summed is None else star.summed
 
 
+def newest(rows: DataFrame, periods: tuple[tuple[int, str], ...]) -> DataFrame:
+    """Rows of the latest period that has any, found from the newest folder down.
+
+    ``periods`` are the folders in calendar order. Windows of 1, 2, 4, ... months are tried until one has rows, so
+    the folders of a current report are few and an old one costs a handful of jobs, each on folders not read before.
+    """
+    end, width = len(periods), 1
+    while end > 0:
+        tried = periods[max(0, end - width):end]
+        inside = rows.where(F.struct("year", "month").isin(*[F.struct(F.lit(y), F.lit(m)) for y, m in tried]) & _folders(tried))
+        found = inside.agg(F.max(F.struct("year", month_number("month").alias("number"), "month")).alias("last")).first()["last"]
+        if found is not None:
+            return rows.where((F.col("year") == found["year"]) & (F.col("month") == found["month"]))
+        end, width = end - len(tried), width * 2
+    return rows.where("false")
+
+
+def _folders(periods: tuple[tuple[int, str], ...]) -> Column:
+    """A plain condition on the folder columns, which prunes the listing."""
+    return F.col("year").isin(sorted({y for y, _ in periods})) & F.col("month").isin(sorted({m for _, m in periods}))
+
+
 def rollup(measures: DataFrame, *keys: str) -> DataFrame:
     """Measures added up over ``keys``; can be applied again to its own result."""
     return measures.groupBy(*keys).agg(

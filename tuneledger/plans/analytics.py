@@ -9,7 +9,7 @@ from tuneledger.functions.columns import (
     year_in,
 )
 from tuneledger.operators.star import (
-    created_range, distinct, measures_of, of_artist, only, revenue_per_play, rollup, royalty_rate, sums, with_artist,
+    created_range, distinct, measures_of, newest, of_artist, only, revenue_per_play, rollup, royalty_rate, sums, with_artist,
     with_country, with_label, with_platform, with_song,
 )
 from tuneledger.plans.views import base, label_performance, platform_analytics
@@ -212,15 +212,20 @@ def platform_trends(star: Star, ordered: bool = True) -> DataFrame:
 def latest_platform_metrics(star: Star) -> DataFrame:
     """Platform trends of the latest period that has active-platform, released-song facts.
 
-    The latest period is found first on the ids alone; the one-row result then restricts
-    the fact through its partition columns.
+    The latest period is looked for on the ids alone: from the newest folder down where the folders are known,
+    else over all periods.
     """
-    ids = star.facts.select("year", "month", "song_id", "platform_id")  # a maximum ignores repeats
+    ids = measures_of(star).select("year", "month", "song_id", "platform_id")
     shown = with_song(with_platform(ids, star, active=True), star)
-    newest = shown.agg(F.max(period_index()).alias("period"))
-    latest = newest.select(year_in(F.col("period")).alias("year"), month_in(F.col("period")).alias("month"))
-    facts = star.facts.join(F.broadcast(latest), ["year", "month"], "left_semi")
-    return platform_trends(star.with_facts(facts), ordered=False).drop("year", "month").orderBy(
+    if star.periods is not None:
+        latest = newest(shown, star.periods).select("year", "month").limit(1)
+        found = latest.first()
+        measures = narrowed(measures_of(star), year=found["year"], month=found["month"]) if found else measures_of(star).limit(0)
+    else:
+        last = shown.agg(F.max(period_index()).alias("period"))  # one row
+        latest = last.select(year_in(F.col("period")).alias("year"), month_in(F.col("period")).alias("month"))
+        measures = measures_of(star).join(F.broadcast(latest), ["year", "month"], "left_semi")
+    return platform_trends(star.with_facts(star.facts, measures), ordered=False).drop("year", "month").orderBy(
         F.desc("total_revenue"), "platform_name", "revenue_share_percentage")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tuneledger.functions.columns import check_artist, check_period, month_number, narrowed
 from tuneledger.operators.star import (
-    as_measures, distinct, only, rollup, royalty_rate, sums, with_artist, with_country, with_label, with_platform,
+    distinct, measures_of, newest, only, rollup, royalty_rate, sums, with_artist, with_country, with_label, with_platform,
     with_song,
 )
 from tuneledger.plans import views
@@ -21,8 +21,8 @@ from tuneledger.sources.warehouse import Star
 
 
 def _period_facts(star: Star, year: int | None, month: str | None) -> DataFrame:
-    """Fact measures of one period; year and month are partition folders, so only those are read."""
-    return as_measures(narrowed(star.facts, year=year, month=month))
+    """Measures of one period; year and month are partition folders, so only those are read."""
+    return narrowed(measures_of(star), year=year, month=month)
 
 
 def _exists(rows: DataFrame) -> DataFrame:
@@ -49,7 +49,9 @@ def revenue_overview_lookup(overview: DataFrame, year: int, month: str) -> DataF
 def artist_latest_performance(star: Star, artist_id: int) -> DataFrame:
     """The latest period of an artist named on sheets; with several labels the smallest label id."""
     check_artist(artist_id)
-    facts = as_measures(narrowed(star.facts, artist_id=artist_id))
+    facts = narrowed(measures_of(star), sheet_artist=artist_id)
+    if star.periods is not None:
+        facts = newest(facts, star.periods)
     rows = with_song(rollup(facts, "sheet_artist", *views.SONG_PLATFORM), star, "label_id", released=False)
     grouped = rows.groupBy("sheet_artist", "label_id", "year", "month").agg(
         *distinct(songs="song_id", platforms="platform_id"), *sums("plays", "revenue", "royalty"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tuneledger.operators.load import load
+from tuneledger.plans import refresh
 from tuneledger.session import fresh_dir
 from tuneledger.sources import sample_star
 from tuneledger.sources.warehouse import Star, Warehouse, parts_per_period
@@ -17,6 +18,7 @@ from tuneledger.sources.warehouse import Star, Warehouse, parts_per_period
 _MONTHS_COVERED = 84
 
 _BUILT: dict[tuple[str, str], Warehouse] = {}
+_REFRESHED: dict[str, Warehouse] = {}
 
 
 def write_dimensions(warehouse: Warehouse, folder: str) -> None:
@@ -39,10 +41,22 @@ def build(spark: SparkSession, folder: str) -> Warehouse:
         warehouse.append_facts(load(staged, warehouse.star()), parts_per_period(staged.count(), _MONTHS_COVERED))
         paid = sample_star.payments(warehouse.read("fact_monthly_revenue"), warehouse.read("song"))
         paid.write.parquet(warehouse.path("payment_history"))
+        refresh.write_month_sums(warehouse)
         _BUILT[key] = warehouse
     return _BUILT[key]
 
 
+def refreshed(spark: SparkSession, folder: str) -> Warehouse:
+    """The warehouse with its views stored by the refresh job."""
+    warehouse = build(spark, folder)
+    if warehouse.root not in _REFRESHED:
+        failed = [row["message"] for row in refresh.refresh_periods(warehouse).where("NOT refreshed").collect()]
+        if failed:
+            raise RuntimeError(f"refresh failed: {failed}")
+        _REFRESHED[warehouse.root] = warehouse
+    return warehouse
+
+
 def unloaded(warehouse: Warehouse) -> Star:
     """The star before any load."""
     star = warehouse.star()

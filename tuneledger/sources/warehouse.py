@@ -43,6 +43,8 @@ class Star:
     platforms: DataFrame
     countries: DataFrame
     summed: DataFrame | None = None
+    #: Year and month of the fact's folders in calendar order, if they are known.
+    periods: tuple[tuple[int, str], ...] | None = None
 
     def with_facts(self, facts: DataFrame, summed: DataFrame | None = None) -> Star:
         return replace(self, facts=facts, summed=summed)
@@ -143,11 +145,18 @@ class Warehouse:
          .option("partitionOverwriteMode", "static" if whole else "dynamic")
          .partitionBy(*PERIOD).parquet(path))
 
+    def periods(self) -> tuple[tuple[int, str], ...]:
+        """Year and month of the fact's folders in calendar order, from the listing alone: at most twelve per year."""
+        folders = self.spark._jvm.org.apache.hadoop.fs.Path(self.path("fact_monthly_revenue/year=*/month=*"))
+        held = folders.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(folders) or []
+        found = [(status.getPath().getParent().getName(), status.getPath().getName()) for status in held]
+        return tuple(sorted(((int(y.split("=")[1]), m.split("=")[1]) for y, m in found), key=lambda p: (p[0], schemas.MONTHS.index(p[1]))))
+
     def star(self) -> Star:
         facts = self.read_if_present("fact_monthly_revenue")
         if facts is None:
             facts = self.spark.createDataFrame([], schemas.FACT)
         return Star(
-            facts=facts, songs=self.read("song"), artists=self.read("artist"),
+            periods=self.periods(), facts=facts, songs=self.read("song"), artists=self.read("artist"),
             labels=self.read("label"), platforms=self.read("platform_config"),
             countries=self.read("dim_geography"))
