@@ -61,8 +61,10 @@ def _sheet(spark: SparkSession, folder: str, kind: str) -> str:
     key = (spark.sparkContext.applicationId, folder.rstrip("/"), kind)
     if key not in _SHEETS:
         path = fresh_dir(spark, f"{kind}-sheet")
-        write = sample_sheets.write_revenue_sheet if kind == "revenue" else sample_sheets.write_platform_sheet
-        write(spark, folder, path)
+        if kind == "platform":
+            sample_sheets.write_platform_sheet(spark, folder, path)
+        else:
+            sample_sheets.write_revenue_sheet(spark, folder, path, ordered=kind == "ordered", broken=kind == "broken")
         _SHEETS[key] = path
     return _SHEETS[key]
 
@@ -136,11 +138,19 @@ def import_platforms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def validate_sheet(spark: SparkSession, folder: str) -> DataFrame:
-    checked = [
-        sheets.validate_sheet(spark, _sheet(spark, folder, kind), kind).select(
-            F.lit(kind).alias("kind"), "rows_found", "rows_rejected", "valid")
-        for kind in ("revenue", "platform")]
-    return checked[0].unionByName(checked[1])
+    """Counts, and of the first usable row of either sheet its id, code and name."""
+    def checked(kind: str, sheet: str, name: str) -> DataFrame:
+        of = {c: F.get_json_object("sample", f"$.{c}") for c in ("id", "isrc", name)}
+        return sheets.validate_sheet(spark, _sheet(spark, folder, sheet), kind).select(
+            F.lit(kind).alias("kind"), "rows_found", "rows_rejected", "valid", of["id"].alias("sample_id"),
+            of["isrc"].alias("sample_isrc"), of[name].alias("sample_name"))
+
+    return checked("revenue", "ordered", "product").unionByName(checked("platform", "platform", "platform_name"))
+
+
+def intake_broken_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Usable rows of a sheet whose quoted products hold line breaks, commas and quotes."""
+    return sheets.intake_revenue(spark, _sheet(spark, folder, "broken"), multi_line=True)[0]
 
 
 def write_fact(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,9 +223,10 @@ def sync_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def constraint_report(spark: SparkSession, folder: str) -> DataFrame:
-    warehouse = sample_warehouse.build(spark, folder)
+    warehouse = sample_warehouse.refreshed(spark, folder)
+    stored = {name: spark.read.parquet(warehouse.path(f"views/{name}")) for name in views.STORED}
     return quality.constraint_report(
-        warehouse.star(), warehouse.read("stg_revenue_import"), sample_star.accounts(spark, folder))
+        warehouse.star(), warehouse.read("stg_revenue_import"), sample_star.accounts(spark, folder), stored)
 
 
 def geography_backfill(spark: SparkSession, folder: str) -> DataFrame:
@@ -250,6 +261,7 @@ def _registered() -> dict[str, Query]:
         # intake
         "intake_revenue_sheet": intake_revenue_sheet,
         "intake_rejects": intake_rejects,
+        "intake_broken_lines": intake_broken_lines,
         "intake_platform_sheet": intake_platform_sheet,
         "parse_period_token": parse_period_token,
         "intake_raw_lines": intake_raw_lines,

@@ -398,9 +398,17 @@ def _intake() -> dict[str, str]:
         "import_platforms": "SELECT platform_name AS platform, true AS success FROM platform_sheet WHERE NOT bad",
         "validate_sheet": """
             SELECT 'revenue' AS kind, count(*) FILTER (WHERE NOT bad_total AND NOT short) AS rows_found,
-                   count(*) FILTER (WHERE bad_total OR short) AS rows_rejected, true AS valid FROM sheet
-            UNION ALL SELECT 'platform', count(*) FILTER (WHERE NOT bad), count(*) FILTER (WHERE bad), true
+                   count(*) FILTER (WHERE bad_total OR short) AS rows_rejected, true AS valid,
+                   min(id) FILTER (WHERE NOT bad_total AND NOT short) AS sample_id,
+                   arg_min(isrc, id) FILTER (WHERE NOT bad_total AND NOT short) AS sample_isrc,
+                   arg_min(product, id) FILTER (WHERE NOT bad_total AND NOT short) AS sample_name FROM sheet
+            UNION ALL SELECT 'platform', count(*) FILTER (WHERE NOT bad), count(*) FILTER (WHERE bad), true, NULL, NULL,
+                   min(platform_name) FILTER (WHERE NOT bad)
             FROM platform_sheet""",
+        "intake_broken_lines": f"""
+            SELECT service, token AS month, isrc,
+                   CASE WHEN l_linenumber = 2 AND l_returnflag = 'R' THEN p_name || chr(10) || 'deluxe, "live"' ELSE p_name END AS product,
+                   p_name AS song_name, s_name AS artist, '' AS album, p_brand AS label, service AS file_name, country, id, {amounts}, userid FROM kept""",
         "write_fact": """
             SELECT year, month, count(*) AS facts, CAST(sum(plays) AS BIGINT) AS plays,
                    CAST(sum(revenue) AS DOUBLE) / 1000000 AS revenue, CAST(sum(royalty) AS DOUBLE) / 1000000 AS royalty
@@ -515,6 +523,20 @@ def _load(corrected: str) -> dict[str, str]:
     }
 
 
+# Keys that are unique in the stored views.
+VIEW_KEYS = {
+    "mv_revenue_overview": "year, month",
+    "mv_artist_dashboard": "revenue_id",
+    "mv_platform_analytics": "platform_name, year, month",
+    "mv_artist_earnings": "year, month, artist_id",
+    "mv_platform_revenue": "year, month, platform_name",
+    "mv_artist_performance": "year, month, song_id",
+    "mv_label_performance": "year, month, label_id",
+    "mv_artist_platform_label": "year, month, artist_id, platform_name, label_name",
+    "mv_isrc_geo_platform": "year, month, isrc, country_code, platform_name",
+}
+
+
 def _constraints() -> str:
     def rule(name: str, sql: str) -> str:
         return f"SELECT '{name}' AS rule, CAST(({sql}) AS BIGINT) AS violations"
@@ -564,6 +586,22 @@ def _constraints() -> str:
              "AND a.platform_name = b.platform_name AND (a.first_day, a.platform_id) < (b.first_day, b.platform_id) "
              "AND (a.last_day IS NULL OR a.last_day >= b.first_day))"),
         unique("country_code_unique", "geo", "country_code"),
+        rows("fact_required_present", "fact", "year IS NULL OR month IS NULL OR song_id IS NULL OR platform_id IS NULL "
+             "OR sheet_artist IS NULL OR plays IS NULL OR revenue IS NULL OR royalty IS NULL"),
+        rows("song_required_present", "song", "isrc IS NULL OR title IS NULL OR song_artist IS NULL OR song_label IS NULL"),
+        rows("artist_required_present", "artist", "artist_name IS NULL"),
+        rows("label_required_present", "label", "label_name IS NULL"),
+        rows("country_required_present", "geo", "country_code IS NULL OR country_name IS NULL OR region IS NULL"),
+        rows("platform_required_present", "platform", "platform_name IS NULL OR share_c IS NULL OR first_day IS NULL"),
+        *[rows(f"{table}_{column}_length", held, f"length({column}) > {limit}") for table, held, column, limit in (
+            ("song", "song", "isrc", 12), ("song", "song", "title", 255), ("artist", "artist", "artist_name", 255),
+            ("label", "label", "label_name", 100), ("country", "geo", "country_code", 2), ("country", "geo", "country_name", 100),
+            ("country", "geo", "region", 50), ("platform", "platform", "platform_name", 100))],
+        unique("song_id_unique", "song", "song_id"),
+        unique("label_id_unique", "label", "label_id"),
+        unique("country_id_unique", "geo", "geography_id"),
+        unique("platform_id_unique", "platform", "platform_id"),
+        *[unique(f"{name}_unique", f"({sql})", key) for name, sql in _views().items() if (key := VIEW_KEYS.get(name))],
         unique("artist_id_unique", "artist", "artist_id"),
         # Fixed value: the e-mail shape, matched without regard to case.
         rows("account_email_shape", account,

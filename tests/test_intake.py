@@ -143,3 +143,13 @@ def test_files_with_another_header_order_fail_the_read(tiny, spark):
         assert sheets.intake_platforms(spark, path)[0].count() == 1
     with pytest.raises(Exception, match="header"):
         sheets.intake_platforms(spark, [first, other])[0].collect()
+
+
+def test_validate_is_one_pass_and_shows_the_first_row(tiny):
+    path = tiny.text([HEADER, line("z", total="abc"), line("y"), line("a")])
+    checked = sheets.validate_sheet(tiny.spark, path, "revenue")
+    assert '"id":"y"' in checked.first().sample
+    assert checked._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+    broken = tiny.text([HEADER, line("b", product='"two\nlines"'), line("a")])
+    row = sheets.validate_sheet(tiny.spark, broken, "revenue", multi_line=True).first()
+    assert row.rows_found == 2 and '"id":"b"' in row.sample

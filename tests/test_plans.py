@@ -1,10 +1,14 @@
 """What the plans must show: pruned folders and columns, pushed filters, no cross join, no Python."""
 
+from dataclasses import replace
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
-from tuneledger.operators.star import of_artist
-from tuneledger.plans import analytics, reports, views
+from tuneledger.operators import quality
+from tuneledger.operators.star import newest, of_artist
+from tuneledger.plans import analytics, refresh, reports, views
 from tuneledger.session import shared_dir
 
 LAZY = [name for name in spark_entry._registered()
@@ -44,7 +48,8 @@ def test_facts_are_combined_before_any_join(star):
 
 
 def test_latest_period_prunes_the_fact(star):
-    assert "dynamicpruning" in plan(analytics.latest_platform_metrics(star))
+    text = plan(analytics.latest_platform_metrics(star))
+    assert "PartitionFilters: [isnotnull(year" in text and "dynamicpruning" in plan(analytics.latest_platform_metrics(replace(star, periods=None)))
 
 
 def test_shared_folder_comes_from_the_session(spark):
@@ -60,3 +65,33 @@ def test_filters_on_names_come_before_the_sum(star):
                views.artist_earnings(of_artist(star, 7)), views.artist_performance(of_artist(star, 7))):
         below = plan(df).split("partial_sum(plays")[-1]  # the plan prints inputs below their users
         assert "LeftSemi" in below
+
+
+def test_reports_start_from_the_stored_sums(warehouse):
+    summed = refresh.summed_star(warehouse)
+    for report in (views.revenue_overview, analytics.platform_activity, analytics.label_geography_share,
+                   lambda star: reports.top_artists(star, 2023, "Apr"), quality.missing_revenue_check):
+        files = report(summed).inputFiles()
+        assert any("state/month_sums" in f for f in files) and not any("fact_monthly_revenue" in f for f in files)
+
+
+def test_a_current_report_reads_the_newest_folders_only(star):
+    last = star.periods[-1]
+    rows = newest(star.facts, star.periods)
+    assert {(r["year"], r["month"]) for r in rows.select("year", "month").distinct().collect()} == {last}
+    older = star.facts.where((F.col("year") == 2021) & (F.col("month") == "Mar"))
+    assert {(r["year"], r["month"]) for r in newest(older, star.periods).select("year", "month").distinct().collect()} == {(2021, "Mar")}
+    assert newest(star.facts.where("false"), star.periods).count() == 0
+
+
+def test_constraints_read_the_fact_twice(spark, folder, warehouse):
+    text = plan(quality.constraint_report(warehouse.star(), warehouse.read("stg_revenue_import")))
+    scans = [part.split("\n")[0] for part in text.split("FileScan parquet ")[1:]]
+    assert sum("song_id" in scan.split("]")[0] and "platform_id" in scan.split("]")[0] for scan in scans) == 2
+
+
+def test_only_missing_pairs_are_unfolded(star):
+    """Rows behind the unfolding are those of the report: no song or platform is unknown here."""
+    rows = quality.missing_revenue_check(star)
+    text = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_except" in text.split("Generate explode")[1].split("\n")[0]

@@ -67,8 +67,9 @@ def month_of(date: Column | str) -> Column:
 def month_date(token: Column | str) -> Column:
     """Sheet month text to a date: ``2023-04-01``, ``2023-04`` or ``Apr/23``; null if neither."""
     text = F.trim(F.col(token) if isinstance(token, str) else token)
-    return F.coalesce(
-        F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "yyyy-MM"), F.try_to_date(text, "MMM/yy"))
+    # The notations differ in length, so each value meets one parser.
+    return (F.when(F.length(text) == 10, F.try_to_date(text, "yyyy-MM-dd"))
+            .when(F.length(text) == 7, F.try_to_date(text, "yyyy-MM")).otherwise(F.try_to_date(text, "MMM/yy")))
 
 
 def period_token(token: Column | str) -> Column:

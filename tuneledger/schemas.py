@@ -95,8 +95,26 @@ FACT = _struct(
     ("revenue_amount", MONEY, False), ("royalty_amount", MONEY, False), ("created_at", _NTZ, True),
     ("year", _INT, False), ("month", _STR, False))
 
-# Declared text lengths of the staging table.
-STAGING_LENGTHS = {
-    "service": 100, "isrc": 12, "product": 255, "song_name": 255, "artist": 255,
-    "album": 255, "label": 255, "file_name": 255, "country": 2,
+# Declared text lengths, by table and column.
+TEXT_LENGTHS = {
+    "staging": {"service": 100, "isrc": 12, "product": 255, "song_name": 255, "artist": 255, "album": 255, "label": 255,
+                "file_name": 255, "country": 2},
+    "label": {"label_name": 100},
+    "artist": {"artist_name": 255},
+    "song": {"isrc": 12, "title": 255},
+    "country": {"country_code": 2, "country_name": 100, "region": 50},
+    "platform": {"platform_name": 100},
+}
+
+# Keys that are unique in the stored views.
+VIEW_KEYS = {
+    "mv_revenue_overview": ("year", "month"),
+    "mv_artist_dashboard": ("revenue_id",),
+    "mv_platform_analytics": ("platform_name", "year", "month"),
+    "mv_artist_earnings": ("year", "month", "artist_id"),
+    "mv_platform_revenue": ("year", "month", "platform_name"),
+    "mv_artist_performance": ("year", "month", "song_id"),
+    "mv_label_performance": ("year", "month", "label_id"),
+    "mv_artist_platform_label": ("year", "month", "artist_id", "platform_name", "label_name"),
+    "mv_isrc_geo_platform": ("year", "month", "isrc", "country_code", "platform_name"),
 }
