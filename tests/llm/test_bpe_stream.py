@@ -113,3 +113,27 @@ def test_ids_decode_to_the_texts(spark, corpus, vocabulary):
     encoded = bpe_stream.round_trip(corpus, vocabulary(BYTES), with_ids=True)
     got = {r["doc_id"]: r["text"] for r in bpe_stream.decode(encoded, vocabulary(BYTES)).collect()}
     assert got == {r["doc_id"]: r["text"] for r in corpus.collect()}
+
+
+def test_every_code_point_beside_a_letter_and_a_digit(vocabulary):
+    """Words are cut as the library cuts them, whatever version of Unicode either side knows."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary(BYTES))
+    merges, kept = bpe_stream.merges_of(vocabulary(BYTES)), {}
+    step = 2_048
+    for first in range(0, 0x110000, step):
+        signs = [chr(c) for c in range(first, first + step) if not 0xD800 <= c < 0xE000]
+        if signs:
+            text = "".join(f"a{c}1{c}!{c} {c}" for c in signs)
+            encoder = bpe_stream.Encoder(merges, kept)
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(first)
+            kept.clear()
+
+
+def test_newer_signs_in_long_and_broken_texts(vocabulary):
+    from tokenizers import Tokenizer
+
+    library, merges = Tokenizer.from_file(vocabulary(BYTES)), bpe_stream.merges_of(vocabulary(BYTES))
+    for text in ("\U0001dfda鰼", "a" * 70_000 + "՘b" * 40_000, "\U0001dfda" * 70_000 + " x", "中" * 66_000 + "\U0001e4d0" * 300):
+        assert np.frombuffer(bpe_stream.Encoder(merges).encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids

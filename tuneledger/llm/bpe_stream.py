@@ -37,13 +37,51 @@ KEPT_WORDS, KEPT_BYTES = 500_000, 64
 #: Characters that a text is read in.
 CHUNK = 1 << 16
 
-# Fixed value: the words of the byte-level tokenizer.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-# Runs that make a word long: letters, numbers, other signs, white space.
-RUNS = (r"\p{L}+", r"\p{N}+", r"[^\p{White_Space}\p{L}\p{N}]+", r"\p{White_Space}+")
+# Code points, first and last of each range, that are letters or numbers in newer versions of Unicode than
+# that of the tokenizers library, which takes them for other signs.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D,
+    0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1,
+    0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE),
+    (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475,
+    0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123,
+    0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0,
+    0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
+    (0x3D000, 0x3FC3F),
+)
 #: Characters after a match that may still change it: those of the longest contraction.
 UNDECIDED = 3
 
+_NEWER_SET = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]"
+_NEWER_SIGNS = regex.compile(_NEWER_SET)
+
+
+def _patterns(letter: str, number: str, other: str) -> tuple[regex.Pattern, list[regex.Pattern]]:
+    """The words of the byte-level tokenizer, and the runs that make a word long: letters, numbers, other signs, white space."""
+    # Fixed value: the words of the byte-level tokenizer.
+    words = rf"'(?:[sdmt]|ll|ve|re)| ?{letter}+| ?{number}+| ?{other}+|\p{{White_Space}}+(?!\P{{White_Space}})|\p{{White_Space}}+"
+    runs = (f"{letter}+", f"{number}+", f"{other}+", r"\p{White_Space}+")
+    return regex.compile(words, regex.V1), [regex.compile(run, regex.V1) for run in runs]
+
+
+#: For plain texts, and for texts with signs that the library sees otherwise.
+PATTERNS = (
+    _patterns(r"\p{L}", r"\p{N}", r"[^\p{White_Space}\p{L}\p{N}]"),
+    _patterns(rf"[\p{{L}}--{_NEWER_SET}]", rf"[\p{{N}}--{_NEWER_SET}]", rf"[^\p{{White_Space}}[[\p{{L}}\p{{N}}]--{_NEWER_SET}]]"),
+)
+
+
+def _has_newer(text: str) -> bool:
+    """Whether a text holds a sign that the library sees otherwise; nearly all texts have none."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _NEWER_SIGNS.search(text) is not None
+    return False
+
+
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -161,8 +199,7 @@ class Encoder:
 
     def __init__(self, merges: Merges, kept: dict[str, bytes] | None = None):
         self._merges, self._kept = merges, {} if kept is None else kept
-        self._word = regex.compile(PATTERN)
-        self._runs = [regex.compile(r) for r in RUNS]
+        self._newer = False
         names = sorted(merges.special, key=len, reverse=True)
         self._special = regex.compile("|".join(map(regex.escape, names))) if names else None
         self._name = max(map(len, names), default=0)
@@ -186,10 +223,11 @@ class Encoder:
     def _words(self, text: str, last: bool) -> tuple[bytes, str]:
         """Ids of the decided words, and the text that is still undecided."""
         found, at = [], 0
+        word, runs = PATTERNS[self._newer]
         if self._open is not None:  # inside a word that began earlier
-            run = self._run.match(text)
+            run = runs[self._run].match(text)
             at = run.end() if run else 0
-            if self._run is self._runs[3]:  # white space before a word leaves its last character to the word
+            if self._run == 3:  # white space before a word leaves its last character to the word
                 at -= bool(at) and not (last and at == len(text))
             elif at == len(text) and not last:
                 at = max(0, at - 1)
@@ -198,9 +236,9 @@ class Encoder:
                 return b"".join(found), text[at:]
             found.append(self._close_run())
         if last:
-            return b"".join([*found, *map(self._whole, self._word.findall(text, at))]), ""
+            return b"".join([*found, *map(self._whole, word.findall(text, at))]), ""
         decided = len(text) - UNDECIDED
-        for match in self._word.finditer(text, at):
+        for match in word.finditer(text, at):
             if match.end() > decided:
                 break
             found.append(self._whole(match.group()))
@@ -208,7 +246,7 @@ class Encoder:
         rest = text[at:]
         if len(rest) > KEPT_BYTES + UNDECIDED:  # one long word reaches the end: hand on what is certain of it
             lead = 1 if rest[0] == " " and not rest[1].isspace() else 0
-            self._run = next(r for r in self._runs if r.match(rest, lead))
+            self._run = next(k for k, r in enumerate(runs) if r.match(rest, lead))
             self._open = WordStream(self._merges)
             cut = len(rest) - UNDECIDED
             found.append(np.array(self._open.feed(rest[:cut].encode()), "<u4").tobytes())
@@ -230,17 +268,19 @@ class Encoder:
         yield ids
 
     def feed(self, part: str) -> bytes:
+        self._newer = self._newer or _has_newer(part)
         self._text += part
         return b"".join(self._pieces(False))
 
     def close(self) -> bytes:
-        return b"".join(self._pieces(True))
+        ids, self._newer = b"".join(self._pieces(True)), False
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, read in chunks; null counts as empty."""
         text = text or ""
         if len(text) <= CHUNK:
-            self._text = text
+            self._text, self._newer = text, _has_newer(text)
             return self.close()
         return b"".join([*[self.feed(text[i:i + CHUNK]) for i in range(0, len(text), CHUNK)], self.close()])
 

@@ -307,7 +307,10 @@ def _based(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sanitised(text: str | None, terms: list | None) -> str | None:
-    """The text with each span replaced: base kinds by their name, terms of digits by zeros, other terms by [...]."""
+    """The text with each span replaced: base kinds by their name, terms of digits by their number, other terms by [...].
+
+    What is put in holds no sign that a base pattern could join with the digits beside it.
+    """
     spans = _all_spans(text, terms)
     if not spans:
         return text
@@ -317,7 +320,7 @@ def sanitised(text: str | None, terms: list | None) -> str | None:
             at = max(at, end)
             continue
         word = text[start:end]
-        parts += [text[at:start], f"[{kind}]" if kind != "term" else "0" * len(word) if word.isdigit() else "[...]"]
+        parts += [text[at:start], f"[{kind}]" if kind != "term" else f"[{len(word)} digits]" if word.isdigit() else "[...]"]
         at = end
     return "".join([*parts, text[at:]])
 
