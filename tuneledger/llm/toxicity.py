@@ -2,12 +2,13 @@
 
 A text is a bag of terms: its lower-cased words, and the first letters of longer ones, which stand for a word
 with any ending. All terms of a bounded sample of labelled examples count, those of clean ones included: their
-document frequencies over all documents give TF-IDF weights, times what the term tells of the label in the sample
+document frequencies among the examples, the collection that is searched, give TF-IDF weights, times what the term tells of the label in the sample
 (log-likelihood ratio of either direction, relative to nothing but the sample, so few labels need no other bound).
 Examples become unit vectors; equal vectors are one entry that carries its numbers of either label. The inverted
-index lists the entries of a term, and the greatest weight of the term in each block of entries. A query sums the
-lists of its heaviest terms, then bounds what the others can add block by block, and finishes only the entries that
-may still be among the k best: the neighbours are exactly those of a full comparison.
+index lists the entries of a term, and the greatest weight of the term in each block of entries. The most common terms are
+dense columns that many queries meet in one product; of the others a query sums the lists of the heaviest, then bounds
+what is left block by block, and finishes only the entries that may still be among the k best: the neighbours are
+exactly those of a full comparison.
 
 Neighbours vote with their similarity as weight, and the share of examples of each label in the sample has one
 vote, so a text without any known term gets that share. Votes become probabilities by isotonic regression on
@@ -24,7 +25,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import sys
+import pickle
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,6 +39,8 @@ EXAMPLES = 6_000
 #: Words whose terms a worker keeps; at more it starts anew.
 KEPT_WORDS = 500_000
 NEIGHBOURS, BLOCK = 15, 64
+#: Terms that may have a dense column; texts whose queries meet them together.
+COMMON, TOGETHER = 512, 64
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 
@@ -123,8 +127,21 @@ class Index:
         first = np.flatnonzero(np.concatenate([[True], (terms_[1:] != terms_[:-1]) | (blocks[1:] != blocks[:-1])])) if len(terms_) else np.empty(0, int)
         self.block_starts, self.blocks = _lists(terms_[first], width), blocks[first]
         self.block_most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
-        self.most = np.zeros(width)
+        self.most, self._asked = np.zeros(width), np.zeros(width)
         np.maximum.at(self.most, terms_, self.weights)
+        # Terms of one entry in sixteen or more lie as columns of numbers, so that many queries meet them in one product.
+        sizes = np.diff(self.starts)
+        common = np.argsort(-sizes, kind="stable")[:COMMON]
+        common = common[sizes[common] * 16 >= max(len(self.ids), 16)]
+        self.column = np.full(width, -1)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(self.ids)))
+        for row, term in enumerate(common.tolist()):
+            at = slice(self.starts[term], self.starts[term + 1])
+            self.dense[row, self.entries[at]] = self.weights[at]
+        rare = self.column[self.row_terms] < 0
+        self.rare_starts = np.concatenate([[0], np.cumsum(rare)])[self.row_starts]
+        self.rare_terms, self.rare_weights = self.row_terms[rare], self.row_weights[rare]
 
     def entry(self, number: int) -> dict[int, float]:
         """The vector of an entry."""
@@ -140,29 +157,53 @@ class Index:
 
         ``without`` names an entry that counts one example less: it is left out if it has no other.
         """
-        if not query or not len(self.ids):
+        return self.search(np.array(list(query), np.int64), np.array(list(query.values()), float), k, without)
+
+    def common(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms, those with dense columns, add to the similarity of each query and entry."""
+        asked = np.zeros((len(queries), len(self.dense)))
+        for row, (which, weight) in enumerate(queries):
+            column = self.column[which]
+            asked[row, column[column >= 0]] = weight[column >= 0]
+        return asked @ self.dense
+
+    def search(self, which: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1,
+               common: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """As :meth:`nearest`, of term numbers and weights; ``common`` is the query's row of :meth:`common`, if it is known.
+
+        Of the other terms the heaviest are summed first; the block maxima tell what the rest can add to an entry, and
+        only entries that may still be among the k best are finished.
+        """
+        n = len(self.ids)
+        if not len(which) or not n:
             return []
-        which, weight = np.array(list(query), np.int64), np.array(list(query.values()), float)
+        scores = (self.common([(which, weight)])[0] if common is None else common).copy()
+        rare = self.column[which] < 0
+        which, weight = which[rare], weight[rare]
         order = np.argsort(-weight * self.most[which], kind="stable")
         which, weight = which[order], weight[order]
         lengths = self.starts[which + 1] - self.starts[which]
-        cut = int(np.searchsorted(np.cumsum(lengths), 4 * len(self.ids), side="right"))
-        scores, left = self._sums(which[:cut], weight[:cut]), int(lengths[cut:].sum())
+        cut = int(np.searchsorted(np.cumsum(lengths), 4 * n, side="right"))
+        scores += self._sums(which[:cut], weight[:cut])
+        left = int(lengths[cut:].sum())
         gone = without if without >= 0 and self.totals[without] <= 1 else -1
         if left:
-            at, n = _joined(self.block_starts, which[cut:])
-            more = np.bincount(self.blocks[at], self.block_most[at] * np.repeat(weight[cut:], n), -(-len(self.ids) // self.block))
-            bounds = scores + np.repeat(more, self.block)[:len(scores)]
+            at, sizes = _joined(self.block_starts, which[cut:])
+            more = np.bincount(self.blocks[at], self.block_most[at] * np.repeat(weight[cut:], sizes), -(-n // self.block))
+            bounds = scores + np.repeat(more, self.block)[:n]
             if gone >= 0:
                 scores[gone] = bounds[gone] = -1.0
-            least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
+            least = np.partition(scores, n - k)[n - k] if n > k else 0.0
             open_ = np.flatnonzero((bounds >= least - 1e-12) & (bounds > 0))
-            at, n = _joined(self.row_starts, open_)
+            at, sizes = _joined(self.rare_starts, open_)
             if len(at) < left:
-                asked = np.zeros(len(self.most))
-                asked[which] = weight
-                scores = np.zeros(len(scores))
-                scores[open_] = np.bincount(np.repeat(np.arange(len(open_)), n), self.row_weights[at] * asked[self.row_terms[at]], len(open_))
+                asked = self._asked
+                asked[which[cut:]] = weight[cut:]
+                rest = np.bincount(np.repeat(np.arange(len(open_)), sizes), self.rare_weights[at] * asked[self.rare_terms[at]], len(open_))
+                asked[which[cut:]] = 0.0
+                finished = np.zeros(n)
+                finished[open_] = scores[open_] + rest
+                scores = finished
             else:
                 scores += self._sums(which[cut:], weight[cut:])
         if gone >= 0:
@@ -187,7 +228,7 @@ class Model:
                 both.update(found.keys())
         self.idf = np.array([(math.log((documents + 1) / (frequency.get(t, 0) + 1)) + 1) * (_tells(both[t], seen[t], positive, total) if seen[t] else 0)
                              for t in vocabulary])
-        self._kept: dict[str, tuple[int, ...]] = {}
+        self._forget()
         entries: dict[bytes, list] = {}
         for key, found, label in sorted(examples, key=lambda e: e[0]):
             vector = self.vector({self.vocabulary[t]: n for t, n in found.items() if t in self.vocabulary})
@@ -203,7 +244,23 @@ class Model:
         self._calibrate(entries.get(b""))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_kept": {}}
+        left_out = ("_kept", "_starts", "_terms", "_places")
+        return {k: v for k, v in self.__dict__.items() if k not in left_out}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Keep no word: the terms of kept words lie one behind the other, those of a word between two starts."""
+        self._kept: dict[str, int] = {}
+        self._starts, self._terms = array("q", [0]), array("i")
+
+    def _learn(self, words: set[str]) -> None:
+        for word in words:
+            self._kept[word] = len(self._starts) - 1
+            self._terms.extend([self.vocabulary[t] for t in terms(word) if t in self.vocabulary])
+            self._starts.append(len(self._terms))
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
         """Unit vector of the weights of term counts; terms of weight 0 are absent."""
@@ -214,20 +271,24 @@ class Model:
         norm = math.sqrt(float(raw @ raw))
         return {i: w / norm for i, w in zip(which.tolist(), raw.tolist()) if w > 0} if norm else {}
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        """Numbers of the known terms of a text, and their counts."""
-        counts: dict[int, int] = {}
-        for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            if (known := self._kept.get(word)) is None:
-                if len(self._kept) > KEPT_WORDS:
-                    self._kept.clear()
-                known = self._kept[word] = tuple(self.vocabulary[t] for t in terms(word) if t in self.vocabulary)
-            for i in known:
-                counts[i] = counts.get(i, 0) + n
-        return counts
-
-    def query(self, text: str | None) -> dict[int, float]:
-        return self.vector(self.counts(text))
+    def query(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the known terms of a text, as a unit vector; terms of weight 0 are absent."""
+        words = _WORD.findall((text or "").lower())
+        if len(self._kept) > KEPT_WORDS:
+            self._forget()
+        if new := set(words).difference(self._kept):
+            self._learn(new)
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0)
+        places, n = np.unique(np.fromiter(map(self._kept.__getitem__, words), np.int64, len(words)), return_counts=True)
+        starts, held = np.frombuffer(self._starts, np.int64), np.frombuffer(self._terms, np.int32) if self._terms else np.zeros(0, np.int32)
+        at, sizes = _joined(starts, places)
+        which, place = np.unique(held[at], return_inverse=True)
+        counts = np.bincount(place, np.repeat(n, sizes), len(which))
+        raw = (1 + np.log(counts)) * self.idf[which]
+        norm = math.sqrt(float(raw @ raw))
+        some = raw > 0
+        return which[some].astype(np.int64), raw[some] / norm if norm else raw[some]
 
     def _vote(self, near: list[tuple[int, float]], without: tuple[int, int] = (-1, 0)) -> float:
         votes, weight = self.base, 1.0
@@ -261,11 +322,44 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         """Probability of label 1, and the ids of the examples that it rests on."""
-        near = self.index.nearest(self.query(text))
-        if not near or not len(self.steps):
-            return float(self.blank), []
-        at = int(np.searchsorted(self.steps, self._vote(near), side="right")) - 1
-        return float(self.levels[max(at, 0)]), [self.index.ids[e] for e, _ in near]
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """As :meth:`score`, of many texts; equal ones are looked up once."""
+        found: dict[str, tuple[float, list[int]]] = {}
+        once = list(dict.fromkeys(t or "" for t in texts))
+        for first in range(0, len(once), TOGETHER):
+            some = once[first:first + TOGETHER]
+            queries = [self.query(t) for t in some]
+            for t, query, common in zip(some, queries, self.index.common(queries)):
+                near = self.index.search(*query, common=common)
+                if not near or not len(self.steps):
+                    found[t] = float(self.blank), []
+                    continue
+                at = int(np.searchsorted(self.steps, self._vote(near), side="right")) - 1
+                found[t] = float(self.levels[max(at, 0)]), [self.index.ids[e] for e, _ in near]
+        return [found[t or ""] for t in texts]
+
+
+class Fitted:
+    """A model as the bytes that a task made of it: the driver hands them on and opens them only to score texts itself."""
+
+    def __init__(self, data: bytes):
+        self.data, self.name = data, hashlib.sha256(data).hexdigest()
+
+    def score(self, text: str | None) -> tuple[float, list[int]]:
+        return _opened(self.name, self.data).score(text)
+
+
+_OPEN: dict[str, Model] = {}
+
+
+def _opened(name: str, data: bytes) -> Model:
+    """The model of some bytes; a worker keeps the last one open."""
+    if name not in _OPEN:
+        _OPEN.clear()
+        _OPEN[name] = pickle.loads(data)
+    return _OPEN[name]
 
 
 def held_out(key: str = "doc_id"):
@@ -274,51 +368,39 @@ def held_out(key: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-        examples: int = EXAMPLES) -> Model:
+        examples: int = EXAMPLES) -> Fitted:
     """Fit on at most ``examples`` labelled documents outside the held-out part, those of least key hash.
 
-    The driver gets that sample's terms and a count for each of them.
+    One task makes the model of that sample; the driver gets its bytes. Of several labels of one id the greater
+    counts, of several texts the least.
     """
     known = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where(
         "id IS NOT NULL AND label IN (0, 1)").where(~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(examples)
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Texts of a bounded number of ids, each once.
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = [terms(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["label"], pa.array([list(c) for c in some], pa.list_(pa.string())),
-                 pa.array([list(c.values()) for c in some], pa.list_(pa.int32()))], ["id", "label", "terms", "counts"])
-
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    schema = "id long, label int, terms array<string>, counts array<int>"
-    rows = texts.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(bags, schema)
-    once = {r["id"]: (dict(zip(map(sys.intern, r["terms"]), r["counts"])), r["label"]) for r in rows.toLocalIterator()}
-    vocabulary = chosen_terms(list(once.values()))
-    shared = docs.sparkSession.sparkContext.broadcast(Model([], vocabulary, {}, 0))  # bounded as the sample is
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(len(vocabulary), np.int64), 0
-        for batch in batches:
-            for t in batch["text"].to_pylist():
-                counts[list(shared.value.counts(t))] += 1
-                n += 1
-        there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([*there, -1], pa.int32()), pa.array([*counts[there], n], pa.int64())], ["term", "n"])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        bags = [(i, terms(t), y) for i, y, t in held]
+        vocabulary, frequency = chosen_terms([(c, y) for _, c, y in bags]), Counter()
+        for _, c, _ in bags:
+            frequency.update(c.keys())
+        model = Model(bags, vocabulary, frequency, len(bags))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    counted = texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    found = dict(zip(counted["term"].to_pylist(), counted["n"].to_pylist()))
-    return Model([(i, c, y) for i, (c, y) in once.items()], vocabulary,
-                 {t: found.get(i, 0) for i, t in enumerate(vocabulary)}, found.get(-1, 0))
+    made = rows.select("id", "label", "text").repartition(1).mapInArrow(learn, "model binary").first()
+    return Fitted(bytes(made["model"]) if made else pickle.dumps(Model([], [], {}, 0)))
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Fitted, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document: key, ``held_out``, ``score``, ``predicted`` and ``evidence`` (ids of the neighbours)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES texts
+    shared, name = docs.sparkSession.sparkContext.broadcast(model.data), model.name  # bounded by EXAMPLES texts
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.score(t) for t in batch["text"].to_pylist()]
+            found = _opened(name, shared.value).scores(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["held_out"], pa.array([f[0] for f in found], pa.float64()),
                  pa.array([int(f[0] >= threshold) for f in found], pa.int32()),
@@ -329,12 +411,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return wanted.mapInArrow(rows, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
 
 
-def keep(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def keep(docs: DataFrame, model: Fitted, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents scored below the threshold, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model.data), model.name
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(t)[0] < threshold for t in batch[text].to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([p < threshold for p, _ in _opened(name, shared.value).scores(batch[text].to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)
