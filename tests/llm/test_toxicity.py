@@ -10,8 +10,10 @@ from tuneledger.llm import queries, toxicity
 from tuneledger.llm.toxicity import Index, Model, chosen_terms, terms
 
 
+@pytest.mark.parametrize("straight", [0, 32])
 @pytest.mark.parametrize("seed", range(6))
-def test_neighbours_are_those_of_a_full_comparison(seed):
+def test_neighbours_are_those_of_a_full_comparison(seed, straight, monkeypatch):
+    monkeypatch.setattr(toxicity, "STRAIGHT", straight)
     rnd = np.random.default_rng(seed)
     n, width = int(rnd.integers(1, 300)), 12
     vectors = rnd.random((n, width)) * (rnd.random((n, width)) < 0.3)

@@ -39,8 +39,10 @@ EXAMPLES = 6_000
 #: Words whose terms a worker keeps; at more it starts anew.
 KEPT_WORDS = 500_000
 NEIGHBOURS, BLOCK = 15, 64
-#: Terms that may have a dense column; texts whose queries meet them together.
-COMMON, TOGETHER = 512, 64
+#: Terms that may have a dense column, those of one entry in so many; texts whose queries meet them together.
+COMMON, IN_ONE_OF, TOGETHER = 512, 16, 64
+#: Postings per entry that are summed straight away: to bound fewer would cost as much.
+STRAIGHT = 32
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 
@@ -129,10 +131,10 @@ class Index:
         self.block_most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
         self.most, self._asked = np.zeros(width), np.zeros(width)
         np.maximum.at(self.most, terms_, self.weights)
-        # Terms of one entry in sixteen or more lie as columns of numbers, so that many queries meet them in one product.
+        # The most common terms lie as columns of numbers, so that many queries meet them in one product.
         sizes = np.diff(self.starts)
         common = np.argsort(-sizes, kind="stable")[:COMMON]
-        common = common[sizes[common] * 16 >= max(len(self.ids), 16)]
+        common = common[sizes[common] * IN_ONE_OF >= max(len(self.ids), IN_ONE_OF)]
         self.column = np.full(width, -1)
         self.column[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), len(self.ids)))
@@ -180,10 +182,12 @@ class Index:
         scores = (self.common([(which, weight)])[0] if common is None else common).copy()
         rare = self.column[which] < 0
         which, weight = which[rare], weight[rare]
-        order = np.argsort(-weight * self.most[which], kind="stable")
-        which, weight = which[order], weight[order]
         lengths = self.starts[which + 1] - self.starts[which]
-        cut = int(np.searchsorted(np.cumsum(lengths), 4 * n, side="right"))
+        cut = len(which)
+        if lengths.sum() > STRAIGHT * n:
+            order = np.argsort(-weight * self.most[which], kind="stable")
+            which, weight, lengths = which[order], weight[order], lengths[order]
+            cut = int(np.searchsorted(np.cumsum(lengths), 4 * n, side="right"))
         scores += self._sums(which[:cut], weight[:cut])
         left = int(lengths[cut:].sum())
         gone = without if without >= 0 and self.totals[without] <= 1 else -1
