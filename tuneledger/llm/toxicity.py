@@ -366,6 +366,30 @@ def _opened(name: str, data: bytes) -> Model:
     return _OPEN[name]
 
 
+class _Bag:
+    """The counts of a text's terms as two arrays; the terms' names are kept once for all texts."""
+
+    __slots__ = ("_names", "_which", "_n")
+
+    def __init__(self, counts: Counter, numbers: dict[str, int], names: list[str]):
+        for t in counts:
+            if t not in numbers:
+                numbers[t] = len(names)
+                names.append(t)
+        self._names = names
+        self._which = np.fromiter(map(numbers.__getitem__, counts), np.int32, len(counts))
+        self._n = np.fromiter(counts.values(), np.int32, len(counts))
+
+    def __iter__(self) -> Iterator[str]:
+        return map(self._names.__getitem__, self._which.tolist())
+
+    def keys(self) -> list[str]:
+        return list(self)
+
+    def items(self) -> Iterator[tuple[str, int]]:
+        return zip(self, self._n.tolist())
+
+
 def held_out(key: str = "doc_id"):
     """Documents whose labels are never learned from; a null key counts as held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(True))
@@ -387,7 +411,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-        bags = [(i, terms(t), y) for i, y, t in held]
+        numbers, names = {}, []
+        bags = [(i, _Bag(terms(t), numbers, names), y) for i, y, t in held]
         vocabulary, frequency = chosen_terms([(c, y) for _, c, y in bags]), Counter()
         for _, c, _ in bags:
             frequency.update(c.keys())
