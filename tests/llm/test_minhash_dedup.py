@@ -63,8 +63,7 @@ def edited(rnd, words, n):
 
 
 @pytest.mark.parametrize("percent", [80, 85])
-def test_groups_chains_and_boilerplate(spark, documents, monkeypatch, percent):
-    monkeypatch.setattr(minhash_dedup, "LEADERS", 20)
+def test_groups_chains_and_boilerplate(spark, documents, percent):
     rnd = random.Random(percent)
     rows, base = [], [f"b{i}" for i in range(300)]
     rows += [(i, edited(rnd, base, rnd.randint(0, 9))) for i in range(60)]  # links around the threshold
@@ -146,6 +145,49 @@ def test_classes_left_out_have_no_link(spark, percent):
     assert linked <= left < set(found)
 
 
+def around(rnd, n_words, n, least, most):
+    """Sets of edited texts, and of a second family that changed a passage of the first."""
+    base = [f"b{i}" for i in range(n_words)]
+    other = [*base[:n_words // 2], *[f"o{i}" for i in range(n_words // 20)], *base[n_words // 2 + n_words // 20:]]
+    texts = [edited(rnd, (base, other)[i % 2][:rnd.randint(n_words * 9 // 10, n_words)], rnd.randint(least, most)) for i in range(n)]
+    return dict(enumerate(minhash_dedup.shingles(t) for t in texts))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_links_meet_in_what_sets_them_apart(spark, percent):
+    rnd = random.Random(percent)
+    found = around(rnd, 200, 90, 0, 7)
+    sets = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in found.items()], "id long, hashes binary")
+    for leader in (0, 1):
+        members = spark.createDataFrame([(leader, i, len(s)) for i, s in found.items()], "bucket long, id long, n long")
+        rows = minhash_dedup.apart(members, sets, percent).collect()
+        held = {(k, i): {r["hash"] for r in rows if r["id"] == i and r[k]} for k in ("among", "alone") for i in found}
+        far = {i for i, s in found.items() if 100 * len(np.intersect1d(s, found[leader])) < percent * len(np.union1d(s, found[leader]))}
+        assert {r["id"] for r in rows if r["far"]} <= far and 0 < len(far) < len(found)
+        links = met = pairs = 0
+        for a in found:
+            for b in found:
+                if a == b or b not in far or (a in far and a > b):
+                    continue
+                both = len(np.intersect1d(found[a], found[b]))
+                link = 100 * both >= percent * (len(found[a]) + len(found[b]) - both)
+                meet = bool(held["among", a] & held["among" if a in far else "alone", b])
+                assert meet or not link, (a, b)
+                links, met, pairs = links + link, met + meet, pairs + 1
+        assert 0 < links <= met < pairs
+
+
+def test_group_around_the_threshold(spark, documents):
+    rnd = random.Random(3)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(150):
+        rows.append((i, edited(rnd, base, rnd.randint(1, 4))))
+    for i in range(150, 160):  # links of one another, not of most others
+        rows.append((i, edited(rnd, rows[7][1].split(), 1 + i % 2)))
+    rnd.shuffle(rows)
+    agrees(minhash_dedup.classes(spark, documents(rows), fresh_dir, percent=85).collect(), rows, 85)
+
+
 def test_an_id_with_several_texts(spark, documents):
     words = [f"w{i}" for i in range(60)]
     a, b, c = "p q r s t u v", " ".join(words), " ".join([*words[:59], "other"])

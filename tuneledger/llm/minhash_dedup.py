@@ -9,14 +9,18 @@ of shingles and coordinates. Coordinates are banded so that a pair at the thresh
 a probability below ``MISSED``.
 
 Documents with equal sets are one class, named by 64 bits of the set's digest. Pairs are not listed within a bucket.
-First the least class of a bucket is compared with all others, and the components of the links found are
-computed. Then only classes of different components can matter: of those outside the largest component of
-their bucket, ``LEADERS`` per bucket and round are compared with the classes of other components, until none is
-left that has not been compared. Before that, classes that can have no link are left out: similar sets share so
-many shingles that a class with too many of its own, which no other class in question holds, is similar to none.
-This takes two sums over shingles, no pairs, and is exact. Pairs whose sizes or sketch bits are too unlike for the threshold are ruled out
-within the join of a bucket. Links are confirmed on whole sets of 64-bit shingle hashes. Every link of two
-classes that share a band is thus found or implied by components, at a linear number of pairs per round.
+First the least class of a bucket, its leader, is compared with all others, and the components of the links found
+are computed. Then only classes of different components can matter, and only in groups around a leader. Of two
+linked classes that are in different components, one at least is no link of the leader. Their difference is
+small, those to the leader are not, so what sets them apart from the leader must be shared for a good part: with
+q = (100 - percent) / (100 + percent), sets x and y are similar if and only if |x ^ y| <= q(|x| + |y|), and their
+differences D to the leader L share (|D(x)| + |D(y)| - |x ^ y|) / 2 shingles. That gives each class a number of
+shared shingles that it needs, and the rarest of D, all but that number less one, are joined: every link meets
+there, while passages that a whole group has in common are in no D. Before that, classes that can have no link
+are left out: similar sets share so many shingles that a class with too many of its own, which no other class in
+question holds, is similar to none. Both take sums over shingles and are exact. Pairs whose sizes or sketch bits
+are too unlike for the threshold are ruled out within the joins. Links are confirmed on whole sets of 64-bit
+shingle hashes. Every link of two classes that share a band is thus found or implied by components.
 
 Defined results: words are cut at ASCII white space and A-Z are lower-cased; a text with fewer words than a
 shingle is one shingle, a text without words or a null text has none and links with nothing; rows that repeat a
@@ -34,15 +38,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tuneledger.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
 #: Coordinates of a band, and the greatest probability that a pair at the threshold shares no band.
 BAND, MISSED = 5, 1e-6
-#: Classes of a bucket that are compared with the others of their bucket in one round.
-LEADERS = 1024
 #: Coordinates of which one bit each is compared before sets are, and the greatest probability that a pair at the
 #: threshold differs in more of these bits than ``most_unlike`` allows.
 BITS, UNLIKE = 512, 1e-9
@@ -263,6 +265,56 @@ def may_link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.join(able.select("id"), "id", "left_semi")
 
 
+def apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """What sets each class of ``members`` (``bucket, id, n``) apart from its leader, the class that ``bucket`` names.
+
+    Rows ``bucket, id, hash, far, alone, among``: ``far`` tells that the class is no link of the leader. With a class that is far,
+    a link is met among the shingles marked ``among``; a far class meets the others among those marked ``alone``, too.
+    The rarest in the group come first. Shingles that only one class of the group has are left out.
+
+    For a far y, |D(y)| > q(|y| + |L|), so a link with it shares more than (|D(x)| - q(|x| - |L|)) / 2. For any y,
+    |D(y)| - q|y| is at least -q|L|, so a link with it shares (|D(x)| - q(|x| + |L|)) / 2 or more, which is above zero for a far x.
+    """
+    whole, part = 100 + percent, 100 - percent
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed(told: list[tuple], found: list[np.ndarray]) -> pa.RecordBatch:
+            times, columns = [len(f) for f in found], zip(*told)
+            types = [("bucket", np.int64), ("id", np.int64), ("far", np.bool_), ("among", np.int32), ("alone", np.int32)]
+            each = {name: pa.array(np.repeat(np.array(c, t), times)) for (name, t), c in zip(types, columns)}
+            each["hash"] = pa.array(np.concatenate(found))
+            names = ["bucket", "id", "hash", "far", "among", "alone"]
+            return pa.RecordBatch.from_arrays([each[n] for n in names], names)
+
+        told, found, size = [], [], 0
+        for batch in batches:
+            last, first = None, np.empty(0, np.uint64)
+            for bucket, i, x, y in zip(batch["bucket"].to_pylist(), batch["id"].to_pylist(), batch["leading"], batch["hashes"]):
+                if bucket != last:
+                    last, first = bucket, np.frombuffer(x.as_buffer(), np.uint64)
+                other = np.frombuffer(y.as_buffer(), np.uint64)
+                found.append(np.setxor1d(first, other, assume_unique=True).view(np.int64))
+                d, n, m = len(found[-1]), len(other), len(first)
+                far = whole * d > part * (n + m)
+                among = d - (whole * d + part * (m - n)) // (2 * whole)
+                alone = d + 1 - max(1, -(-(whole * d - part * (n + m)) // (2 * whole))) if far else 0
+                told.append((bucket, i, far, among, alone))
+                size += d
+                if size > THROWN:
+                    yield closed(told, found)
+                    told, found, size = [], [], 0
+        if told:
+            yield closed(told, found)
+
+    leading = sets.select(F.col("id").alias("bucket"), F.col("hashes").alias("leading"))
+    found = members.select("bucket", "id").join(sets, "id").join(leading, "bucket").select("bucket", "id", "leading", "hashes").mapInArrow(
+        rows, "bucket long, id long, hash long, far boolean, among int, alone int")
+    counted = found.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("bucket", "hash")))
+    placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("bucket", "id").orderBy("held", "hash")))
+    return placed.where("held > 1 AND place <= greatest(among, alone)").select(
+        "bucket", "id", "hash", "far", F.expr("place <= alone").alias("alone"), F.expr("place <= among").alias("among"))
+
+
 def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSession, str], str], key: str = "doc_id",
             text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id, kept``."""
@@ -294,57 +346,41 @@ def _labelled(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSe
     sets = stored(_sets(docs, key, text, ids.join(members.select("id").distinct(), "id", "left_semi")), "sets")
     columns, limit = ("n", *BIT_COLUMNS), most_unlike(percent)
     unlike = " + ".join(f"bit_count({c} ^ {c}_one)" for c in BIT_COLUMNS)
+    alike = f"100 * least(n, n_one) >= {percent} * greatest(n, n_one) AND {unlike} <= {limit}"
 
-    def as_leader(frame: DataFrame, *more: str) -> DataFrame:
-        return frame.select("bucket", F.col("id").alias("one"), *[F.col(c).alias(f"{c}_one") for c in (*columns, *more)])
+    def as_one(frame: DataFrame, *more: str) -> DataFrame:
+        return frame.select(F.col("bucket").alias("shared"), F.col("id").alias("one"), *[F.col(c).alias(f"{c}_one") for c in (*columns, *more)])
 
-    def confirmed(leaders: DataFrame, others: DataFrame, condition: str, last: str = "true") -> DataFrame:
-        """Links of leaders with others of their bucket. Sizes and bits rule out pairs within the join, before ``last`` is asked."""
-        alike = F.expr(f"100 * least(n, n_one) >= {percent} * greatest(n, n_one) AND {condition} AND "
-                       f"{unlike} <= {limit} AND {last}")
-        met = leaders.withColumnRenamed("bucket", "shared").join(others, (F.col("bucket") == F.col("shared")) & alike)
+    def confirmed(met: DataFrame) -> DataFrame:
         pairs = met.select(F.least("one", "id").alias("a"), F.greatest("one", "id").alias("b")).distinct()
         return stored(_confirmed(pairs, sets, percent), "links")
 
     def unsettled(named: DataFrame) -> DataFrame:
-        """The buckets that hold classes of several components, with the largest of these as ``home``."""
-        sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
-        home = sizes.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("home"),
-                                           F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-        return named.join(home, "bucket")
-
-    leaders = members.where("id = leader")
-    links = confirmed(as_leader(leaders), members, "id <> one")
-    done, members, number = leaders.select("bucket", "id"), members.select("bucket", "id", *columns), 1
-    labels, new, left = components(spark, links, fresh_dir), True, LEADERS + 1
-    while left > LEADERS:
-        if new:
-            named = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-                "bucket", "id", *columns, F.coalesce("component", "id").alias("component"))
-            members = stored(unsettled(named), "buckets")
-            for _ in range(PRUNED):
-                members = stored(unsettled(may_link(members.drop("home"), sets, percent)), "buckets")
-            # At most one bucket per band. A pair meets in several; the least of those they share is where it is compared.
-            shared = members.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
-            members = stored(members.join(shared, "id"), "buckets")
-        waiting = members.where("component <> home").join(done, ["bucket", "id"], "left_anti")
-        counts = waiting.groupBy("bucket").agg(F.count(F.lit(1)).alias("waiting"))
-        due = F.pmod(F.xxhash64("id", F.lit(number)), F.ceil(F.col("waiting") / LEADERS)) == 0
-        counted = stored(waiting.join(counts, "bucket").select(
-            "bucket", "id", *columns, "component", "buckets", "waiting", due.alias("due")), "leaders")
-        # The most that wait in a bucket: if they are no more than one round takes, this round is the last.
-        left, leaders = counted.agg(F.coalesce(F.max("waiting"), F.lit(0))).first()[0], counted.where("due")
-        if left == 0:
-            break
-        found_links = confirmed(as_leader(leaders, "component", "buckets"), members, "component <> component_one",
-                                "array_min(array_intersect(buckets, buckets_one)) = bucket")
-        if new := not found_links.isEmpty():
-            links = links.union(found_links)
-            labels = components(spark, links, fresh_dir)
-        if left > LEADERS:
-            done, number = stored(done.union(leaders.select("bucket", "id")), "done"), number + 1
-            if new:
-                members = members.select("bucket", "id", *columns)  # components and buckets have changed
+        """The groups that hold classes of several components."""
+        parts = named.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+        return named.join(parts.select("bucket"), "bucket")
+
+    links = confirmed(as_one(members.where("id = leader")).join(members, F.expr(f"bucket = shared AND id <> one AND {alike}")))
+    labels = components(spark, links, fresh_dir)
+    # Buckets with the same leader are one group from here on, named by the leader.
+    grouped = members.select(F.col("leader").alias("bucket"), "id", *columns).distinct()
+    named = grouped.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    left = stored(unsettled(named), "groups")
+    for _ in range(PRUNED):
+        left = stored(unsettled(may_link(left, sets, percent)), "groups")
+    if not left.isEmpty():
+        # A pair meets in several groups; the least of those they share is where it is compared.
+        told = left.join(left.groupBy("id").agg(F.collect_list("bucket").alias("groups")), "id")
+        found_apart = stored(apart(left, sets, percent).join(told, ["bucket", "id"]), "apart")
+        rare, far = found_apart.where("among"), found_apart.where("far")
+        once = (f"bucket = shared AND hash = hash_one AND component <> component_one AND {alike} AND "
+                "array_min(array_intersect(groups, groups_one)) = bucket")
+        more = ("hash", "component", "groups")
+        both = as_one(far.where("among"), *more).join(far.where("among"), F.expr(f"{once} AND id > one"))
+        one = as_one(rare.where("NOT far"), *more).join(far.where("alone"), F.expr(once))
+        found_links = confirmed(both.select("one", "id").union(one.select("one", "id")))
+        if not found_links.isEmpty():
+            labels = components(spark, links.union(found_links), fresh_dir)
     # A document's class is its set; a component has the id of its least document.
     of = least.join(labels.withColumnRenamed("node", "set_a"), "set_a", "left").withColumn("label", F.coalesce("component", "set_a")).drop("component")
     names = of.groupBy("label").agg(F.min("least").alias("named"))
