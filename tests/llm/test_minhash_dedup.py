@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 from conftest_llm import EDGES
+from pyspark.sql import functions as F
 from tuneledger.llm import minhash_dedup
 from tuneledger.llm.components import components
 from tuneledger.session import fresh_dir
@@ -158,23 +159,25 @@ def test_links_meet_in_what_sets_them_apart(spark, percent):
     rnd = random.Random(percent)
     found = around(rnd, 200, 90, 0, 7)
     sets = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in found.items()], "id long, hashes binary")
-    for leader in (0, 1):
-        members = spark.createDataFrame([(leader, i, len(s)) for i, s in found.items()], "bucket long, id long, n long")
-        rows = minhash_dedup.apart(members, sets, percent).collect()
-        held = {(k, i): {r["hash"] for r in rows if r["id"] == i and r[k]} for k in ("among", "alone") for i in found}
-        far = {i for i, s in found.items() if 100 * len(np.intersect1d(s, found[leader])) < percent * len(np.union1d(s, found[leader]))}
-        assert {r["id"] for r in rows if r["far"]} <= far and 0 < len(far) < len(found)
-        links = met = pairs = 0
-        for a in found:
-            for b in found:
-                if a == b or b not in far or (a in far and a > b):
-                    continue
-                both = len(np.intersect1d(found[a], found[b]))
-                link = 100 * both >= percent * (len(found[a]) + len(found[b]) - both)
-                meet = bool(held["among", a] & held["among" if a in far else "alone", b])
-                assert meet or not link, (a, b)
-                links, met, pairs = links + link, met + meet, pairs + 1
-        assert 0 < links <= met < pairs
+    members = spark.createDataFrame([(1, i) for i in found], "bucket long, id long")
+    seen = minhash_dedup.apart(members, sets, percent)
+    hub = minhash_dedup.hubs(seen)
+    of, size = hub.first(), {r["id"]: r["e"] for r in seen.collect()}
+
+    def link(a, b):
+        both = len(np.intersect1d(found[a], found[b]))
+        return 100 * both >= percent * (len(found[a]) + len(found[b]) - both)
+
+    near = {i for i in found if size[i] + of["least"] <= 0}
+    assert all(i == of["hub"] or link(i, of["hub"]) for i in near) and 0 < len(near) < len(found)
+    rows = minhash_dedup.meeting(seen, hub, percent)
+    one = rows.select(*[F.col(c).alias(f"{c}_one") for c in rows.columns])
+    kind = "((far AND far_one AND among AND among_one) OR (far AND alone AND NOT far_one AND among_one))"
+    met = {frozenset((r["id"], r["id_one"])) for r in rows.join(one, F.expr(
+        f"hash = hash_one AND id <> id_one AND {kind} AND {minhash_dedup.meets(percent)}")).collect()}
+    pairs = {frozenset((a, b)) for a in found for b in found if a != b and not {a, b} <= near}
+    links = {p for p in pairs if link(*p)}
+    assert links <= met < pairs and links
 
 
 def test_group_around_the_threshold(spark, documents):

@@ -10,16 +10,16 @@ a probability below ``MISSED``.
 
 Documents with equal sets are one class, named by 64 bits of the set's digest. Pairs are not listed within a bucket.
 First the least class of a bucket, its leader, is compared with all others, and the components of the links found
-are computed. Then only classes of different components can matter, and only in groups around a leader. Of two
-linked classes that are in different components, one at least is no link of the leader. Their difference is
-small, those to the leader are not, so what sets them apart from the leader must be shared for a good part: with
-q = (100 - percent) / (100 + percent), sets x and y are similar if and only if |x ^ y| <= q(|x| + |y|), and their
-differences D to the leader L share (|D(x)| + |D(y)| - |x ^ y|) / 2 shingles. That gives each class a number of
-shared shingles that it needs, and the rarest of D, all but that number less one, are joined: every link meets
-there, while passages that a whole group has in common are in no D. Before that, classes that can have no link
-are left out: similar sets share so many shingles that a class with too many of its own, which no other class in
-question holds, is similar to none. Both take sums over shingles and are exact. Pairs whose sizes or sketch bits
-are too unlike for the threshold are ruled out within the joins. Links are confirmed on whole sets of 64-bit
+are computed. Then only classes of different components can matter; buckets with the same leader are one group.
+Classes that can have no link are left out: similar sets share so many shingles that a class with too many of its
+own, which no other class in question holds, is similar to none. The others are seen as differences D(x) = x ^ C
+to the group's centre C, the shingles that most of some of its members hold. With q = (100 - percent) / (100 + percent),
+x and y are similar if and only if |x ^ y| <= q(|x| + |y|). Let e(x) = |D(x)| - q|x|. As |x ^ y| <= |D(x)| + |D(y)|,
+classes with e(x) + e(y) <= 0 are linked; this links many with the class of the least e, the hub. Where the sum is
+above zero, a link needs (e(x) + e(y)) / 2 shingles in both D(x) and D(y). So it is enough to join the rarest shingles
+of D, all but that number less one: every link meets there, while passages that the group has in common are in no D.
+This takes sums over shingles and is exact, whatever the centre. Pairs whose sizes or sketch bits are too
+unlike for the threshold are ruled out within the joins. Links that meet are confirmed on whole sets of 64-bit
 shingle hashes. Every link of two classes that share a band is thus found or implied by components.
 
 Defined results: words are cut at ASCII white space and A-Z are lower-cased; a text with fewer words than a
@@ -50,6 +50,8 @@ BAND, MISSED = 5, 1e-6
 BITS, UNLIKE = 512, 1e-9
 #: Times that classes with too many shingles of their own are looked for; leaving some out gives others more of their own.
 PRUNED = 2
+#: Members of a group whose common shingles are its centre; the result does not depend on it.
+CENTRAL = 15
 #: Columns of 64 such bits each.
 BIT_COLUMNS = [f"bits_{k}" for k in range(BITS // 64)]
 #: Words whose hashes a worker keeps; at more it starts anew.
@@ -265,54 +267,65 @@ def may_link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.join(able.select("id"), "id", "left_semi")
 
 
-def apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """What sets each class of ``members`` (``bucket, id, n``) apart from its leader, the class that ``bucket`` names.
+def _centres(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``bucket, centre``: the shingles that more than half of ``CENTRAL`` members of a group hold. Any set would do; a common one is best."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, held in zip(batch["bucket"].to_pylist(), batch["held"].to_pylist()):
+                hashes, times = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in held]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array(
+                    [hashes[2 * times > len(held)].tobytes()], pa.binary())], ["bucket", "centre"])
 
-    Rows ``bucket, id, hash, far, alone, among``: ``far`` tells that the class is no link of the leader. With a class that is far,
-    a link is met among the shingles marked ``among``; a far class meets the others among those marked ``alone``, too.
-    The rarest in the group come first. Shingles that only one class of the group has are left out.
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id"))
+    some = members.select("bucket", "id").withColumn("place", place).where(F.col("place") <= CENTRAL)
+    return some.join(sets, "id").groupBy("bucket").agg(F.collect_list("hashes").alias("held")).mapInArrow(rows, "bucket long, centre binary")
 
-    For a far y, |D(y)| > q(|y| + |L|), so a link with it shares more than (|D(x)| - q(|x| - |L|)) / 2. For any y,
-    |D(y)| - q|y| is at least -q|L|, so a link with it shares (|D(x)| - q(|x| + |L|)) / 2 or more, which is above zero for a far x.
-    """
-    whole, part = 100 + percent, 100 - percent
 
+def apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``bucket, id, e, differs``: what sets each class of ``members`` (``bucket, id``) apart from its group's centre, and e(x) times 100 + percent."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def closed(told: list[tuple], found: list[np.ndarray]) -> pa.RecordBatch:
-            times, columns = [len(f) for f in found], zip(*told)
-            types = [("bucket", np.int64), ("id", np.int64), ("far", np.bool_), ("among", np.int32), ("alone", np.int32)]
-            each = {name: pa.array(np.repeat(np.array(c, t), times)) for (name, t), c in zip(types, columns)}
-            each["hash"] = pa.array(np.concatenate(found))
-            names = ["bucket", "id", "hash", "far", "among", "alone"]
-            return pa.RecordBatch.from_arrays([each[n] for n in names], names)
-
-        told, found, size = [], [], 0
         for batch in batches:
-            last, first = None, np.empty(0, np.uint64)
-            for bucket, i, x, y in zip(batch["bucket"].to_pylist(), batch["id"].to_pylist(), batch["leading"], batch["hashes"]):
+            last, centre, found, e = None, np.empty(0, np.uint64), [], []
+            for bucket, c, x in zip(batch["bucket"].to_pylist(), batch["centre"], batch["hashes"]):
                 if bucket != last:
-                    last, first = bucket, np.frombuffer(x.as_buffer(), np.uint64)
-                other = np.frombuffer(y.as_buffer(), np.uint64)
-                found.append(np.setxor1d(first, other, assume_unique=True).view(np.int64))
-                d, n, m = len(found[-1]), len(other), len(first)
-                far = whole * d > part * (n + m)
-                among = d - (whole * d + part * (m - n)) // (2 * whole)
-                alone = d + 1 - max(1, -(-(whole * d - part * (n + m)) // (2 * whole))) if far else 0
-                told.append((bucket, i, far, among, alone))
-                size += d
-                if size > THROWN:
-                    yield closed(told, found)
-                    told, found, size = [], [], 0
-        if told:
-            yield closed(told, found)
-
-    leading = sets.select(F.col("id").alias("bucket"), F.col("hashes").alias("leading"))
-    found = members.select("bucket", "id").join(sets, "id").join(leading, "bucket").select("bucket", "id", "leading", "hashes").mapInArrow(
-        rows, "bucket long, id long, hash long, far boolean, among int, alone int")
-    counted = found.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("bucket", "hash")))
+                    last, centre = bucket, np.frombuffer(c.as_buffer(), np.uint64)
+                one = np.frombuffer(x.as_buffer(), np.uint64)
+                found.append(np.setxor1d(centre, one, assume_unique=True).view(np.int64))
+                e.append((100 + percent) * len(found[-1]) - (100 - percent) * len(one))
+            yield pa.RecordBatch.from_arrays([batch["bucket"], batch["id"], pa.array(e, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                                             ["bucket", "id", "e", "differs"])
+
+    return members.select("bucket", "id").join(sets, "id").join(_centres(members, sets), "bucket").select(
+        "bucket", "id", "centre", "hashes").mapInArrow(rows, "bucket long, id long, e long, differs array<long>")
+
+
+def hubs(found: DataFrame) -> DataFrame:
+    """``bucket, hub, least``: the class of the least e of a group, and its e."""
+    return found.groupBy("bucket").agg(F.min(F.struct("e", "id")).alias("least")).select("bucket", F.col("least.id").alias("hub"), F.col("least.e").alias("least"))
+
+
+def meeting(found: DataFrame, hub: DataFrame, percent: int) -> DataFrame:
+    """Rows ``bucket, id, hash, e, size, place, far, among, alone`` of the shingles where links of classes that are far can meet.
+
+    A class is far if e does not link it with the hub; others are in one component with each other. ``place`` counts the shingles of
+    D from the rarest of the group. Those marked ``among`` are enough to meet classes that are far; a far class meets others among
+    those marked ``alone``. Shingles that only one class of the group has are left out.
+    """
+    twice = 2 * (100 + percent)
+    numbered = found.join(hub, "bucket").withColumn("size", F.size("differs")).withColumn("far", F.expr("e + least > 0"))
+    alone = F.expr(f"IF(far, size + 1 - greatest(1, (e + least + {twice - 1}) div {twice}), 0)")
+    reach = numbered.withColumn("alone", alone).withColumn("among", F.expr(f"IF(least > 0, alone, size - (e - least) div {twice})"))
+    rows = reach.select("bucket", "id", "e", "size", "far", "alone", "among", F.explode("differs").alias("hash"))
+    counted = rows.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("bucket", "hash")))
     placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("bucket", "id").orderBy("held", "hash")))
     return placed.where("held > 1 AND place <= greatest(among, alone)").select(
-        "bucket", "id", "hash", "far", F.expr("place <= alone").alias("alone"), F.expr("place <= among").alias("among"))
+        "bucket", "id", "hash", "e", "size", "place", "far", F.expr("place <= among").alias("among"), F.expr("place <= alone").alias("alone"))
+
+
+def meets(percent: int) -> str:
+    """Whether the shingle of two rows of ``meeting`` is early enough in both to be the first of as many as a link needs."""
+    twice = 2 * (100 + percent)
+    return f"greatest(place - size, place_one - size_one) + (e + e_one + {twice - 1}) div {twice} <= 1"
 
 
 def classes(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSession, str], str], key: str = "doc_id",
@@ -369,15 +382,23 @@ def _labelled(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSe
     for _ in range(PRUNED):
         left = stored(unsettled(may_link(left, sets, percent)), "groups")
     if not left.isEmpty():
+        found_apart = stored(apart(left, sets, percent), "apart")
+        hub = stored(hubs(found_apart), "hubs")
+        near = found_apart.join(hub, "bucket").where("id <> hub AND e + least <= 0")
+        links = links.union(stored(near.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "links"))
+        labels = components(spark, links, fresh_dir)
+        renamed = left.drop("component").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        left = stored(unsettled(renamed), "groups")
         # A pair meets in several groups; the least of those they share is where it is compared.
         told = left.join(left.groupBy("id").agg(F.collect_list("bucket").alias("groups")), "id")
-        found_apart = stored(apart(left, sets, percent).join(told, ["bucket", "id"]), "apart")
-        rare, far = found_apart.where("among"), found_apart.where("far")
-        once = (f"bucket = shared AND hash = hash_one AND component <> component_one AND {alike} AND "
+        there = found_apart.join(left.select("bucket", "id"), ["bucket", "id"])
+        rows = stored(meeting(there, hub, percent).join(told, ["bucket", "id"]), "meeting")
+        far, other = rows.where("far"), rows.where("NOT far AND among")
+        once = (f"bucket = shared AND hash = hash_one AND component <> component_one AND {meets(percent)} AND {alike} AND "
                 "array_min(array_intersect(groups, groups_one)) = bucket")
-        more = ("hash", "component", "groups")
+        more = ("hash", "component", "groups", "e", "size", "place")
         both = as_one(far.where("among"), *more).join(far.where("among"), F.expr(f"{once} AND id > one"))
-        one = as_one(rare.where("NOT far"), *more).join(far.where("alone"), F.expr(once))
+        one = as_one(other, *more).join(far.where("alone"), F.expr(once))
         found_links = confirmed(both.select("one", "id").union(one.select("one", "id")))
         if not found_links.isEmpty():
             labels = components(spark, links.union(found_links), fresh_dir)
