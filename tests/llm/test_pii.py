@@ -130,3 +130,18 @@ def test_pairs_against_brute_force(spark, documents):
         assert set(found[i]) == want
         marked += len(want)
     assert marked
+
+
+def test_zeros_never_join_to_a_new_value():
+    def places(text, words):
+        return [{"start": m.start(), "end": m.end()} for w in words for m in re.finditer(rf"\b{w}\b", text)]
+
+    text = "a@b.cd room 4711 and 1234567890123456"
+    assert pii.sanitised(text, places(text, ["4711"])) == "[email] room 0000 and 1234567890123456"
+    rnd = random.Random(8)
+    for _ in range(2000):
+        words = ["".join(rnd.choice("0123456789") for _ in range(rnd.choice([1, 2, 4, 8, 16]))) for _ in range(5)]
+        text = "x@y.zz " + "".join(w + rnd.choice([" ", "-", ".", " .. ", " a "]) for w in words)
+        spans = pii.base_spans(text)
+        terms = [{"start": a, "end": b} for t, a, b in pii.free_terms(text, spans) if rnd.random() < 0.6]
+        assert not pii.base_spans(pii.sanitised(text, terms)), (text, terms)

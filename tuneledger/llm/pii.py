@@ -6,7 +6,7 @@ estimated from the documents that hold the term, the entity, and both. It is com
 the entity itself: a term discloses an entity if it gives ``DISCLOSED`` of it. The entity's probability given the
 term is smoothed by ``PRIOR`` observations at its probability in the corpus, so a value of one document is judged
 like any other; copies of a text are one observation. In every document that holds an entity, each occurrence of
-a term that discloses it becomes a span, too: one of digits is generalised to their number, any other is removed.
+a term that discloses it becomes a span, too: one of digits is generalised to zeros or to their number, any other is removed.
 
 Counts are over all documents. Entities of the same documents have the same counts with every term and are one
 class, so a document with a thousand addresses of its own pairs its terms once. A pair is made only if the term
@@ -307,22 +307,33 @@ def _based(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sanitised(text: str | None, terms: list | None) -> str | None:
-    """The text with each span replaced: base kinds by their name, terms of digits by their number, other terms by [...].
+    """The text with each span replaced: base kinds by their name, terms of digits by zeros, other terms by [...].
 
-    What is put in holds no sign that a base pattern could join with the digits beside it.
+    Where zeros would join with each other or with the digits beside them to a new value of a base kind, the terms
+    of digits of this text are replaced by their number of digits instead, which holds no sign that a pattern could join.
+    A value that only shows when its neighbour is gone is replaced, too.
     """
     spans = _all_spans(text, terms)
     if not spans:
         return text
-    parts, at = [], 0
-    for kind, start, end in spans:
-        if start < at:  # overlaps the span before: the rest of it goes, too
-            at = max(at, end)
-            continue
-        word = text[start:end]
-        parts += [text[at:start], f"[{kind}]" if kind != "term" else f"[{len(word)} digits]" if word.isdigit() else "[...]"]
-        at = end
-    return "".join([*parts, text[at:]])
+
+    def replaced(digits: Callable[[int], str]) -> str:
+        parts, at = [], 0
+        for kind, start, end in spans:
+            if start < at:  # overlaps the span before: the rest of it goes, too
+                at = max(at, end)
+                continue
+            word = text[start:end]
+            parts += [text[at:start], f"[{kind}]" if kind != "term" else digits(len(word)) if word.isdigit() else "[...]"]
+            at = end
+        return "".join([*parts, text[at:]])
+
+    zeros = replaced(lambda n: "0" * n)
+    if not base_spans(zeros):
+        return zeros
+    # A longer run of digits that was no value may leave one when a part of it goes.
+    done = replaced(lambda n: f"[{n} digits]")
+    return sanitised(done, None) if base_spans(done) else done
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, fresh_dir: Callable[[SparkSession, str], str], key: str = "doc_id",
