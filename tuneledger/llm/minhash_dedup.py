@@ -31,7 +31,6 @@ are read.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -41,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tuneledger.llm.components import components
+from tuneledger.llm.held import held
 
 SHINGLE, PERCENT = 5, 80
 #: Coordinates of a band, and the greatest probability that a pair at the threshold shares no band.
@@ -88,17 +88,12 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-@functools.lru_cache(maxsize=1)
-def _kept() -> dict[bytes, int]:
-    return {}
-
-
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The set of a text: sorted 64-bit hashes of its shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
-    kept = _kept()
+    kept = held("words of shingles", dict)
     if len(kept) > KEPT_WORDS:
         kept.clear()
     try:

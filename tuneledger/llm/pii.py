@@ -32,6 +32,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tuneledger.llm.held import release
+
 # The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -118,6 +120,7 @@ def _bit(term: str) -> int:
 def _bearing(texts: DataFrame) -> DataFrame:
     """The rows that hold an entity: number, hash of the text, text, and its entities."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = [(r, c, t, list(dict.fromkeys(_entity(t, *s) for s in spans)))
                      for r, c, t in zip(*(batch[n].to_pylist() for n in ("row", "copy", "text"))) if (spans := base_spans(t))]

@@ -34,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tuneledger.llm.held import held
+
 #: Bound of the model: labelled examples.
 EXAMPLES = 6_000
 #: Words whose terms a worker keeps; at more it starts anew.
@@ -355,15 +357,9 @@ class Fitted:
         return _opened(self.name, self.data).score(text)
 
 
-_OPEN: dict[str, Model] = {}
-
-
 def _opened(name: str, data: bytes) -> Model:
-    """The model of some bytes; a worker keeps the last one open."""
-    if name not in _OPEN:
-        _OPEN.clear()
-        _OPEN[name] = pickle.loads(data)
-    return _OPEN[name]
+    """The model of some bytes; a worker keeps the last one open until another operator needs the room."""
+    return held(f"toxicity {name}", lambda: pickle.loads(data))
 
 
 class _Bag:
