@@ -26,23 +26,26 @@ import hashlib
 import math
 import re
 import pickle
+import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tuneledger.llm.held import held
+from tuneledger.llm.held import held, release
 
 #: Bound of the model: labelled examples.
 EXAMPLES = 6_000
 #: Words whose terms a worker keeps; at more it starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 NEIGHBOURS, BLOCK = 15, 64
 #: Terms that may have a dense column, those of one entry in so many; texts whose queries meet them together.
-COMMON, IN_ONE_OF, TOGETHER = 512, 16, 64
+COMMON, IN_ONE_OF, TOGETHER = 1024, 16, 64
+#: More than single precision can lose of a sum of unit vectors, for each of its terms.
+LOSS = 2.0 ** -23
 #: Postings per entry that are summed straight away: to bound fewer would cost as much.
 STRAIGHT = 32
 STEMS = (4, 5, 6)
@@ -93,7 +96,9 @@ def _joined(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Index:
     """Entries of terms and their weights, by entry and by term; the greatest weight of each term and block.
 
-    ``vectors`` is a matrix, or a list of term numbers and weights of each entry.
+    ``vectors`` is a matrix, or a list of term numbers and weights of each entry. Weights are kept in single
+    precision, sums are taken in double. The most common terms lie as columns of numbers, so that many queries meet
+    them in one product; only the other terms have lists.
     """
 
     def __init__(self, vectors: np.ndarray | list[tuple[np.ndarray, np.ndarray]], positives: np.ndarray, totals: np.ndarray,
@@ -104,53 +109,51 @@ class Index:
             rows = vectors
         order = sorted(range(len(rows)), key=lambda r: rows[r][0][rows[r][1].argmax()] if len(rows[r][0]) else -1)
         if isinstance(vectors, np.ndarray):
-            self.vectors = vectors[order]
-        self.positives, self.totals, self.ids, self.block = positives[order], totals[order], [ids[i] for i in order], block
-        sizes = [len(rows[i][0]) for i in order]
-        self.row_starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            self.vectors = vectors[order].astype(np.float32)
+        self.positives, self.totals, self.ids, self.block, self.width = positives[order], totals[order], [ids[i] for i in order], block, width
+        self.row_starts = np.concatenate([[0], np.cumsum([len(rows[i][0]) for i in order])]).astype(np.int64)
         self.row_terms = np.concatenate([rows[i][0] for i in order] or [[]]).astype(np.int32)
-        self.row_weights = np.concatenate([rows[i][1] for i in order] or [[]]).astype(float)
-        self.width = width
+        self.row_weights = np.concatenate([rows[i][1] for i in order] or [[]]).astype(np.float32)
         self._invert()
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("positives", "totals", "ids", "block", "row_starts", "row_terms", "row_weights", "width")}
+        return {k: getattr(self, k) for k in ("positives", "totals", "ids", "block", "width", "row_starts", "row_terms", "row_weights")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._invert()
 
     def _invert(self) -> None:
-        """The lists by term, which follow from those by entry and are not sent to tasks."""
-        width = self.width
-        entries = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.row_starts))
-        by_term = np.argsort(self.row_terms, kind="stable")
-        terms_, self.entries, self.weights = self.row_terms[by_term], entries[by_term], self.row_weights[by_term]
+        """Columns and lists by term, which follow from those by entry and are not sent to tasks."""
+        width, sizes = self.width, np.bincount(self.row_terms, minlength=self.width)
+        common = np.argsort(-sizes, kind="stable")[:COMMON]
+        common = common[sizes[common] * IN_ONE_OF >= max(len(self.ids), IN_ONE_OF)]
+        self.column = np.full(width, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        entries, columns = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.row_starts)), self.column[self.row_terms]
+        self.dense = np.zeros((len(common), len(self.ids)), np.float32)
+        self.dense[columns[columns >= 0], entries[columns >= 0]] = self.row_weights[columns >= 0]
+        rare = np.flatnonzero(columns < 0)
+        rare = rare[np.argsort(self.row_terms[rare], kind="stable")]
+        terms_, self.weights, self.entries = self.row_terms[rare], self.row_weights[rare], entries[rare]
+        del entries, columns, rare
         self.starts = _lists(terms_, width)
         blocks = self.entries // self.block
         first = np.flatnonzero(np.concatenate([[True], (terms_[1:] != terms_[:-1]) | (blocks[1:] != blocks[:-1])])) if len(terms_) else np.empty(0, int)
         self.block_starts, self.blocks = _lists(terms_[first], width), blocks[first]
-        self.block_most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
+        self.block_most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0, np.float32)
         self.most, self._asked = np.zeros(width), np.zeros(width)
         np.maximum.at(self.most, terms_, self.weights)
-        # The most common terms lie as columns of numbers, so that many queries meet them in one product.
-        sizes = np.diff(self.starts)
-        common = np.argsort(-sizes, kind="stable")[:COMMON]
-        common = common[sizes[common] * IN_ONE_OF >= max(len(self.ids), IN_ONE_OF)]
-        self.column = np.full(width, -1)
-        self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), len(self.ids)))
-        for row, term in enumerate(common.tolist()):
-            at = slice(self.starts[term], self.starts[term + 1])
-            self.dense[row, self.entries[at]] = self.weights[at]
-        rare = self.column[self.row_terms] < 0
-        self.rare_starts = np.concatenate([[0], np.cumsum(rare)])[self.row_starts]
-        self.rare_terms, self.rare_weights = self.row_terms[rare], self.row_weights[rare]
+
+    def row(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and weights of an entry."""
+        at = slice(self.row_starts[number], self.row_starts[number + 1])
+        return self.row_terms[at].astype(np.int64), self.row_weights[at].astype(float)
 
     def entry(self, number: int) -> dict[int, float]:
         """The vector of an entry."""
-        at = slice(self.row_starts[number], self.row_starts[number + 1])
-        return dict(zip(self.row_terms[at].tolist(), self.row_weights[at].tolist()))
+        which, weight = self.row(number)
+        return dict(zip(which.tolist(), weight.tolist()))
 
     def _sums(self, which: np.ndarray, weight: np.ndarray) -> np.ndarray:
         at, lengths = _joined(self.starts, which)
@@ -164,137 +167,168 @@ class Index:
         return self.search(np.array(list(query), np.int64), np.array(list(query.values()), float), k, without)
 
     def common(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the common terms, those with dense columns, add to the similarity of each query and entry."""
-        asked = np.zeros((len(queries), len(self.dense)))
+        """What the common terms, those with columns, add to the similarity of each query and entry, in single precision."""
+        asked = np.zeros((len(queries), len(self.dense)), np.float32)
         for row, (which, weight) in enumerate(queries):
             column = self.column[which]
             asked[row, column[column >= 0]] = weight[column >= 0]
         return asked @ self.dense
 
+    def _finished(self, entries: np.ndarray, which: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The similarities of a query and some entries, in double precision."""
+        at, sizes = _joined(self.row_starts, entries)
+        asked = self._asked
+        asked[which] = weight
+        sums = np.bincount(np.repeat(np.arange(len(entries)), sizes), self.row_weights[at] * asked[self.row_terms[at]], len(entries))
+        asked[which] = 0.0
+        return sums
+
     def search(self, which: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1,
                common: np.ndarray | None = None) -> list[tuple[int, float]]:
         """As :meth:`nearest`, of term numbers and weights; ``common`` is the query's row of :meth:`common`, if it is known.
 
         Of the other terms the heaviest are summed first; the block maxima tell what the rest can add to an entry, and
-        only entries that may still be among the k best are finished.
+        only entries that may still be among the k best are finished. What single precision may have lost of a sum is
+        allowed for, and the finished sums, in double precision, decide.
         """
         n = len(self.ids)
         if not len(which) or not n:
             return []
-        scores = (self.common([(which, weight)])[0] if common is None else common).copy()
+        scores = (self.common([(which, weight)])[0] if common is None else common).astype(float)
         rare = self.column[which] < 0
-        which, weight = which[rare], weight[rare]
-        lengths = self.starts[which + 1] - self.starts[which]
-        cut = len(which)
+        lost = LOSS * (len(which) - int(rare.sum()) + 4)
+        some, heavy = which[rare], weight[rare]
+        lengths = self.starts[some + 1] - self.starts[some]
+        cut = len(some)
         if lengths.sum() > STRAIGHT * n:
-            order = np.argsort(-weight * self.most[which], kind="stable")
-            which, weight, lengths = which[order], weight[order], lengths[order]
+            order = np.argsort(-heavy * self.most[some], kind="stable")
+            some, heavy, lengths = some[order], heavy[order], lengths[order]
             cut = int(np.searchsorted(np.cumsum(lengths), 4 * n, side="right"))
-        scores += self._sums(which[:cut], weight[:cut])
-        left = int(lengths[cut:].sum())
-        gone = without if without >= 0 and self.totals[without] <= 1 else -1
+        scores += self._sums(some[:cut], heavy[:cut])
+        bounds, left = scores, int(lengths[cut:].sum())
         if left:
-            at, sizes = _joined(self.block_starts, which[cut:])
-            more = np.bincount(self.blocks[at], self.block_most[at] * np.repeat(weight[cut:], sizes), -(-n // self.block))
+            at, sizes = _joined(self.block_starts, some[cut:])
+            more = np.bincount(self.blocks[at], self.block_most[at] * np.repeat(heavy[cut:], sizes), -(-n // self.block))
             bounds = scores + np.repeat(more, self.block)[:n]
+        gone = without if without >= 0 and self.totals[without] <= 1 else -1
+
+        def still() -> np.ndarray:
+            """Entries that may be among the k best."""
             if gone >= 0:
-                scores[gone] = bounds[gone] = -1.0
+                scores[gone] = bounds[gone] = 0.0
             least = np.partition(scores, n - k)[n - k] if n > k else 0.0
-            open_ = np.flatnonzero((bounds >= least - 1e-12) & (bounds > 0))
-            at, sizes = _joined(self.rare_starts, open_)
-            if len(at) < left:
-                asked = self._asked
-                asked[which[cut:]] = weight[cut:]
-                rest = np.bincount(np.repeat(np.arange(len(open_)), sizes), self.rare_weights[at] * asked[self.rare_terms[at]], len(open_))
-                asked[which[cut:]] = 0.0
-                finished = np.zeros(n)
-                finished[open_] = scores[open_] + rest
-                scores = finished
-            else:
-                scores += self._sums(which[cut:], weight[cut:])
-        if gone >= 0:
-            scores[gone] = 0.0
-        hits = np.flatnonzero(scores > 0)
+            return np.flatnonzero((bounds >= least - 2 * lost) & (bounds > 0))
+
+        open_ = still()
+        if left and int((self.row_starts[open_ + 1] - self.row_starts[open_]).sum()) >= left:
+            scores += self._sums(some[cut:], heavy[cut:])
+            bounds = scores
+            open_ = still()
+        sums = self._finished(open_, which, weight)
+        hits = np.flatnonzero(sums > 0)
         if len(hits) > k:
-            hits = hits[scores[hits] >= np.partition(scores[hits], len(hits) - k)[len(hits) - k]]
-        return [(int(i), float(scores[i])) for i in sorted(hits, key=lambda i: (-scores[i], i))[:k]]
+            hits = hits[sums[hits] >= np.partition(sums[hits], len(hits) - k)[len(hits) - k]]
+        return [(int(open_[i]), float(sums[i])) for i in sorted(hits, key=lambda i: (-sums[i], i))[:k]]
+
+
+class _Words:
+    """Term numbers of words, worked out once per word; a word's numbers lie one behind the other, between two starts.
+
+    ``number`` gives the number of a term, or None for one that does not count.
+    """
+
+    def __init__(self, number: Callable[[str], int | None]):
+        self.number = number
+        self._forget()
+
+    def _forget(self) -> None:
+        self._kept: dict[str, int] = {}
+        self._starts, self._terms = array("q", [0]), array("i")
+
+    def _learn(self, words: list[str]) -> None:
+        kept, starts, numbers, number = self._kept, self._starts, self._terms, self.number
+        for word in words:
+            kept[word] = len(starts) - 1
+            numbers.extend([n for t in [word] + [word[:size] + "*" for size in STEMS if len(word) > size] if (n := number(t)) is not None])
+            starts.append(len(numbers))
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers of a text, ascending, and how often each occurs: those of :func:`terms`."""
+        words = Counter(_WORD.findall((text or "").lower()))
+        if len(self._kept) > KEPT_WORDS:
+            self._forget()
+        if new := [w for w in words if w not in self._kept]:
+            self._learn(new)
+        if not self._terms or not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        places = np.fromiter(map(self._kept.__getitem__, words), np.int64, len(words))
+        at, sizes = _joined(np.frombuffer(self._starts, np.int64), places)
+        which, place = np.unique(np.frombuffer(self._terms, np.int32)[at], return_inverse=True)
+        n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)
+        return which.astype(np.int64), np.bincount(place, n, len(which)).astype(np.int64)
 
 
 class Model:
     """Terms, weights, index and calibration, fitted on a bounded sample."""
 
-    def __init__(self, examples: list[tuple[int, Counter, int]], vocabulary: list[str], frequency: dict[str, int], documents: int):
+    def __init__(self, examples: list[tuple[int, Counter, int]], vocabulary: list[str], frequency: dict[str, int] | None = None,
+                 documents: int | None = None):
+        """``frequency`` counts the texts of each term among ``documents`` texts; without them the examples are counted."""
         self.vocabulary = {t: i for i, t in enumerate(vocabulary)}
         positive, total = sum(e[2] for e in examples), len(examples)
         self.base = positive / total if total else 0.0
-        seen, both = Counter(), Counter()
+        seen, both = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
         for _, found, label in examples:
-            seen.update(found.keys())
+            which = self._numbers(found)[0]
+            seen[which] += 1
             if label:
-                both.update(found.keys())
-        self.idf = np.array([(math.log((documents + 1) / (frequency.get(t, 0) + 1)) + 1) * (_tells(both[t], seen[t], positive, total) if seen[t] else 0)
-                             for t in vocabulary])
-        self._forget()
+                both[which] += 1
+        held = seen if frequency is None else [frequency.get(t, 0) for t in vocabulary]
+        documents = total if documents is None else documents
+        self.idf = np.array([(math.log((documents + 1) / (n + 1)) + 1) * (_tells(b, s, positive, total) if s else 0)
+                             for n, b, s in zip(map(int, held), both.tolist(), seen.tolist())])
+        self._words = _Words(self.vocabulary.get)
         entries: dict[bytes, list] = {}
         for key, found, label in sorted(examples, key=lambda e: e[0]):
-            vector = self.vector({self.vocabulary[t]: n for t, n in found.items() if t in self.vocabulary})
-            which = np.array(sorted(vector), np.int32)
-            weights = np.array([vector[i] for i in which.tolist()], float)
-            name = hashlib.sha256(which.tobytes() + weights.round(9).tobytes()).digest() if vector else b""
+            which, weights = self._unit(*self._numbers(found))
+            which, weights = which.astype(np.int32), weights.astype(np.float32)
+            name = hashlib.sha256(which.tobytes() + weights.tobytes()).digest() if len(which) else b""
             entry = entries.setdefault(name, [key, 0, 0, (which, weights)])
             entry[1] += label
             entry[2] += 1
         known = [e for name, e in entries.items() if name]
         self.index = Index([e[3] for e in known], np.array([e[1] for e in known], float), np.array([e[2] for e in known], float),
                            [e[0] for e in known], width=len(vocabulary))
-        self._calibrate(entries.get(b""))
+        blank = entries.get(b"")
+        del entries, known
+        self._calibrate(blank)
 
     def __getstate__(self) -> dict:
-        left_out = ("_kept", "_starts", "_terms", "_places")
-        return {k: v for k, v in self.__dict__.items() if k not in left_out}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_words", "vocabulary")} | {"terms": "\n".join(self.vocabulary)}
 
     def __setstate__(self, state: dict) -> None:
+        names = state.pop("terms")
         self.__dict__.update(state)
-        self._forget()
+        self.vocabulary = {t: i for i, t in enumerate(names.split("\n"))} if names else {}
+        self._words = _Words(self.vocabulary.get)
 
-    def _forget(self) -> None:
-        """Keep no word: the terms of kept words lie one behind the other, those of a word between two starts."""
-        self._kept: dict[str, int] = {}
-        self._starts, self._terms = array("q", [0]), array("i")
-
-    def _learn(self, words: set[str]) -> None:
-        for word in words:
-            self._kept[word] = len(self._starts) - 1
-            self._terms.extend([self.vocabulary[t] for t in terms(word) if t in self.vocabulary])
-            self._starts.append(len(self._terms))
+    def _numbers(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers of a bag, ascending, and how often each occurs; terms outside the vocabulary are left out."""
+        some = [(self.vocabulary[t], n) for t, n in found.items() if t in self.vocabulary]
+        pairs = np.array(some, np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        return pairs[:, 0], pairs[:, 1]
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
+    def _unit(self, which: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit vector of the weights of term counts; terms of weight 0 are absent."""
-        if not counts:
-            return {}
-        which = np.fromiter(counts.keys(), np.int64, len(counts))
-        raw = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[which]
-        norm = math.sqrt(float(raw @ raw))
-        return {i: w / norm for i, w in zip(which.tolist(), raw.tolist()) if w > 0} if norm else {}
+        raw = (1 + np.log(n)) * self.idf[which]
+        some = raw > 0
+        which, raw = which[some], raw[some]
+        return which, raw / math.sqrt(float(raw @ raw)) if len(raw) else raw
 
     def query(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of the known terms of a text, as a unit vector; terms of weight 0 are absent."""
-        words = _WORD.findall((text or "").lower())
-        if len(self._kept) > KEPT_WORDS:
-            self._forget()
-        if new := set(words).difference(self._kept):
-            self._learn(new)
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0)
-        places, n = np.unique(np.fromiter(map(self._kept.__getitem__, words), np.int64, len(words)), return_counts=True)
-        starts, held = np.frombuffer(self._starts, np.int64), np.frombuffer(self._terms, np.int32) if self._terms else np.zeros(0, np.int32)
-        at, sizes = _joined(starts, places)
-        which, place = np.unique(held[at], return_inverse=True)
-        counts = np.bincount(place, np.repeat(n, sizes), len(which))
-        raw = (1 + np.log(counts)) * self.idf[which]
-        norm = math.sqrt(float(raw @ raw))
-        some = raw > 0
-        return which[some].astype(np.int64), raw[some] / norm if norm else raw[some]
+        return self._unit(*self._words.counts(text))
 
     def _vote(self, near: list[tuple[int, float]], without: tuple[int, int] = (-1, 0)) -> float:
         votes, weight = self.base, 1.0
@@ -308,8 +342,12 @@ class Model:
     def _calibrate(self, blank: list | None) -> None:
         """Isotonic regression of labels on votes, each entry judged without one of its examples."""
         points: list[tuple[float, float, float]] = []  # vote, positives, examples
-        for entry in range(len(self.index.ids)):
-            near = self.index.nearest(self.index.entry(entry), without=entry)
+        rows, entries = (), len(self.index.ids)
+        for entry in range(entries):
+            if entry % TOGETHER == 0:
+                rows = [self.index.row(e) for e in range(entry, min(entry + TOGETHER, entries))]
+                common = self.index.common(rows)
+            near = self.index.search(*rows[entry % TOGETHER], without=entry, common=common[entry % TOGETHER])
             positive, total = float(self.index.positives[entry]), float(self.index.totals[entry])
             for label, n in ((1, positive), (0, total - positive)):
                 if n:
@@ -348,7 +386,7 @@ class Model:
 
 
 class Fitted:
-    """A model as the bytes that a task made of it: the driver hands them on and opens them only to score texts itself."""
+    """A model as the packed bytes that a task made of it: the driver hands them on and opens them only to score texts itself."""
 
     def __init__(self, data: bytes):
         self.data, self.name = data, hashlib.sha256(data).hexdigest()
@@ -357,9 +395,28 @@ class Fitted:
         return _opened(self.name, self.data).score(text)
 
 
+def _packed(model: Model) -> bytes:
+    return zlib.compress(pickle.dumps(model, pickle.HIGHEST_PROTOCOL), 1)
+
+
+def _unpacked(data: bytes) -> Model:
+    return pickle.loads(zlib.decompress(data))
+
+
 def _opened(name: str, data: bytes) -> Model:
-    """The model of some bytes; a worker keeps the last one open until another operator needs the room."""
-    return held(f"toxicity {name}", lambda: pickle.loads(data))
+    """The model of some bytes; the last one stays open until another operator needs the room."""
+    return held(f"toxicity {name}", lambda: _unpacked(data))
+
+
+class _Sent:
+    """Packed bytes that arrive as the model itself, so that a worker keeps none of them beside it; Spark's workers drop
+    a broadcast value at the first task that does not use it."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def __reduce__(self) -> tuple:
+        return _unpacked, (self.data,)
 
 
 class _Bag:
@@ -367,21 +424,12 @@ class _Bag:
 
     __slots__ = ("_names", "_which", "_n")
 
-    def __init__(self, counts: Counter, numbers: dict[str, int], names: list[str]):
-        for t in counts:
-            if t not in numbers:
-                numbers[t] = len(names)
-                names.append(t)
-        self._names = names
-        self._which = np.fromiter(map(numbers.__getitem__, counts), np.int32, len(counts))
-        self._n = np.fromiter(counts.values(), np.int32, len(counts))
+    def __init__(self, counts: tuple[np.ndarray, np.ndarray], names: list[str]):
+        self._names, self._which, self._n = names, counts[0].astype(np.int32), counts[1].astype(np.int32)
 
     def __iter__(self) -> Iterator[str]:
         return map(self._names.__getitem__, self._which.tolist())
 
-    def keys(self) -> list[str]:
-        return list(self)
-
     def items(self) -> Iterator[tuple[str, int]]:
         return zip(self, self._n.tolist())
 
@@ -406,26 +454,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        release()
         numbers, names = {}, []
-        bags = [(i, _Bag(terms(t), numbers, names), y) for i, y, t in held]
-        vocabulary, frequency = chosen_terms([(c, y) for _, c, y in bags]), Counter()
-        for _, c, _ in bags:
-            frequency.update(c.keys())
-        model = Model(bags, vocabulary, frequency, len(bags))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        words = _Words(lambda t: numbers.setdefault(t, len(numbers)))
+        bags = [(i, _Bag(words.counts(t), names), y) for batch in batches for i, y, t in zip(*(c.to_pylist() for c in batch.columns))]
+        names.extend(numbers)
+        del words, numbers
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(Model(bags, sorted(names)))], pa.binary())], ["model"])
 
     made = rows.select("id", "label", "text").repartition(1).mapInArrow(learn, "model binary").first()
-    return Fitted(bytes(made["model"]) if made else pickle.dumps(Model([], [], {}, 0)))
+    return Fitted(bytes(made["model"]) if made else _packed(Model([], [])))
 
 
 def score(docs: DataFrame, model: Fitted, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document: key, ``held_out``, ``score``, ``predicted`` and ``evidence`` (ids of the neighbours)."""
-    shared, name = docs.sparkSession.sparkContext.broadcast(model.data), model.name  # bounded by EXAMPLES texts
+    shared = docs.sparkSession.sparkContext.broadcast(_Sent(model.data))  # bounded by EXAMPLES texts
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _opened(name, shared.value).scores(batch["text"].to_pylist())
+            found = shared.value.scores(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["held_out"], pa.array([f[0] for f in found], pa.float64()),
                  pa.array([int(f[0] >= threshold) for f in found], pa.int32()),
@@ -438,10 +485,10 @@ def score(docs: DataFrame, model: Fitted, key: str = "doc_id", text: str = "text
 
 def keep(docs: DataFrame, model: Fitted, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents scored below the threshold, with all their columns."""
-    shared, name = docs.sparkSession.sparkContext.broadcast(model.data), model.name
+    shared = docs.sparkSession.sparkContext.broadcast(_Sent(model.data))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([p < threshold for p, _ in _opened(name, shared.value).scores(batch[text].to_pylist())], pa.bool_()))
+            yield batch.filter(pa.array([p < threshold for p, _ in shared.value.scores(batch[text].to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)
