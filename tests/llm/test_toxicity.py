@@ -116,3 +116,23 @@ def test_held_out_documents_of_every_language(spark):
     print(hit / sum(r["predicted"] for r in rows), hit / sum(toxic.values()), toxic, found)
     assert hit / sum(r["predicted"] for r in rows) >= 0.9 and hit / sum(toxic.values()) >= 0.9
     assert all(found[k] / n >= 0.6 for k, n in toxic.items())
+
+
+def test_words_are_those_of_the_pattern():
+    texts = ["", None, "ΑΣ Σ. ΑΣ'x İstanbul ǅ a\x1cb a\x85b a\xa0b x²y ½ Ⅷa a_b 12ab3c \ud800z x\u0301y “foo”…bar—baz, foo 中文、字 ªº ٣a",
+             "".join(chr(c) + "a " for c in range(0x30000))]
+    for text in texts:
+        assert toxicity.words_of(text) == Counter(toxicity._WORD.findall((text or "").lower()))
+
+
+def test_neighbours_are_finished_by_columns_and_lists_alone(monkeypatch):
+    """Where all lists are summed, no entry is read whole again."""
+    rnd = np.random.default_rng(3)
+    vectors = rnd.random((100, 30)) * (rnd.random((100, 30)) < np.linspace(0.02, 0.5, 30))
+    vectors = vectors[vectors.any(axis=1)] / np.linalg.norm(vectors[vectors.any(axis=1)], axis=1, keepdims=True)
+    index = Index(vectors, np.zeros(len(vectors)), np.ones(len(vectors)), list(range(len(vectors))))
+    assert 0 < index.dense.shape[1] < 30 and len(index.postings)
+    monkeypatch.setattr(Index, "_finished", lambda *a: pytest.fail("an entry was read whole"))
+    for query in vectors:
+        got = index.nearest({int(i): float(query[i]) for i in np.flatnonzero(query)})
+        assert np.allclose([s for _, s in got], sorted(index.vectors @ query, reverse=True)[:len(got)], atol=1e-6)

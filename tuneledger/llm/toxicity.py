@@ -43,7 +43,7 @@ EXAMPLES = 6_000
 KEPT_WORDS = 300_000
 NEIGHBOURS, BLOCK = 15, 64
 #: Terms that may have a dense column, those of one entry in so many; texts whose queries meet them together.
-COMMON, IN_ONE_OF, TOGETHER = 1024, 16, 64
+COMMON, IN_ONE_OF, TOGETHER = 1536, 16, 256
 #: More than single precision can lose of a sum of unit vectors, for each of its terms.
 LOSS = 2.0 ** -23
 #: Postings per entry that are summed straight away: to bound fewer would cost as much.
@@ -52,11 +52,26 @@ STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: UTF-8 with ASCII characters that are no letters as spaces; no word holds one.
+_SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+_POSTING = np.dtype([("entry", np.int32), ("weight", np.float32)])
+_RAMP = np.arange(1 << 17)
+
+
+def words_of(text: str | None) -> Counter:
+    """The words of a text, its longest runs of letters in lower case, and their counts."""
+    spaced = (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED)
+    words = Counter(spaced.decode("utf-8", "surrogatepass").split())
+    for piece in [p for p in words if not p.isalpha()]:  # those with other than ASCII characters that are no letters
+        n = words.pop(piece)
+        for word in _WORD.findall(piece):
+            words[word] += n
+    return words
 
 
 def terms(text: str | None) -> Counter:
     """The terms of a text and their counts."""
-    words = Counter(_WORD.findall((text or "").lower()))
+    words = words_of(text)
     found = Counter(words)
     for word, n in words.items():
         for size in STEMS:
@@ -90,7 +105,9 @@ def _joined(starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Places of the lists ``which``, one after the other, and their lengths."""
     lengths = starts[which + 1] - starts[which]
     ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - lengths), lengths), lengths
+    places = np.repeat(starts[which] - (ends - lengths), lengths)
+    places += _RAMP[:len(places)] if len(places) <= len(_RAMP) else np.arange(len(places))
+    return places, lengths
 
 
 class Index:
@@ -131,19 +148,20 @@ class Index:
         self.column = np.full(width, -1, np.int32)
         self.column[common] = np.arange(len(common))
         entries, columns = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.row_starts)), self.column[self.row_terms]
-        self.dense = np.zeros((len(common), len(self.ids)), np.float32)
-        self.dense[columns[columns >= 0], entries[columns >= 0]] = self.row_weights[columns >= 0]
+        self.dense = np.zeros((len(self.ids), len(common)), np.float32)
+        self.dense[entries[columns >= 0], columns[columns >= 0]] = self.row_weights[columns >= 0]
         rare = np.flatnonzero(columns < 0)
         rare = rare[np.argsort(self.row_terms[rare], kind="stable")]
-        terms_, self.weights, self.entries = self.row_terms[rare], self.row_weights[rare], entries[rare]
+        terms_, self.postings = self.row_terms[rare], np.empty(len(rare), _POSTING)
+        self.postings["entry"], self.postings["weight"] = entries[rare], self.row_weights[rare]
         del entries, columns, rare
         self.starts = _lists(terms_, width)
-        blocks = self.entries // self.block
+        blocks = self.postings["entry"] // self.block
         first = np.flatnonzero(np.concatenate([[True], (terms_[1:] != terms_[:-1]) | (blocks[1:] != blocks[:-1])])) if len(terms_) else np.empty(0, int)
         self.block_starts, self.blocks = _lists(terms_[first], width), blocks[first]
-        self.block_most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0, np.float32)
+        self.block_most = np.maximum.reduceat(self.postings["weight"], first) if len(first) else np.empty(0, np.float32)
         self.most, self._asked = np.zeros(width), np.zeros(width)
-        np.maximum.at(self.most, terms_, self.weights)
+        np.maximum.at(self.most, terms_, self.postings["weight"])
 
     def row(self, number: int) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of an entry."""
@@ -157,7 +175,8 @@ class Index:
 
     def _sums(self, which: np.ndarray, weight: np.ndarray) -> np.ndarray:
         at, lengths = _joined(self.starts, which)
-        return np.bincount(self.entries[at], self.weights[at] * np.repeat(weight, lengths), len(self.ids))
+        some = self.postings.view(np.int64).take(at).view(_POSTING)  # entry and weight in one go
+        return np.bincount(some["entry"], some["weight"] * np.repeat(weight, lengths), len(self.ids))
 
     def nearest(self, query: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[int, float]]:
         """The k entries most similar to a unit query, with their similarity; none of similarity 0.
@@ -168,11 +187,11 @@ class Index:
 
     def common(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What the common terms, those with columns, add to the similarity of each query and entry, in single precision."""
-        asked = np.zeros((len(queries), len(self.dense)), np.float32)
+        asked = np.zeros((len(queries), self.dense.shape[1]), np.float32)
         for row, (which, weight) in enumerate(queries):
             column = self.column[which]
             asked[row, column[column >= 0]] = weight[column >= 0]
-        return asked @ self.dense
+        return asked @ self.dense.T
 
     def _finished(self, entries: np.ndarray, which: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """The similarities of a query and some entries, in double precision."""
@@ -194,8 +213,9 @@ class Index:
         n = len(self.ids)
         if not len(which) or not n:
             return []
-        scores = (self.common([(which, weight)])[0] if common is None else common).astype(float)
-        rare = self.column[which] < 0
+        rough = (self.common([(which, weight)])[0] if common is None else common).astype(float)
+        columns = self.column[which]
+        rare = columns < 0
         lost = LOSS * (len(which) - int(rare.sum()) + 4)
         some, heavy = which[rare], weight[rare]
         lengths = self.starts[some + 1] - self.starts[some]
@@ -204,7 +224,8 @@ class Index:
             order = np.argsort(-heavy * self.most[some], kind="stable")
             some, heavy, lengths = some[order], heavy[order], lengths[order]
             cut = int(np.searchsorted(np.cumsum(lengths), 4 * n, side="right"))
-        scores += self._sums(some[:cut], heavy[:cut])
+        summed = self._sums(some[:cut], heavy[:cut])
+        scores = rough + summed
         bounds, left = scores, int(lengths[cut:].sum())
         if left:
             at, sizes = _joined(self.block_starts, some[cut:])
@@ -221,20 +242,23 @@ class Index:
 
         open_ = still()
         if left and int((self.row_starts[open_ + 1] - self.row_starts[open_]).sum()) >= left:
-            scores += self._sums(some[cut:], heavy[cut:])
-            bounds = scores
-            open_ = still()
-        sums = self._finished(open_, which, weight)
-        hits = np.flatnonzero(sums > 0)
-        if len(hits) > k:
-            hits = hits[sums[hits] >= np.partition(sums[hits], len(hits) - k)[len(hits) - k]]
-        return [(int(open_[i]), float(sums[i])) for i in sorted(hits, key=lambda i: (-sums[i], i))[:k]]
+            summed += self._sums(some[cut:], heavy[cut:])
+            scores = bounds = rough + summed
+            left, open_ = 0, still()
+        if left:
+            sums = self._finished(open_, which, weight)
+        else:  # only what the columns add is in single precision; equal entries get equal sums
+            asked = np.zeros(self.dense.shape[1])
+            asked[columns[~rare]] = weight[~rare]
+            sums = summed[open_] + (self.dense[open_] * asked).sum(axis=1)
+        best = np.argsort(-sums, kind="stable")[:k]
+        return [(e, s) for e, s in zip(open_[best].tolist(), sums[best].tolist()) if s > 0]
 
 
 class _Words:
     """Term numbers of words, worked out once per word; a word's numbers lie one behind the other, between two starts.
 
-    ``number`` gives the number of a term, or None for one that does not count.
+    ``number`` gives the number of a term, or None for one that does not count. Words without any share the first place.
     """
 
     def __init__(self, number: Callable[[str], int | None]):
@@ -243,25 +267,47 @@ class _Words:
 
     def _forget(self) -> None:
         self._kept: dict[str, int] = {}
-        self._starts, self._terms = array("q", [0]), array("i")
+        self._stems: dict[str, tuple[int, ...]] = {}
+        self._starts, self._terms = array("q", [0, 0]), array("i")
+
+    def _stems_of(self, word: str) -> tuple[int, ...]:
+        found, number = [], self.number
+        for size in STEMS:
+            if len(word) <= size:
+                break
+            if (n := number(word[:size] + "*")) is not None:
+                found.append(n)
+        return tuple(found)
 
     def _learn(self, words: list[str]) -> None:
-        kept, starts, numbers, number = self._kept, self._starts, self._terms, self.number
+        kept, stems, starts, numbers, number = self._kept, self._stems, self._starts, self._terms, self.number
         for word in words:
+            if len(word) > STEMS[-1]:  # what begins alike has the same stems
+                if (of := stems.get(first := word[:STEMS[-1]])) is None:
+                    of = stems[first] = self._stems_of(word)
+            else:
+                of = self._stems_of(word)
+            if (n := number(word)) is not None:
+                numbers.append(n)
+            elif not of:
+                kept[word] = 0
+                continue
+            numbers.extend(of)
             kept[word] = len(starts) - 1
-            numbers.extend([n for t in [word] + [word[:size] + "*" for size in STEMS if len(word) > size] if (n := number(t)) is not None])
             starts.append(len(numbers))
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers of a text, ascending, and how often each occurs: those of :func:`terms`."""
-        words = Counter(_WORD.findall((text or "").lower()))
+        words = words_of(text)
         if len(self._kept) > KEPT_WORDS:
             self._forget()
-        if new := [w for w in words if w not in self._kept]:
-            self._learn(new)
+        found = list(map(self._kept.get, words))
+        if None in found:
+            self._learn([w for w, place in zip(words, found) if place is None])
+            found = [self._kept[w] if place is None else place for w, place in zip(words, found)]
         if not self._terms or not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        places = np.fromiter(map(self._kept.__getitem__, words), np.int64, len(words))
+        places = np.array(found, np.int64)
         at, sizes = _joined(np.frombuffer(self._starts, np.int64), places)
         which, place = np.unique(np.frombuffer(self._terms, np.int32)[at], return_inverse=True)
         n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)
