@@ -156,7 +156,9 @@ def classify(staging: DataFrame, star: Star, skip_existing: bool = True, window_
         F.when(~pending, F.col("error_message")).when(F.col("is_duplicate"), MSG_DUPLICATE)
         .when(~loadable, _reason())
     )
-    return rows.withColumns({"status": status, "error_message": message, "newly_loaded": pending & (status == PROCESSED)}) \
+    # Said in its parts, so that a filter on it reaches below the joins and rows that do not load move no further.
+    fresh = pending & ~F.col("is_duplicate") & loadable
+    return rows.withColumns({"status": status, "error_message": message, "newly_loaded": fresh}) \
         .drop("is_duplicate", "artist_known", "platform_known", "platform_open", "zero_share_open", "song_status")
 
 

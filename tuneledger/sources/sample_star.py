@@ -81,15 +81,18 @@ def platforms(spark: SparkSession) -> DataFrame:
 
 
 def staging(spark: SparkSession, folder: str, *source_columns: str) -> DataFrame:
-    """One pending staging row per line item, with any columns of the source kept alongside."""
+    """One pending staging row per line item, with any columns of the source kept alongside.
+
+    Orders meet their customers first, so that the line items move once for both.
+    """
     line = table(spark, folder, "lineitem")
     order = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    bought = order.join(customer, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
     part = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand")
     supplier = table(spark, folder, "supplier").select("s_suppkey", "s_name")
     rows = (
-        line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        line.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     )

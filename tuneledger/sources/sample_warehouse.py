@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tuneledger.operators.load import load
 from tuneledger.plans import refresh
-from tuneledger.session import fresh_dir
+from tuneledger.session import fresh_dir, sparing_disk
 from tuneledger.sources import sample_star
 from tuneledger.sources.warehouse import Star, Warehouse, parts_per_period
 
@@ -35,13 +35,14 @@ def build(spark: SparkSession, folder: str) -> Warehouse:
     key = (spark.sparkContext.applicationId, folder.rstrip("/"))
     if key not in _BUILT:
         warehouse = Warehouse(spark, fresh_dir(spark, "warehouse"))
-        write_dimensions(warehouse, folder)
-        warehouse.publish("sample", sample_star.staging(spark, folder))
-        staged = warehouse.read("stg_revenue_import")
-        warehouse.append_facts(load(staged, warehouse.star()), parts_per_period(staged.count(), _MONTHS_COVERED))
-        paid = sample_star.payments(warehouse.read("fact_monthly_revenue"), warehouse.read("song"))
-        paid.write.parquet(warehouse.path("payment_history"))
-        refresh.write_month_sums(warehouse)
+        with sparing_disk(spark):
+            write_dimensions(warehouse, folder)
+            warehouse.publish("sample", sample_star.staging(spark, folder))
+            staged = warehouse.read("stg_revenue_import")
+            warehouse.append_facts(load(staged, warehouse.star()), parts_per_period(staged.count(), _MONTHS_COVERED))
+            paid = sample_star.payments(warehouse.read("fact_monthly_revenue"), warehouse.read("song"))
+            paid.write.parquet(warehouse.path("payment_history"))
+            refresh.write_month_sums(warehouse)
         _BUILT[key] = warehouse
     return _BUILT[key]
 

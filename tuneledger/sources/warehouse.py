@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tuneledger import schemas
+from tuneledger.session import drop_dir, spares_disk
 
 PERIOD = ("year", "month")
 
@@ -100,8 +101,7 @@ class Warehouse:
 
     def drop_batch(self, name: str, batch: str) -> None:
         """Delete a batch's folder of a table."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(f"{name}/batch={batch}"))
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        drop_dir(self.spark, self.path(f"{name}/batch={batch}"))
 
     def published_ids(self) -> str:
         """Name of the table (id, batch) of all published ids, bucketed by id: joins on the id move only the other side."""
@@ -111,6 +111,7 @@ class Warehouse:
             f"CLUSTERED BY (id) INTO {self.id_buckets} BUCKETS LOCATION '{self.path('published_ids')}'")
         return name
 
+    @spares_disk
     def publish(self, batch: str, staged: DataFrame) -> None:
         """Add a batch's staging rows and ids; its status counts, written last, make it count."""
         self.write_of_batch("stg_revenue_import", batch, staged)
@@ -133,6 +134,7 @@ class Warehouse:
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[name].fields]
         df.select(*columns).write.mode(mode).parquet(self.path(name))
 
+    @spares_disk
     def append_facts(self, facts: DataFrame, song_parts: int = 1) -> None:
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.FACT.fields]
         arranged = clustered_by_period(facts.select(*columns), "song_id", song_parts=song_parts)
@@ -155,7 +157,8 @@ class Warehouse:
     def star(self) -> Star:
         facts = self.read_if_present("fact_monthly_revenue")
         if facts is None:
-            facts = self.spark.createDataFrame([], schemas.FACT)
+            # The limit tells the planner that there is nothing, so a load does not shuffle its rows to meet it.
+            facts = self.spark.createDataFrame([], schemas.FACT).limit(0)
         return Star(
             periods=self.periods(), facts=facts, songs=self.read("song"), artists=self.read("artist"),
             labels=self.read("label"), platforms=self.read("platform_config"),
