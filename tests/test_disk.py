@@ -100,3 +100,20 @@ def test_an_empty_fact_is_not_joined(tiny):
     facts = load.load(staging, star)
     assert rows_of(facts, "revenue_id") == [("a",)]
     assert facts._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+
+
+@pytest.fixture
+def two_views(monkeypatch):
+    for name in list(views.STORED)[2:]:
+        monkeypatch.delitem(views.STORED, name)
+
+
+def test_a_refresh_leaves_no_shuffles_and_no_folders(spark, tiny, two_views):
+    warehouse = tiny.warehouse()
+    warehouse.append_facts(tiny.sample().facts)
+    files, before = shuffled(spark), folders(spark, warehouse)
+    assert all(row["refreshed"] for row in jobs.refresh_views(warehouse).collect())
+    gone = spark.createDataFrame([(2025, "Jan", 2)], "year int, month string, song_id int")
+    assert all(row["refreshed"] for row in refresh.refresh_songs(warehouse, gone).collect())
+    assert folders(spark, warehouse) == before
+    assert_no_more_shuffled(spark, files)
