@@ -117,3 +117,26 @@ def test_a_refresh_leaves_no_shuffles_and_no_folders(spark, tiny, two_views):
     assert all(row["refreshed"] for row in refresh.refresh_songs(warehouse, gone).collect())
     assert folders(spark, warehouse) == before
     assert_no_more_shuffled(spark, files)
+
+
+def test_large_views_are_refreshed_one_by_one(tiny, monkeypatch):
+    running, most, lock, build = [], [], threading.Lock(), refresh._build
+
+    def counted(warehouse, name, *rest):
+        with lock:
+            running.append(name)
+            most.append(len(running))
+        try:
+            time.sleep(0.3)
+            build(warehouse, name, *rest)
+        finally:
+            running.remove(name)
+
+    monkeypatch.setattr(refresh, "_build", counted)
+    monkeypatch.setattr(refresh, "LARGE_SUMS", 0)
+    for name in list(views.STORED)[3:]:
+        monkeypatch.delitem(views.STORED, name)
+    warehouse = tiny.warehouse()
+    warehouse.append_facts(tiny.sample().facts)
+    assert jobs.refresh_views(warehouse).where("refreshed").count() == 3
+    assert max(most) == 1
