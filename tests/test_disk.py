@@ -140,3 +140,15 @@ def test_large_views_are_refreshed_one_by_one(tiny, monkeypatch):
     warehouse.append_facts(tiny.sample().facts)
     assert jobs.refresh_views(warehouse).where("refreshed").count() == 3
     assert max(most) == 1
+
+
+def test_published_batches_leave_no_pending_rows(tiny):
+    warehouse = tiny.warehouse()
+    for id_, country in (("a", "CA"), ("b", "DE")):
+        batch = jobs.stage_revenue(warehouse, tiny.staging([(id_, "Spotify", "2025-01-01", SONG, country, "10", "7", 1)]))
+        jobs.publish(warehouse, jobs.append_batch(warehouse, batch)[0], batch.name)
+    batch = jobs.stage_revenue(warehouse, tiny.staging([("c", "Spotify", "2025-02-01", SONG, "CA", "10", "7", 1)]))
+    rows, loaded = jobs.load_batch(warehouse, batch)
+    assert (rows_of(rows, "id", "status"), loaded) == ([("c", "PROCESSED")], [(2025, "Feb")])
+    assert os.listdir(warehouse.path("pending").removeprefix("file:")) == []
+    assert rows_of(jobs.import_status_counts(warehouse)) == [("PROCESSED", 2), ("SKIPPED", 1)]
