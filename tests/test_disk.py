@@ -142,6 +142,18 @@ def test_large_views_are_refreshed_one_by_one(tiny, monkeypatch):
     assert max(most) == 1
 
 
+def test_an_upsert_leaves_its_tables_only(spark, tiny, two_views):
+    warehouse = tiny.warehouse()
+    jobs.import_revenue(spark, warehouse, tiny.text([HEADER, sheet_line("a"), sheet_line("b", month="Feb/25")]))
+    sheet = tiny.text([HEADER, sheet_line("c", royalty="30")])
+    files, before = shuffled(spark), folders(spark, warehouse)
+    kept, _ = sheets.intake_revenue(spark, sheet)
+    jobs.upsert_batch(warehouse, jobs.stage_revenue(warehouse, sheets.to_staging(kept)))
+    assert folders(spark, warehouse) == before
+    assert_no_more_shuffled(spark, files)
+    assert rows_of(warehouse.read("stg_revenue_import"), "id") == [("a",), ("b",), ("c",)]
+
+
 def test_published_batches_leave_no_pending_rows(tiny):
     warehouse = tiny.warehouse()
     for id_, country in (("a", "CA"), ("b", "DE")):
