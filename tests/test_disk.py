@@ -154,6 +154,13 @@ def test_an_upsert_leaves_its_tables_only(spark, tiny, two_views):
     assert rows_of(warehouse.read("stg_revenue_import"), "id") == [("a",), ("b",), ("c",)]
 
 
+def test_an_import_leaves_its_tables_only(spark, tiny, two_views):
+    warehouse, sheet = tiny.warehouse(), tiny.text([HEADER, sheet_line("a"), sheet_line("b", isrc="X")])
+    before = folders(spark, warehouse)
+    assert jobs.import_revenue(spark, warehouse, sheet).success
+    assert folders(spark, warehouse) == before
+
+
 def test_published_batches_leave_no_pending_rows(tiny):
     warehouse = tiny.warehouse()
     for id_, country in (("a", "CA"), ("b", "DE")):
@@ -164,3 +171,11 @@ def test_published_batches_leave_no_pending_rows(tiny):
     assert (rows_of(rows, "id", "status"), loaded) == ([("c", "PROCESSED")], [(2025, "Feb")])
     assert os.listdir(warehouse.path("pending").removeprefix("file:")) == []
     assert rows_of(jobs.import_status_counts(warehouse)) == [("PROCESSED", 2), ("SKIPPED", 1)]
+
+
+def test_the_sample_sheet_is_compressed(spark, tables, tmp_path):
+    sample_sheets.write_revenue_sheet(spark, tables, f"{tmp_path}/sheet")
+    parts = [name for name in os.listdir(f"{tmp_path}/sheet") if name.startswith("part")]
+    assert parts and all(name.endswith(".csv.gz") for name in parts)
+    kept, rejected = sheets.intake_revenue(spark, f"{tmp_path}/sheet")
+    assert (kept.count(), rejected.count()) == (4, 1)
